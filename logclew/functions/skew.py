@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows. At most
-# 1 / HOT_SHARE keys can, which bounds the broadcast list of hot keys.
-HOT_SHARE = 1 / 64
+# At most this many keys are salted. Fewer than 64 keys can each hold more than
+# 1/64 of the rows, so the most frequent 64 include every one that does.
+HOT_KEYS = 64
 HOT_SLICES = 64
 # Below this many rows a key fits one task anyway.
 HOT_MIN_ROWS = 1_000_000
@@ -30,12 +30,13 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(
-        counts.where(
-            F.col(on).isNotNull() & (F.col("_n") > min_rows) & (F.col("_n") > total * HOT_SHARE)
-        ).select(on, F.lit(True).alias("_hot"))
+        left.groupBy(on)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col(on).isNotNull() & (F.col("_n") > min_rows))
+        .orderBy(F.col("_n").desc())
+        .limit(HOT_KEYS)
+        .select(on, F.lit(True).alias("_hot"))
     )
     slice_of = F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")
     all_slices = F.sequence(F.lit(0), F.lit(slices - 1))

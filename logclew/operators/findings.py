@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logclew.functions.rawmap import string_value
 from logclew.functions.timestamps import iso_text
 from logclew.operators.keys import OPERATION_ID_FIELDS, group_label, matched
-from logclew.operators.links import group_commits, group_tickets
 from logclew.schema import MAX_BULLETS, MAX_HEADLINE_CHARS
 
 NO_KEY_WARNING = (
@@ -136,11 +135,7 @@ def first_tickets(tickets: DataFrame, n: int) -> DataFrame:
 
 
 def bullets(top: DataFrame, tickets: DataFrame, commits: DataFrame) -> DataFrame:
-    """``bullet_no, text`` for the first groups.
-
-    ``tickets`` and ``commits`` are the group links; restrict them to the groups
-    of ``top`` beforehand (see ``of_groups``) so that only those are computed.
-    """
+    """``bullet_no, text`` for the first groups; ``tickets`` and ``commits`` are their links."""
     counts = commits.groupBy("group_key").agg(F.count(F.lit(1)).alias("commit_count"))
     noted = (
         top.join(counts, "group_key", "left")
@@ -163,12 +158,3 @@ def bullets(top: DataFrame, tickets: DataFrame, commits: DataFrame) -> DataFrame
 def of_groups(keyed: DataFrame, top: DataFrame) -> DataFrame:
     """The rows of ``keyed`` that belong to the few groups of ``top``."""
     return keyed.join(F.broadcast(top.select("group_key")), "group_key", "left_semi")
-
-
-def top_bullets(
-    keyed: DataFrame, stats: DataFrame, commits: DataFrame, window_minutes: int
-) -> DataFrame:
-    """Bullets of the first groups, computing links for those groups only."""
-    top = first_groups(groups(stats), MAX_BULLETS)
-    rows = of_groups(keyed, top)
-    return bullets(top, group_tickets(rows), group_commits(rows, commits, window_minutes))

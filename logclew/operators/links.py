@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logclew.functions.skew import salted_join
 from logclew.operators.keys import matched
+from logclew.session import stage
 
 # Key signatures are hashed into this many values, which bounds their table.
 _SIGNATURES = 65_536
@@ -79,7 +80,7 @@ def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
 def ticket_commits(tickets: DataFrame, commits: DataFrame) -> DataFrame:
     """``key, commit_ord`` where the commit subject contains the ticket."""
     texts = commits.select(F.col("commit_ord").alias("text_ord"), F.col("subject").alias("text"))
-    keys = tickets.select(F.col("ticket").alias("key")).distinct()
+    keys = stage(tickets.select(F.col("ticket").alias("key")).distinct(), "ticket-keys")
     return texts_containing(texts, keys).withColumnRenamed("text_ord", "commit_ord")
 
 
@@ -123,12 +124,16 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
     )
 
 
-def group_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int) -> DataFrame:
-    """Distinct ``group_key, commit_ord`` by ticket or by time."""
-    tickets = group_tickets(keyed).select("group_key", F.col("ticket").alias("key"))
+def group_commits(
+    keyed: DataFrame, tickets: DataFrame, commits: DataFrame, window_minutes: int
+) -> DataFrame:
+    """Distinct ``group_key, commit_ord`` by ticket or by time.
+
+    ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
+    """
     by_ticket = salted_join(
-        tickets,
-        ticket_commits(tickets.withColumnRenamed("key", "ticket"), commits),
+        tickets.select("group_key", F.col("ticket").alias("key")),
+        ticket_commits(tickets, commits),
         "key",
         spread_by="group_key",
     ).select("group_key", "commit_ord")
@@ -146,10 +151,12 @@ def atom_keys(keys: DataFrame, atoms: DataFrame) -> DataFrame:
     return tagged.unionByName(mentioned).distinct()
 
 
-def group_atoms(keyed: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Distinct ``group_key, atom_ord`` of the external notes tied to a group."""
-    pairs = group_match_keys(keyed)
-    links = atom_keys(pairs.select("key").distinct(), atoms)
+def group_atoms(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Distinct ``group_key, atom_ord`` of the external notes tied to a group.
+
+    ``pairs`` are the ``group_match_keys`` of the log; pass them staged.
+    """
+    links = atom_keys(stage(pairs.select("key").distinct(), "match-keys"), atoms)
     return (
         salted_join(pairs, links, "key", spread_by="group_key")
         .select("group_key", "atom_ord")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from logclew.functions.redaction import (
     DEFAULT_RULES,
     apply_rule,
-    check_rules,
     redact_raw,
     redact_text,
 )
@@ -47,36 +46,29 @@ def redact_rows(rows: DataFrame, rules: Sequence[RedactionRule] = DEFAULT_RULES)
     )
 
 
-def redact_tables(
-    tables: dict[str, DataFrame],
+def redact_table(
+    name: str,
+    table: DataFrame,
     rules: Sequence[RedactionRule] = DEFAULT_RULES,
     scope: str = "all",
-    bypass: bool = False,
-) -> dict[str, DataFrame]:
-    """Redact every findings table, by name.
+) -> DataFrame:
+    """Redact the findings table called ``name``.
 
-    ``scope="reference"`` leaves links and evidence alone. ``bypass`` returns the
-    tables untouched and warns.
+    ``scope="reference"`` leaves links and evidence alone.
     """
-    if bypass:
-        warnings.warn(
-            "redaction bypassed: the output may hold personal data, do not share it",
-            stacklevel=2,
-        )
-        return dict(tables)
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
     columns = ALWAYS | (LINKED if scope == "all" else {})
-    out = {}
-    for name, table in tables.items():
-        texts = [c for c in columns.get(name, ()) if c in table.columns]
-        redacted = {c: redact_text(F.col(c), rules) for c in texts}
-        if name in ("group_rows", "unmatched"):
-            redacted["raw"] = redact_raw(F.col("raw"), F.col("raw_kind"), rules)
-        out[name] = table.withColumns(redacted)
-    if out:
-        check_rules(next(iter(out.values())).sparkSession, rules)
-    return out
+    redacted = {c: redact_text(F.col(c), rules) for c in columns.get(name, ())}
+    if name in ("group_rows", "unmatched"):
+        redacted["raw"] = redact_raw(F.col("raw"), F.col("raw_kind"), rules)
+    return table.withColumns(redacted)
+
+
+def warn_bypass() -> None:
+    warnings.warn(
+        "redaction bypassed: the output may hold personal data, do not share it", stacklevel=3
+    )
 
 
 def redact_corpus(

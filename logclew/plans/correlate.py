@@ -3,29 +3,119 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from logclew.operators import findings as fnd
 from logclew.operators import links, report
 from logclew.operators.keys import matched, row_keys, unmatched
-from logclew.schema import ATOMS, JoinPolicy
+from logclew.schema import ATOMS, MAX_BULLETS, JoinPolicy
 from logclew.session import prepare, stage
 
+TABLES = (
+    "summary",
+    "bullets",
+    "groups",
+    "group_rows",
+    "unmatched",
+    "group_tickets",
+    "group_commits",
+    "group_atoms",
+    "evidence",
+)
+_ROW = ("row_ord", "timestamp", "level", "message", "source", "raw", "raw_kind")
+
 
 @dataclass(frozen=True)
 class Findings:
-    """Lazy tables, tied together by ``group_key``; ``stats`` is for internal reuse."""
+    """The findings tables, tied together by ``group_key``.
+
+    Each is built when first asked for. What later steps read more than once,
+    the distinct (group, key) pairs and the links, is staged in the shared
+    folder at that point, so the log itself is not scanned again for it.
+    """
 
     keyed: DataFrame
-    stats: DataFrame
-    tables: dict[str, DataFrame]
+    commits: DataFrame
+    atoms: DataFrame
+    policy: JoinPolicy
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return fnd.group_stats(self.keyed)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return fnd.summary(self.stats)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return fnd.groups(self.stats)
 
-    def __getattr__(self, name: str) -> DataFrame:
-        try:
-            return self.__dict__["tables"][name]
-        except KeyError:
-            raise AttributeError(name) from None
+    @cached_property
+    def group_rows(self) -> DataFrame:
+        return matched(self.keyed).select("group_key", *_ROW)
+
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        return unmatched(self.keyed).select(*_ROW)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return fnd.evidence(self.keyed)
+
+    @cached_property
+    def group_tickets(self) -> DataFrame:
+        return stage(links.group_tickets(self.keyed), "group-tickets")
+
+    @cached_property
+    def commit_links(self) -> DataFrame:
+        return stage(
+            links.group_commits(
+                self.keyed, self.group_tickets, self.commits, self.policy.window_minutes
+            ),
+            "group-commits",
+        )
+
+    @cached_property
+    def atom_links(self) -> DataFrame:
+        pairs = stage(links.group_match_keys(self.keyed), "group-keys")
+        return stage(links.group_atoms(pairs, self.atoms), "group-atoms")
+
+    @cached_property
+    def group_commits(self) -> DataFrame:
+        return report.commit_details(self.commit_links, self.commits)
+
+    @cached_property
+    def group_atoms(self) -> DataFrame:
+        return report.atom_details(self.atom_links, self.atoms)
+
+    @cached_property
+    def bullets(self) -> DataFrame:
+        """Of the first groups; links are worked out for those groups only."""
+        top = stage(fnd.first_groups(self.groups, MAX_BULLETS), "first-groups")
+        if "commit_links" in self.__dict__:
+            tickets = fnd.of_groups(self.group_tickets, top)
+            commits = fnd.of_groups(self.commit_links, top)
+        else:
+            rows = fnd.of_groups(self.keyed, top)
+            tickets = stage(links.group_tickets(rows), "first-tickets")
+            commits = links.group_commits(
+                rows, tickets, self.commits, self.policy.window_minutes
+            )
+        return fnd.bullets(top, tickets, commits)
+
+    @property
+    def report(self) -> DataFrame:
+        return report.group_report(
+            self.groups, self.group_tickets, self.commit_links, self.atom_links
+        )
+
+    def table(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        return getattr(self, name)
 
 
 def correlate(
@@ -38,38 +128,13 @@ def correlate(
 ) -> Findings:
     """Group rows by explicit keys and link the groups.
 
-    With ``staged`` the keyed rows and the group links are written once to the
-    shared folder; use it when several of the tables will be computed.
+    With ``staged`` the keyed rows are written once to the shared folder; use it
+    when several of the tables will be computed.
     """
     spark = prepare(logs.sparkSession)
-    keep = stage if staged else (lambda df, name: df)
-    keyed = keep(row_keys(logs, policy, services), "keyed")
-    stats = keep(fnd.group_stats(keyed), "group-stats")
+    keyed = row_keys(logs, policy, services)
+    if staged:
+        keyed = stage(keyed, "keyed")
     if atoms is None:
         atoms = spark.createDataFrame([], ATOMS)
-    groups = fnd.groups(stats)
-    tickets = keep(links.group_tickets(keyed), "group-tickets")
-    commit_links = keep(
-        links.group_commits(keyed, commits, policy.window_minutes), "group-commits"
-    )
-    atom_links = keep(links.group_atoms(keyed, atoms), "group-atoms")
-    if staged:
-        top = fnd.first_groups(groups, fnd.MAX_BULLETS)
-        bullets = fnd.bullets(
-            top, fnd.of_groups(tickets, top), fnd.of_groups(commit_links, top)
-        )
-    else:
-        bullets = fnd.top_bullets(keyed, stats, commits, policy.window_minutes)
-    row_columns = ["row_ord", "timestamp", "level", "message", "source", "raw", "raw_kind"]
-    tables = {
-        "summary": fnd.summary(stats),
-        "bullets": bullets,
-        "groups": groups,
-        "group_rows": matched(keyed).select("group_key", *row_columns),
-        "unmatched": unmatched(keyed).select(*row_columns),
-        "group_tickets": tickets,
-        "group_commits": report.commit_details(commit_links, commits),
-        "group_atoms": report.atom_details(atom_links, atoms),
-        "evidence": fnd.evidence(keyed),
-    }
-    return Findings(keyed, stats, tables)
+    return Findings(keyed, commits, atoms, policy)

@@ -11,7 +11,7 @@ from logclew.functions.timestamps import iso_text
 from logclew.operators import findings, links, normalize, query_facts, redact, report
 from logclew.operators.keys import group_label, matched, row_keys, unmatched
 from logclew.plans.bundle import redact_findings, write_bundle
-from logclew.plans.correlate import correlate
+from logclew.plans.correlate import TABLES, Findings, correlate
 from logclew.plans.investigate import investigate
 from logclew.schema import DEFAULT_ROW_CAP, RedactionRule
 from logclew.session import fresh_path
@@ -254,7 +254,7 @@ def group_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticket_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tickets = links.group_tickets(_keyed(spark, sf_dir))
+    tickets = _findings(spark, sf_dir).group_tickets
     return links.ticket_commits(tickets, views.commits(spark, sf_dir))
 
 
@@ -264,15 +264,11 @@ def proximity_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = views.commits(spark, sf_dir)
-    pairs = links.group_commits(_keyed(spark, sf_dir), commits, views.WINDOW_MINUTES)
-    return _plain(report.commit_details(pairs, commits))
+    return _plain(_findings(spark, sf_dir).group_commits)
 
 
 def group_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = views.atoms(spark, sf_dir)
-    pairs = links.group_atoms(_keyed(spark, sf_dir), atoms)
-    return _plain(report.atom_details(pairs, atoms))
+    return _plain(_findings(spark, sf_dir).group_atoms)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,10 +280,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _keyed(spark, sf_dir)
-    return findings.top_bullets(
-        keyed, findings.group_stats(keyed), views.commits(spark, sf_dir), views.WINDOW_MINUTES
-    )
+    return _findings(spark, sf_dir).bullets
 
 
 def findings_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,14 +338,7 @@ def linked_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _keyed(spark, sf_dir)
-    commits, atoms = views.commits(spark, sf_dir), views.atoms(spark, sf_dir)
-    return report.group_report(
-        findings.groups(findings.group_stats(keyed)),
-        links.group_tickets(keyed),
-        links.group_commits(keyed, commits, views.WINDOW_MINUTES),
-        links.group_atoms(keyed, atoms),
-    )
+    return _findings(spark, sf_dir).report
 
 
 def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +347,7 @@ def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(shown)
 
 
-def _findings(spark: SparkSession, sf_dir: str, staged: bool = False):
+def _findings(spark: SparkSession, sf_dir: str, staged: bool = False) -> Findings:
     return correlate(
         views.logs(spark, sf_dir),
         views.commits(spark, sf_dir),
@@ -373,17 +359,17 @@ def _findings(spark: SparkSession, sf_dir: str, staged: bool = False):
 
 def redact_findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every redacted text of the findings, table by table."""
-    tables = redact_findings(_findings(spark, sf_dir)).tables
+    table = redact_findings(_findings(spark, sf_dir, staged=True)).table
     texts = [
-        tables["summary"].select(F.lit("summary").alias("part"), F.col("headline").alias("text")),
-        tables["bullets"].select(F.lit("bullets"), "text"),
-        tables["groups"].select(F.lit("groups"), "label"),
-        tables["group_rows"].select(F.lit("group_rows"), "message"),
-        tables["unmatched"].select(F.lit("unmatched"), "message"),
-        tables["group_tickets"].select(F.lit("group_tickets"), "ticket"),
-        tables["group_commits"].select(F.lit("group_commits"), F.concat_ws(" ", "author", "subject")),
-        tables["group_atoms"].select(F.lit("group_atoms"), "message"),
-        tables["evidence"].select(F.lit("evidence"), F.concat_ws(" ", "log_row_id", "evidence_ref")),
+        table("summary").select(F.lit("summary").alias("part"), F.col("headline").alias("text")),
+        table("bullets").select(F.lit("bullets"), "text"),
+        table("groups").select(F.lit("groups"), "label"),
+        table("group_rows").select(F.lit("group_rows"), "message"),
+        table("unmatched").select(F.lit("unmatched"), "message"),
+        table("group_tickets").select(F.lit("group_tickets"), "ticket"),
+        table("group_commits").select(F.lit("group_commits"), F.concat_ws(" ", "author", "subject")),
+        table("group_atoms").select(F.lit("group_atoms"), "message"),
+        table("evidence").select(F.lit("evidence"), F.concat_ws(" ", "log_row_id", "evidence_ref")),
     ]
     everything = texts[0]
     for part in texts[1:]:
@@ -393,14 +379,14 @@ def redact_findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per table and format of a written bundle."""
-    tables = redact_findings(_findings(spark, sf_dir, staged=True))
-    folder = write_bundle(tables, fresh_path(spark, "bundle"))
+    redacted = redact_findings(_findings(spark, sf_dir, staged=True))
+    folder = write_bundle(redacted, fresh_path(spark, "bundle"))
     counts = [
         spark.read.format(form).load(f"{folder}/{form}/{name}").agg(
             F.lit(form).alias("format"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")
         )
         for form in ("parquet", "json")
-        for name in tables.tables
+        for name in TABLES
     ]
     everything = counts[0]
     for part in counts[1:]:
@@ -420,10 +406,10 @@ def investigate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.atoms(spark, sf_dir),
         extra_rules=EXTRA_RULES,
     )
-    tables = run.findings.tables
-    counts = tables["group_commits"].groupBy("group_id").agg(F.count(F.lit(1)).alias("commit_count"))
+    links_of = run.findings.table("group_commits").groupBy("group_id")
+    counts = links_of.agg(F.count(F.lit(1)).alias("commit_count"))
     return (
-        tables["groups"]
+        run.findings.table("groups")
         .join(counts, "group_id", "left")
         .select(
             "label", "row_count", "first_ord",
