@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logclew.functions.rawmap import string_value
 from logclew.functions.timestamps import iso_text
-from logclew.operators.keys import OPERATION_ID_FIELDS, group_label, matched
+from logclew.operators.keys import OPERATION_ID_FIELDS, group_label
 from logclew.schema import MAX_BULLETS, MAX_HEADLINE_CHARS
 
 NO_KEY_WARNING = (
@@ -31,14 +31,19 @@ def group_stats(keyed: DataFrame) -> DataFrame:
     """
     return keyed.groupBy("group_key").agg(
         F.count(F.lit(1)).alias("row_count"),
+        F.count("group_key").alias("matched_count"),
         F.min("row_ord").alias("first_ord"),
         F.max(severity_rank(F.col("level"))).alias("rank"),
     )
 
 
 def groups(stats: DataFrame) -> DataFrame:
-    """``group_key, label, row_count, first_ord``; ``first_ord`` orders the groups."""
-    return matched(stats).select(
+    """``group_key, label, row_count, first_ord``; ``first_ord`` orders the groups.
+
+    The filter reads a count, not the key: on the key, Catalyst would push it
+    below the aggregate and compute every row's key twice.
+    """
+    return stats.where(F.col("matched_count") > 0).select(
         "group_key", group_label(F.col("group_key")).alias("label"), "row_count", "first_ord"
     )
 
@@ -66,8 +71,7 @@ def evidence(keyed: DataFrame) -> DataFrame:
         .otherwise("service")
     )
     return (
-        matched(keyed)
-        .select(
+        keyed.select(
             "group_key",
             "row_ord",
             row_id.alias("log_row_id"),
@@ -81,11 +85,10 @@ def evidence(keyed: DataFrame) -> DataFrame:
 
 def summary(stats: DataFrame) -> DataFrame:
     """One row: headline, severity, counts, and the warning when no key matched."""
-    in_group = F.col("group_key").isNotNull()
     totals = stats.agg(
         F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count("group_key").alias("group_count"),
-        F.coalesce(F.sum(F.when(~in_group, F.col("row_count"))), F.lit(0))
+        F.coalesce(F.sum(F.col("row_count") - F.col("matched_count")), F.lit(0))
         .cast("bigint")
         .alias("unmatched_count"),
         F.max("rank").alias("rank"),

@@ -21,7 +21,7 @@ _UNIT = "\u001f"
 def operation_id(raw: Column, kind: Column, field: str) -> Column:
     """First non-empty string among the configured and the built-in fields."""
     fields = dict.fromkeys((field, *OPERATION_ID_FIELDS))
-    return F.coalesce(*[F.nullif(string_value(raw, kind, f), F.lit("")) for f in fields])
+    return F.coalesce(*[F.when((kind[f] == "string") & (raw[f] != ""), raw[f]) for f in fields])
 
 
 def ticket_mentions(text: Column, regex: str | None) -> Column:
@@ -116,6 +116,9 @@ def row_keys(
     ``services`` is an allowlist held as a table, for one too long for
     ``policy.service_allowlist``. Tickets are sorted where they form the group
     and in order of mention where an operation id does.
+
+    The group key leaves through a one-element ``explode``, past which Catalyst
+    does not push filters; otherwise a filter on it would compute all keys twice.
     """
     if policy.ticket_regex:
         check_pattern(logs.sparkSession, to_java(policy.ticket_regex), "ticket_regex")
@@ -134,8 +137,9 @@ def row_keys(
         }
     )
     ordered = F.when(F.col("op_id").isNull(), F.sort_array("tickets")).otherwise(F.col("tickets"))
-    return found.withColumn("tickets", ordered).withColumn(
-        "group_key", group_key(F.col("op_id"), F.col("tickets"), F.col("service"))
+    key = group_key(F.col("op_id"), F.col("tickets"), F.col("service"))
+    return found.withColumn("tickets", ordered).select(
+        "*", F.explode_outer(F.array(key)).alias("group_key")
     )
 
 

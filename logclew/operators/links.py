@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logclew.functions.skew import salted_join
-from logclew.operators.keys import matched
 from logclew.session import stage
 
 # Key signatures are hashed into this many values, which bounds their table.
@@ -21,10 +20,14 @@ _SIGNATURE_CHARS = 4
 
 
 def group_tickets(keyed: DataFrame) -> DataFrame:
-    """``group_key, ticket, first_ord, first_pos``: distinct tickets, order of mention."""
-    mentions = matched(keyed).select(
-        "group_key", "row_ord", F.posexplode("tickets").alias("pos", "ticket")
-    )
+    """``group_key, ticket, first_ord, first_pos``: distinct tickets, order of mention.
+
+    The outer ``posexplode`` keeps Catalyst from adding a filter on the ticket
+    array, which it would push down and so extract all tickets twice.
+    """
+    mentions = keyed.select(
+        "group_key", "row_ord", F.posexplode_outer("tickets").alias("pos", "ticket")
+    ).where(F.col("ticket").isNotNull())
     return mentions.groupBy("group_key", "ticket").agg(
         F.min("row_ord").alias("first_ord"), F.min_by("pos", "row_ord").alias("first_pos")
     )
@@ -34,8 +37,7 @@ def group_match_keys(keyed: DataFrame) -> DataFrame:
     """Distinct ``group_key, key`` over operation ids, tickets and services."""
     keys = F.concat(F.array("op_id"), F.col("tickets"), F.array("service"))
     return (
-        matched(keyed)
-        .select("group_key", F.explode(keys).alias("key"))
+        keyed.select("group_key", F.explode(keys).alias("key"))
         .where(F.col("key").isNotNull())
         .distinct()
     )
