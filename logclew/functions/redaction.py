@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import takewhile
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,31 +102,45 @@ def apply_rule(text: Column, rule: RedactionRule) -> Column:
     )
 
 
+def _maybe(text: Column, hint: str) -> Column:
+    plain = hint.isalnum() or hint == "@"
+    return text.contains(hint) if plain else text.rlike(hint)
+
+
 def suspicious(text: Column, rules: Sequence[RedactionRule]) -> Column:
-    """True where one of ``rules``, all with a hint, might match; never misses."""
-    hints = list(dict.fromkeys(rule.hint for rule in rules))
-    plain = [h for h in hints if h.isalnum() or h == "@"]
-    tests = [text.contains(h) for h in plain]
-    tests += [text.rlike(h) for h in hints if h not in plain]
-    return reduce(lambda a, b: a | b, tests)
+    """False only where no rule can change the text."""
+    hints = dict.fromkeys(rule.hint for rule in rules)
+    if None in hints:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [_maybe(text, hint) for hint in hints])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Written out, a chain of such uses would grow exponentially.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _split(rules: Sequence[RedactionRule]) -> tuple[list[RedactionRule], list[RedactionRule]]:
-    """The leading rules that have hints, and the rest."""
-    hinted = list(takewhile(lambda rule: rule.hint is not None, rules))
-    return hinted, list(rules[len(hinted) :])
+def _apply_block(hint: str | None, rules: Sequence[RedactionRule]):
+    """Rules that share a hint, skipped for a text without it."""
+
+    def apply(text: Column) -> Column:
+        redacted = reduce(apply_rule, rules, text)
+        return redacted if hint is None else F.when(_maybe(text, hint), redacted).otherwise(text)
+
+    return apply
 
 
 def redact_text(text: Column, rules: Sequence[RedactionRule] = DEFAULT_RULES) -> Column:
     """All rules in sequence; each one sees what the earlier ones left.
 
-    A text without any hint is left alone by the first hinted rule, hence by the
-    second, and so on: testing the text as it came in is enough to skip them all.
+    A rule's hint is far cheaper than its pattern, so rules run behind their hints.
     """
-    hinted, rest = _split(rules)
-    if hinted:
-        text = F.when(suspicious(text, hinted), reduce(apply_rule, hinted, text)).otherwise(text)
-    return reduce(apply_rule, rest, text)
+    for hint, block in groupby(rules, key=lambda rule: rule.hint):
+        text = _let(text, _apply_block(hint, list(block)))
+    return text
 
 
 # A JSON text as keys (with their colon), string values, and all between.
@@ -140,21 +154,25 @@ def redact_json(text: Column, rules: Sequence[RedactionRule] = DEFAULT_RULES) ->
     A rule never sees the quotes around a value, so a greedy one cannot eat them.
     """
 
+    def quoted(clean: Column) -> Column:
+        return _let(
+            F.to_json(F.array(clean)), lambda boxed: F.substring(boxed, F.lit(2), F.length(boxed) - 2)
+        )
+
     def piece(p: Column) -> Column:
+        def changed_or_as_is(value: Column) -> Column:
+            return _let(
+                redact_text(value, rules), lambda clean: F.when(clean != value, quoted(clean)).otherwise(p)
+            )
+
         value = F.get_json_object(F.concat(F.lit("["), p, F.lit("]")), "$[0]")
-        clean = redact_text(value, rules)
-        boxed = F.to_json(F.array(clean))
-        quoted = F.substring(boxed, F.lit(2), F.length(boxed) - 2)
-        is_value = p.startswith('"') & p.endswith('"') & (clean != value)
-        return F.when(is_value, quoted).otherwise(p)
+        is_value = p.startswith('"') & p.endswith('"')
+        return F.when(is_value, _let(value, changed_or_as_is)).otherwise(p)
 
     pieces = F.regexp_extract_all(text, F.lit(_JSON_PIECES), F.lit(0))
     rebuilt = F.array_join(F.transform(pieces, piece), "")
-    hinted, rest = _split(rules)
-    if rest or not hinted:
-        return rebuilt
     # An escape such as \\u0040 hides what a hint looks for.
-    maybe = suspicious(text, hinted) | text.contains("\\")
+    maybe = suspicious(text, rules) | text.contains("\\")
     return F.when(maybe, rebuilt).otherwise(text)
 
 

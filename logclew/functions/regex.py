@@ -22,7 +22,6 @@ _EXTRA_SPACE = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _DOT = r"[^\n\r\u2028\u2029]"
 
 _OUTSIDE_CLASS = {
-    r"\b": _BOUNDARY,
     r"\B": _NO_BOUNDARY,
     r"\s": rf"[\s{_EXTRA_SPACE}]",
     r"\S": rf"[^\s{_EXTRA_SPACE}]",
@@ -38,8 +37,13 @@ _INSIDE_CLASS = {
     "[": r"\[",
     "&": r"\&",
 }
-_TOKEN = re.compile(r"\\.|\[\^?\]|.", re.DOTALL)
+_TOKEN = re.compile(r"\\.|\[\^?\]|\[(?:\\.|[^\]\\])+\]|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+_CLASS_TOKEN = re.compile(r"\\.|.", re.DOTALL)
 _LEADING_FLAGS = re.compile(r"^\(\?([imsxu]+)\)")
+# Atoms that match word characters only, and quantifiers that allow no match.
+_WORD_ATOM = re.compile(r"\w|\\[dw]|\[(?:0-9|A-Z|a-z|A-F|a-f|\\[dw]|\w(?!-))+\]", re.ASCII)
+_REPEAT = re.compile(r"\+|\{[1-9]\d*(?:,\d*)?\}")
+_OPTIONAL = re.compile(r"[*?]|\{0")
 
 
 def to_java(pattern: str, flags: str = "") -> str:
@@ -48,35 +52,38 @@ def to_java(pattern: str, flags: str = "") -> str:
     if leading:
         flags += leading.group(1)
         pattern = pattern[leading.end() :]
+    tokens = _TOKEN.findall(pattern)
     out: list[str] = []
-    in_class = False
-    # An empty class is only a token of its own outside a class.
-    for token in _tokens(pattern):
-        if in_class:
-            out.append(_INSIDE_CLASS.get(token, token))
-            in_class = token != "]"
+    for i, token in enumerate(tokens):
+        if token == r"\b":
+            out.append(_boundary(tokens[:i], tokens[i + 1 :]))
         elif token == "$" and "m" not in flags:
             out.append(r"\z")
         elif token == "." and "s" not in flags:
             out.append(_DOT)
+        elif token in _OUTSIDE_CLASS:
+            out.append(_OUTSIDE_CLASS[token])
+        elif len(token) > 2 and token[0] == "[":
+            inside = _CLASS_TOKEN.findall(token[1:-1])
+            out.append("[" + "".join(_INSIDE_CLASS.get(t, t) for t in inside) + "]")
         else:
-            out.append(_OUTSIDE_CLASS.get(token, token))
-            in_class = token == "["
+            out.append(token)
     kept = "".join(f for f in "ims" if f in flags)
     if kept and not pattern.isascii():
         kept += "u"
     return (f"(?{kept})" if kept else "") + "".join(out)
 
 
-def _tokens(pattern: str):
-    pos, in_class = 0, False
-    while pos < len(pattern):
-        token = _TOKEN.match(pattern, pos).group()
-        if in_class and token[0] == "[":
-            token = "["
-        in_class = token != "]" if in_class else token == "["
-        pos += len(token)
-        yield token
+def _boundary(before: list[str], after: list[str]) -> str:
+    """An ASCII ``\\b``; one look-around is enough where a word character must touch it."""
+    if after and _WORD_ATOM.fullmatch(after[0]):
+        if len(after) == 1 or not _OPTIONAL.match(after[1]):
+            return f"(?<![{_WORD}])"
+    if before and _REPEAT.fullmatch(before[-1]):
+        before = before[:-1]
+    if before and _WORD_ATOM.fullmatch(before[-1]):
+        return f"(?![{_WORD}])"
+    return _BOUNDARY
 
 
 def to_java_replacement(replacement: str) -> str:
