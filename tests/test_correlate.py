@@ -1,0 +1,287 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from logclew.functions.skew import salted_join
+from logclew.operators import links
+from logclew.operators.findings import NO_KEY_WARNING
+from logclew.operators.keys import row_keys
+from logclew.plans.correlate import correlate
+from logclew.schema import JoinPolicy
+from logclew.session import stage
+
+
+def keyed(logs, policy=JoinPolicy(), services=None):
+    return row_keys(logs, policy, services).orderBy("row_ord").collect()
+
+
+# --- keys --------------------------------------------------------------------
+
+
+def test_operation_id_fields(make_logs):
+    logs = make_logs(
+        [
+            {"raw": {"operation_id": "c", "operationId": "b", "operation_Id": "a", "trace": "t"}},
+            {"raw": {"operation_id": "c", "operationId": "b", "operation_Id": ""}},
+            {"raw": {"operation_id": "c", "operationId": 7}},
+            {"raw": {"operation_Id": 7}},
+            {"raw": {"Operation_Id": "x"}},
+        ]
+    )
+    assert [r["op_id"] for r in keyed(logs)] == ["a", "b", "c", None, None]
+    assert keyed(logs, JoinPolicy(operation_id_field="trace"))[0]["op_id"] == "t"
+
+
+def test_tickets(make_logs):
+    logs = make_logs(
+        [
+            {"message": "PROJ-9 PROJ-42 PROJ-9", "raw": {"operationName": "ALPHA-1 PROJ-42"}},
+            {"message": "PROJ-9 ALPHA-1", "raw": {"operation_Id": "o"}},
+            {"message": "none", "raw": {"operationName": 5}},
+        ]
+    )
+    rows = keyed(logs, JoinPolicy(r"[A-Z]+-\d+"))
+    assert [r["tickets"] for r in rows] == [["ALPHA-1", "PROJ-42", "PROJ-9"], ["PROJ-9", "ALPHA-1"], []]
+    assert [r["group_key"] for r in rows] == ["tickets:ALPHA-1,PROJ-42,PROJ-9", "op:o", None]
+    assert [r["tickets"] for r in keyed(logs)] == [[], [], []]
+    with pytest.raises(ValueError, match="ticket_regex"):
+        keyed(logs, JoinPolicy("(unclosed"))
+
+
+def test_ticket_sets_with_commas_stay_apart(make_logs):
+    logs = make_logs([{"message": "<A,B>"}, {"message": "<A> <B>"}, {"message": "<50%>"}])
+    found = correlate(logs, logs.sparkSession.createDataFrame([], "commit_ord long, sha string, "
+        "short_sha string, author string, authored_at timestamp, subject string"),
+        JoinPolicy(r"(?<=<)[^>]+(?=>)"))
+    labels = [r["label"] for r in found.groups.orderBy("first_ord").collect()]
+    assert labels == ["tickets A,B", "tickets A, B", "tickets 50%"]
+
+
+SERVICE_ROWS = ["Pay", "Pay.Cards", "Payroll", "Auth.X.Y", "Auth", ".x", "", "Pay."]
+ALLOWED = ("Auth.X", "Pay", "Auth", "Pay.Cards")
+
+
+def test_services(make_logs, spark):
+    logs = make_logs([{"source": s} for s in SERVICE_ROWS])
+    expected = ["Pay", "Pay", None, "Auth.X", "Auth", None, None, "Pay"]
+    assert [r["service"] for r in keyed(logs, JoinPolicy(service_allowlist=ALLOWED))] == expected
+    table = spark.createDataFrame(list(enumerate(ALLOWED)), "allow_ord int, service string")
+    assert [r["service"] for r in keyed(logs, services=table)] == expected
+
+
+def test_policy_is_checked():
+    with pytest.raises(ValueError):
+        JoinPolicy(window_minutes=-1)
+    with pytest.raises(ValueError):
+        JoinPolicy(window_minutes=1.5)
+
+
+# --- groups ------------------------------------------------------------------
+
+
+def test_groups_and_precedence(make_logs, make_commits):
+    logs = make_logs(
+        [
+            {},
+            {"source": "Pay.x"},
+            {"message": "PROJ-1", "source": "Pay"},
+            {"message": "PROJ-1", "source": "Pay", "raw": {"operation_Id": "A"}, "level": "warn"},
+            {"raw": {"operation_Id": "A"}},
+        ]
+    )
+    found = correlate(logs, make_commits(), JoinPolicy(r"PROJ-\d+", ("Pay",)))
+    rows = found.groups.orderBy("first_ord").collect()
+    assert [(r["group_key"], r["label"], r["row_count"], r["first_ord"]) for r in rows] == [
+        ("service:Pay", "service Pay", 1, 1),
+        ("tickets:PROJ-1", "tickets PROJ-1", 1, 2),
+        ("op:A", "operationId=A", 2, 3),
+    ]
+    assert [r["row_ord"] for r in found.unmatched.collect()] == [0]
+    assert {(r["group_key"], r["row_ord"]) for r in found.group_rows.collect()} == {
+        ("service:Pay", 1), ("tickets:PROJ-1", 2), ("op:A", 3), ("op:A", 4),
+    }
+    assert found.summary.first().asDict() == {
+        "headline": "[WARN] 5 row(s) correlated into 3 finding group(s)", "severity": "warn",
+        "row_count": 5, "group_count": 3, "unmatched_count": 1, "warning": None,
+    }
+
+
+@pytest.mark.parametrize(
+    "levels, severity",
+    [(["info", "error"], "error"), (["warn", "x"], "warn"), (["Critical"], "error"), (["FATAL"], "error"),
+     (["stderr"], "error"), (["4"], "info"), ([], "info")],
+)
+def test_severity_counts_unmatched_rows(make_logs, make_commits, levels, severity):
+    found = correlate(make_logs([{"level": v} for v in levels]), make_commits(), JoinPolicy())
+    row = found.summary.first()
+    assert row["severity"] == severity
+    assert row["headline"].startswith(f"[{severity.upper()}] {len(levels)} row(s)")
+    assert row["warning"] == (NO_KEY_WARNING if levels else None)
+
+
+def test_evidence(make_logs, make_commits):
+    logs = make_logs(
+        [
+            {"message": "PROJ-2 PROJ-1", "source": "Pay", "raw": {"operationId": "b", "trace": "t"}},
+            {"message": "PROJ-2 PROJ-1", "raw": {"operation_Id": ""}},
+            {"source": "Pay"},
+            {},
+        ]
+    )
+    found = correlate(logs, make_commits(), JoinPolicy(r"PROJ-\d+", ("Pay",), "trace"))
+    rows = found.evidence.select("log_row_id", "evidence_type", "evidence_ref").collect()
+    t = "2026-05-22T00:00:00.000Z"
+    assert [tuple(r) for r in rows] == [
+        (f"{t}|Pay|b/row-0", "operationId", "t"),
+        (f"{t}|Pay|b/row-0", "ticket", "PROJ-2"),
+        (f"{t}|Pay|b/row-0", "ticket", "PROJ-1"),
+        (f"{t}|Pay|b/row-0", "service", "Pay"),
+        (f"{t}|test|/row-1", "ticket", "PROJ-1"),
+        (f"{t}|test|/row-1", "ticket", "PROJ-2"),
+        (f"{t}|Pay|-/row-2", "service", "Pay"),
+    ]
+
+
+# --- links -------------------------------------------------------------------
+
+
+def linked(table, *columns):
+    return {tuple(r[c] for c in columns) for r in table.collect()}
+
+
+def test_commit_by_ticket_is_a_substring_test(make_logs, make_commits):
+    commits = make_commits(
+        ("2026-05-01T00:00:00Z", "fix: PROJ-42"), ("2026-05-01T00:00:00Z", "xPROJ-4"), ("2026-05-01T00:00:00Z", "")
+    )
+    found = correlate(make_logs([{"message": "PROJ-4"}]), commits, JoinPolicy(r"PROJ-\d+"))
+    assert linked(found.group_commits, "group_key", "commit_ord") == {("tickets:PROJ-4", 0), ("tickets:PROJ-4", 1)}
+
+
+@pytest.mark.parametrize(
+    "time, window, near",
+    [
+        ("2026-05-22T00:03:00Z", 10, True), ("2026-05-22T03:00:00Z", 10, False),
+        ("2026-05-22T00:15:00Z", 10, True), ("2026-05-22T00:15:00.001Z", 10, False),
+        ("2026-05-21T23:55:00Z", 10, True), ("2026-05-21T23:54:59.999Z", 10, False),
+        ("2026-05-22T00:05:00Z", 0, False),
+    ],
+)
+def test_commit_by_time(make_logs, make_commits, time, window, near):
+    row = {"timestamp": "2026-05-22T00:05:00Z"}
+    logs = make_logs([{**row, "raw": {"operation_Id": "op"}}, {**row, "source": "Pay"}])
+    policy = JoinPolicy(None, ("Pay",), window_minutes=window)
+    found = correlate(logs, make_commits((time, "deploy")), policy)
+    assert linked(found.group_commits, "group_key", "sha") == ({("op:op", "0" * 40)} if near else set())
+
+
+def test_atoms(make_logs, make_atoms, make_commits):
+    logs = make_logs([{"message": "PROJ-1", "source": "Pay", "raw": {"operation_Id": "op-1"}}, {"source": "Pay"}])
+    atoms = make_atoms(
+        ("related", ["op-1"]), ("see PROJ-12", []), ("Pay is down", ["x", "Pay"]), ("unrelated", ["PROJ"]), ("", [])
+    )
+    found = correlate(logs, make_commits(), JoinPolicy(r"PROJ-\d+", ("Pay",)), atoms)
+    assert linked(found.group_atoms, "group_key", "id") == {
+        ("op:op-1", "a-0"), ("op:op-1", "a-1"), ("op:op-1", "a-2"), ("service:Pay", "a-2"),
+    }
+
+
+def test_group_tickets_over_all_rows_in_order_of_mention(make_logs, make_commits):
+    logs = make_logs(
+        [{"message": m, "raw": {"operation_Id": "o"}} for m in ("T-3 T-1", "T-2 T-1", "T-4")]
+        + [{"message": "T-9 T-8"}]
+    )
+    found = correlate(logs, make_commits(), JoinPolicy(r"T-\d"))
+    rows = found.group_tickets.orderBy("group_key", "first_ord", "first_pos").collect()
+    assert [(r["group_key"], r["ticket"]) for r in rows] == [
+        ("op:o", "T-3"), ("op:o", "T-1"), ("op:o", "T-2"), ("op:o", "T-4"),
+        ("tickets:T-8,T-9", "T-8"), ("tickets:T-8,T-9", "T-9"),
+    ]
+    assert [r["text"] for r in found.bullets.orderBy("bullet_no").collect()] == [
+        "operationId=o: 3 row(s) — tickets: T-3, T-1, T-2",
+        "tickets T-8, T-9: 1 row(s) — tickets: T-8, T-9",
+    ]
+
+
+def test_bullets_are_the_first_ten(make_logs, make_commits):
+    logs = make_logs([{"raw": {"operation_Id": f"op-{i % 15}"}} for i in range(30)])
+    commits = make_commits(("2026-05-22T00:01:00Z", "a"), ("2026-05-22T00:02:00Z", "b"))
+    texts = [r["text"] for r in correlate(logs, commits, JoinPolicy()).bullets.orderBy("bullet_no").collect()]
+    assert texts == [f"operationId=op-{i}: 2 row(s) — 2 commit(s)" for i in range(10)]
+
+
+@pytest.fixture(scope="module")
+def random_case(make_logs, make_commits, make_atoms):
+    rnd = random.Random(7)
+    times = [f"2026-05-22T0{rnd.randrange(3)}:{rnd.randrange(60):02}:{rnd.randrange(60):02}.{rnd.randrange(1000):03}Z"
+             for _ in range(400)]
+    rows = []
+    for i in range(300):
+        raw = {"operation_Id": f"op-{min(rnd.randrange(30), 12)}"} if rnd.random() < 0.5 else {}
+        message = " ".join(f"T-{rnd.randrange(40)}" for _ in range(rnd.randrange(3)))
+        rows.append({"timestamp": times[i], "message": message, "source": f"s{rnd.randrange(4)}.x", "raw": raw})
+    commits = [(times[300 + i], f"T-{rnd.randrange(50)} and T-{rnd.randrange(50)}é") for i in range(60)]
+    atoms = [(f"about op-{rnd.randrange(20)}, T-{rnd.randrange(99)}", [f"s{rnd.randrange(5)}", f"op-{i}"]) for i in range(40)]
+    return rows, commits, atoms, make_logs(rows), make_commits(*commits), make_atoms(*atoms)
+
+
+POLICY = JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=7)
+
+
+def test_links_match_brute_force(random_case):
+    from conftest import at
+
+    rows, commits, atoms, logs, commit_df, atom_df = random_case
+    found = correlate(logs, commit_df, POLICY, atom_df)
+    keys = {r["row_ord"]: r for r in found.keyed.collect()}
+    want_commits, want_atoms = set(), set()
+    for i, row in enumerate(rows):
+        k = keys[i]
+        if k["group_key"] is None:
+            continue
+        for j, (time, subject) in enumerate(commits):
+            gap = abs((at(time) - at(row["timestamp"])).total_seconds())
+            if any(t in subject for t in k["tickets"]) or (k["op_id"] and gap <= 420):
+                want_commits.add((k["group_key"], j))
+        mine = {x for x in [k["op_id"], k["service"], *k["tickets"]] if x}
+        for j, (message, tags) in enumerate(atoms):
+            if mine & set(tags) or any(m in message for m in mine):
+                want_atoms.add((k["group_key"], j))
+    assert linked(found.commit_links, "group_key", "commit_ord") == want_commits
+    assert linked(found.atom_links, "group_key", "atom_ord") == want_atoms
+    assert found.commit_links.count() == len(want_commits)
+    assert found.atom_links.count() == len(want_atoms)
+
+
+def test_staged_run_gives_the_same(random_case):
+    _, _, _, logs, commits, atoms = random_case
+    plain, staged = (correlate(logs, commits, POLICY, atoms, staged=s) for s in (False, True))
+    assert staged.group_commits and staged.group_atoms
+    for name in ("groups", "bullets", "summary", "evidence", "unmatched", "group_commits", "report"):
+        a, b = (sorted(map(str, getattr(f, name).collect())) for f in (plain, staged))
+        assert a == b, name
+
+
+def test_no_join_is_a_cross_product(random_case):
+    _, _, _, logs, commits, atoms = random_case
+    found = correlate(logs, commits, POLICY, atoms)
+    near = links.proximity_commits(found.keyed, commits, 7)
+    by_ticket = links.ticket_commits(found.group_tickets, commits)
+    pairs = stage(links.group_match_keys(found.keyed), "pairs")
+    for df in (near, by_ticket, links.group_atoms(pairs, atoms)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_plain_join(spark, how):
+    left = spark.range(2000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
+    ).unionByName(spark.createDataFrame([(-1, None), (-2, "lonely")], "id long, k string"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), ("other", 4)], "k string, v int")
+    salted = salted_join(left, right, "k", "id", how, slices=5, min_rows=100)
+    plain = left.join(right, "k", how)
+    assert sorted(map(str, salted.select("id", "k", "v").collect())) == sorted(
+        map(str, plain.select("id", "k", "v").collect())
+    )
+    assert salted.where("k = 'hot'").count() == 667 * 2
