@@ -9,6 +9,7 @@ from logclew.functions.rawmap import string_value
 from logclew.functions.regex import check_pattern, to_java
 from logclew.functions.skew import salted_join
 from logclew.schema import JoinPolicy
+from logclew.session import stage
 
 # Built-in operation id fields, in order, and where tickets are
 # looked for besides the message.
@@ -54,8 +55,9 @@ def service_table_lookup(logs: DataFrame, services: DataFrame) -> DataFrame:
 
     The prefix test becomes an equality join by listing each distinct source
     together with its dotted prefixes. Only distinct sources take part, so a
-    source that fills a third of the log is one row here; going back to the log
-    rows, a hot source is salted.
+    source that fills a third of the log is one row here. Going back to the log
+    rows, the staged result is broadcast if its files are small; if they are not,
+    a hot source is salted.
     """
     sources = logs.select("source").distinct()
     parts = F.split("source", r"\.")
@@ -71,7 +73,8 @@ def service_table_lookup(logs: DataFrame, services: DataFrame) -> DataFrame:
         .groupBy("source")
         .agg(F.min_by("service", "allow_ord").alias("service"))
     )
-    return salted_join(logs, matches, "source", spread_by="row_ord", how="left")
+    staged = stage(matches, "service-matches")
+    return salted_join(logs, staged, "source", spread_by="row_ord", how="left")
 
 
 def group_key(op_id: Column, tickets: Column, service: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Every operator here works on distinct (group, key) pairs, never on log rows, and
 joins by equality only: a text search or a time window is first rewritten so
-that it has an equality key. The side that may turn out small ends in an
-aggregation, so adaptive execution sees its true size before it broadcasts it.
+that it has an equality key. The side that may turn out small is staged before
+the join, so whether it is broadcast depends on its true size.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ def ticket_commits(tickets: DataFrame, commits: DataFrame) -> DataFrame:
     """``key, commit_ord`` where the commit subject contains the ticket."""
     texts = commits.select(F.col("commit_ord").alias("text_ord"), F.col("subject").alias("text"))
     keys = stage(tickets.select(F.col("ticket").alias("key")).distinct(), "ticket-keys")
-    return texts_containing(texts, keys).withColumnRenamed("text_ord", "commit_ord")
+    found = texts_containing(texts, keys).withColumnRenamed("text_ord", "commit_ord")
+    return stage(found, "ticket-commits")
 
 
 def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int) -> DataFrame:
@@ -158,7 +159,8 @@ def group_atoms(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
 
     ``pairs`` are the ``group_match_keys`` of the log; pass them staged.
     """
-    links = atom_keys(stage(pairs.select("key").distinct(), "match-keys"), atoms)
+    keys = stage(pairs.select("key").distinct(), "match-keys")
+    links = stage(atom_keys(keys, atoms), "atom-keys")
     return (
         salted_join(pairs, links, "key", spread_by="group_key")
         .select("group_key", "atom_ord")

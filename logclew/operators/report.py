@@ -7,8 +7,8 @@ from urllib.parse import urlsplit, urlunsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logclew.functions.skew import salted_join
 from logclew.operators.findings import first_groups, first_tickets
-from logclew.operators.keys import matched, unmatched
 from logclew.schema import MAX_PREVIEW_MESSAGE_CHARS, PREVIEW_ROWS
 
 # Characters Spark's url_encode escapes and a URL path keeps.
@@ -64,27 +64,33 @@ def group_report(
 
 
 def commit_details(group_commits: DataFrame, commits: DataFrame) -> DataFrame:
-    """The commits of each group as a report lists them; one row per pair."""
+    """The commits of each group as a report lists them; one row per pair.
+
+    One commit can be near a third of all groups, so a hot one is salted.
+    """
     details = commits.select("commit_ord", "sha", "short_sha", "author", "authored_at", "subject")
-    return group_commits.join(details, "commit_ord")
+    return salted_join(group_commits, details, "commit_ord", spread_by="group_key")
 
 
 def atom_details(group_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
-    return group_atoms.join(atoms.select("atom_ord", "id", "ts", "message"), "atom_ord")
+    details = atoms.select("atom_ord", "id", "ts", "message")
+    return salted_join(group_atoms, details, "atom_ord", spread_by="group_key")
 
 
 def raw_preview(keyed: DataFrame, all_groups: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows of a report: by group in order of appearance, then unmatched.
 
     Every group has a row, so the first ``rows`` rows lie in the first ``rows``
-    groups: only their rows are looked at, by a broadcast of at most that many.
+    groups: a broadcast of at most that many finds them in one pass over the log.
     """
     top = F.broadcast(first_groups(all_groups, rows).select("group_key", "first_ord"))
     shown = ["row_ord", "timestamp", "level", "source", "message"]
-    in_groups = matched(keyed).select("group_key", *shown).join(top, "group_key")
-    others = unmatched(keyed)
-    candidates = in_groups.select(F.lit(0).alias("part"), "first_ord", *shown).unionByName(
-        others.select(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("first_ord"), *shown)
+    is_other = F.col("group_key").isNull()
+    candidates = (
+        keyed.select("group_key", *shown)
+        .join(top, "group_key", "left")
+        .where(is_other | F.col("first_ord").isNotNull())
+        .select(is_other.alias("part"), "first_ord", *shown)
     )
     escaped = F.replace("message", F.lit("|"), F.lit("\\|"))
     return (

@@ -24,6 +24,7 @@ TABLES = (
     "group_atoms",
     "evidence",
 )
+_KEYS = ("row_ord", "timestamp", "level", "op_id", "tickets", "service", "group_key")
 _ROW = ("row_ord", "timestamp", "level", "message", "source", "raw", "raw_kind")
 
 
@@ -34,16 +35,19 @@ class Findings:
     Each is built when first asked for. What later steps read more than once,
     the distinct (group, key) pairs and the links, is staged in the shared
     folder at that point, so the log itself is not scanned again for it.
+    ``keyed`` are whole log rows with their keys; ``keys`` is the narrow part of
+    them that groups and links need.
     """
 
     keyed: DataFrame
+    keys: DataFrame
     commits: DataFrame
     atoms: DataFrame
     policy: JoinPolicy
 
     @cached_property
     def stats(self) -> DataFrame:
-        return fnd.group_stats(self.keyed)
+        return fnd.group_stats(self.keys)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -67,20 +71,20 @@ class Findings:
 
     @cached_property
     def group_tickets(self) -> DataFrame:
-        return stage(links.group_tickets(self.keyed), "group-tickets")
+        return stage(links.group_tickets(self.keys), "group-tickets")
 
     @cached_property
     def commit_links(self) -> DataFrame:
         return stage(
             links.group_commits(
-                self.keyed, self.group_tickets, self.commits, self.policy.window_minutes
+                self.keys, self.group_tickets, self.commits, self.policy.window_minutes
             ),
             "group-commits",
         )
 
     @cached_property
     def atom_links(self) -> DataFrame:
-        pairs = stage(links.group_match_keys(self.keyed), "group-keys")
+        pairs = stage(links.group_match_keys(self.keys), "group-keys")
         return stage(links.group_atoms(pairs, self.atoms), "group-atoms")
 
     @cached_property
@@ -99,7 +103,7 @@ class Findings:
             tickets = fnd.of_groups(self.group_tickets, top)
             commits = fnd.of_groups(self.commit_links, top)
         else:
-            rows = fnd.of_groups(self.keyed, top)
+            rows = stage(fnd.of_groups(self.keys, top), "first-rows")
             tickets = stage(links.group_tickets(rows), "first-tickets")
             commits = links.group_commits(
                 rows, tickets, self.commits, self.policy.window_minutes
@@ -128,13 +132,14 @@ def correlate(
 ) -> Findings:
     """Group rows by explicit keys and link the groups.
 
-    With ``staged`` the keyed rows are written once to the shared folder; use it
-    when several of the tables will be computed.
+    With ``staged`` the keys of all rows, without the rows themselves, are written
+    once to the shared folder; use it when several of the tables will be computed.
     """
     spark = prepare(logs.sparkSession)
     keyed = row_keys(logs, policy, services)
+    keys = keyed.select(*_KEYS)
     if staged:
-        keyed = stage(keyed, "keyed")
+        keys = stage(keys, "keys")
     if atoms is None:
         atoms = spark.createDataFrame([], ATOMS)
-    return Findings(keyed, commits, atoms, policy)
+    return Findings(keyed, keys, commits, atoms, policy)

@@ -48,6 +48,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where several outputs need the same intermediate result: the columnar
     copy survives lost executors and later readers only scan the columns they use.
+    Its size is known from the files, so a join broadcasts it only when it is
+    under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
