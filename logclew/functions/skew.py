@@ -19,8 +19,8 @@ def salted_join(
     on: str,
     spread_by: str,
     how: str = "inner",
-    slices: int = HOT_SLICES,
-    min_rows: int = HOT_MIN_ROWS,
+    slices: int | None = None,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Join the large ``left`` to ``right``, salting only the hot keys of ``left``.
 
@@ -30,6 +30,8 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
+    slices = HOT_SLICES if slices is None else slices
+    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
     hot = F.broadcast(
         left.groupBy(on)
         .agg(F.count(F.lit(1)).alias("_n"))

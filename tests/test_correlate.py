@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logclew.functions import skew
 from logclew.functions.skew import salted_join
 from logclew.operators import links
 from logclew.operators.findings import NO_KEY_WARNING
@@ -228,9 +229,13 @@ def random_case(make_logs, make_commits, make_atoms):
 POLICY = JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=7)
 
 
-def test_links_match_brute_force(random_case):
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_links_match_brute_force(random_case, monkeypatch, hot_rows):
+    """Also with every key of more than three rows taken for hot, and so salted."""
     from conftest import at
 
+    if hot_rows is not None:
+        monkeypatch.setattr(skew, "HOT_MIN_ROWS", hot_rows)
     rows, commits, atoms, logs, commit_df, atom_df = random_case
     found = correlate(logs, commit_df, POLICY, atom_df)
     keys = {r["row_ord"]: r for r in found.keyed.collect()}
