@@ -37,11 +37,11 @@ def raw_of(fields: Mapping[str, tuple[Column, str]]) -> tuple[Column, Column]:
 
 
 def variant_kind(value: Column) -> Column:
-    """Kind of a VARIANT value."""
-    schema = F.schema_of_variant(value)
+    """Kind of a VARIANT value; an absent one counts as null."""
+    schema = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
     return (
-        F.when(value.isNull() | (schema == "VOID"), "null")
-        .when(schema == "STRING", "string")
+        F.when(schema == "STRING", "string")
+        .when(schema == "VOID", "null")
         .when(schema == "BOOLEAN", "boolean")
         .when(schema.startswith("OBJECT"), "object")
         .when(schema.startswith("ARRAY"), "array")

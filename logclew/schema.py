@@ -45,7 +45,6 @@ ATOMS = T.StructType(
 DEFAULT_OPERATION_ID_FIELD = "operation_Id"
 DEFAULT_WINDOW_MINUTES = 10
 DEFAULT_ROW_CAP = 1000
-MAX_ROW_CAP = 10_000
 PREVIEW_ROWS = 50
 DEFAULT_SINCE_DAYS = 14
 MAX_COMMITS = 200

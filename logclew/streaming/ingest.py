@@ -18,7 +18,7 @@ from logclew.operators.normalize import shape_rows
 from logclew.operators.redact import redact_rows
 from logclew.schema import JoinPolicy, RedactionRule
 from logclew.session import prepare
-from logclew.sources.json import object_maps
+from logclew.sources.json import object_records
 
 
 def stream_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +28,13 @@ def stream_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     prepare(spark)
     lines = spark.readStream.text(path).where(F.trim("value") != "")
-    value = F.parse_json("value")
-    raw, kind = object_maps(value, F.json_object_keys("value"))
-    maps = lines.select(raw.alias("raw"), kind.alias("raw_kind"), F.xxhash64("value").alias("h"))
-    return shape_rows(
-        maps.where(F.col("raw").isNotNull()), F.col("raw"), F.col("raw_kind"), F.col("h")
+    elements = lines.select(
+        F.col("value").alias("text"),
+        F.parse_json("value").alias("value"),
+        F.xxhash64("value").alias("line_hash"),
     )
+    records = object_records(elements, ("line_hash",))
+    return shape_rows(records, F.col("raw"), F.col("raw_kind"), F.col("line_hash"))
 
 
 def stream_redacted(

@@ -60,6 +60,11 @@ def test_csv_splittable(read):
     assert len(read("csv", "message\na\nb\n", multiline=False)) == 2
 
 
+def test_csv_mixed_line_ends(read):
+    rows = read("csv", 'message,source\r\na,"x\r\ny"\nb,z\rc,\n', mixed_eol=True)
+    assert [(r["message"], r["source"]) for r in rows] == [("a", "x\ny"), ("b", "z"), ("c", "")]
+
+
 def test_csv_no_source_column(read):
     assert read("csv", "message\nhi\n")[0]["source"] == "unknown"
 
