@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logclew.functions.skew import salted_join
-from logclew.session import stage
+from logclew.session import spread, stage
 
 # Key signatures are hashed into this many values, which bounds their table.
 _SIGNATURES = 65_536
@@ -62,7 +62,8 @@ def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     signatures = keys.select(signature(F.col("key"), length).alias("sig")).distinct()
     pieces = (
-        texts.select("text_ord", "text", F.explode(lengths).alias("size"))
+        spread(texts, "text_ord")
+        .select("text_ord", "text", F.explode(lengths).alias("size"))
         .where(F.col("size") <= F.length("text"))
         .select(
             "text_ord",

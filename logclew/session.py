@@ -54,3 +54,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Deal the rows of input that cannot be split out to all cores.
+
+    A whole-document export, or a small file of one row group, is read by one
+    task, and without this all the work on its rows would stay there. Input with
+    a partition per core or more is returned as it is. Rows go by a hash of
+    ``by``, a unique column, so a retried task deals them out the same way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +58,19 @@ def test_unsupported_replacement():
 def test_bad_pattern_is_found_before_the_query(spark):
     with pytest.raises(ValueError, match="ticket_regex"):
         check_pattern(spark, to_java("(unclosed"), "ticket_regex")
+
+
+def test_word_boundaries_match_ascii_semantics(spark):
+    """Random texts, against Python's ASCII mode, whose ``\\b`` and ``\\w`` mean the same."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab1_ é-.@ßç") for _ in range(rnd.randrange(25))) for _ in range(400)]
+    patterns = [
+        r"\bab?\b", r"\b[a-b]+\b", r"\b[ab.-]+\b", r"a\b", r"\b1*a", r"\b(?:a|1)+\b", r"\Ba", r"\b\w{2,}\b",
+        r"[a-b-]\b", r"\b[a-b]{0,2}1", r"\d+\b", r"-\b\w", r"é\b", r"\bé", r"\b",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    counts = [F.size(F.regexp_extract_all("t", F.lit(to_java(p)), F.lit(0))).alias(f"p{n}") for n, p in enumerate(patterns)]
+    for row in df.select("t", *counts).collect():
+        for n, pattern in enumerate(patterns):
+            expected = len(re.findall(pattern, row["t"], re.ASCII))
+            assert row[f"p{n}"] == expected, (pattern, row["t"])

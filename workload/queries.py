@@ -14,7 +14,7 @@ from logclew.plans.bundle import redact_findings, write_bundle
 from logclew.plans.correlate import TABLES, Findings, correlate
 from logclew.plans.investigate import investigate
 from logclew.schema import DEFAULT_ROW_CAP, RedactionRule
-from logclew.session import fresh_path
+from logclew.session import fresh_path, spread
 from logclew.sources import read_logs
 from logclew.sources.commits import (
     FIELD_SEPARATOR,
@@ -291,7 +291,7 @@ def findings_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(views.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     return redact.redact_corpus(documents).drop("text")
 
 
@@ -301,7 +301,7 @@ def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = views.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(views.table(spark, sf_dir, "pages"), "page_id").select("page_id", "html")
     return redact.redact_corpus(pages, "html").drop("html")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logclew.schema import JoinPolicy
-from logclew.session import prepare
+from logclew.session import prepare, spread
 from logclew.sources.tables import logs_from_columns
 
 TICKET_REGEX = r"[A-Z]+-\d+"
@@ -92,7 +92,8 @@ def _utc(df: DataFrame, column: str) -> DataFrame:
 def log_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_ord, ts`` and the raw fields as plain columns ``f_<name>``."""
     columns = [f"{sql} AS f_{name}" for name, _, sql in LOG_FIELDS]
-    return table(spark, sf_dir, "events").selectExpr("event_id AS row_ord", "ts", *columns)
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr("event_id AS row_ord", "ts", *columns)
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +115,8 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id AS query_id", f"{QUERY_TEXT} AS text"
-    )
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr("event_id AS query_id", f"{QUERY_TEXT} AS text")
 
 
 # One seed per redaction shape, picked by doc_id; the blanks leave each seed a
@@ -141,4 +141,5 @@ GLUED_TEXT = POISONED_TEXT.replace("THEN ' ", "THEN '").replace(" ' WHEN", "' WH
 
 
 def poisoned(spark: SparkSession, sf_dir: str, text: str = POISONED_TEXT) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{text} AS text")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return documents.selectExpr("doc_id", f"{text} AS text")
