@@ -46,7 +46,7 @@ def group_match_keys(keyed: DataFrame) -> DataFrame:
 def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct ``key, text_ord`` where ``text`` contains ``key``.
 
-    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct, non-empty ``(key)``.
+    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct ``(key)``, both staged.
     A text contains a key exactly when one of its pieces of the key's length
     equals it, so the search is an equality join between keys and pieces. Pieces
     are cut for the lengths that occur, and only those whose length and opening
@@ -84,8 +84,8 @@ def ticket_commits(tickets: DataFrame, commits: DataFrame) -> DataFrame:
     """``key, commit_ord`` where the commit subject contains the ticket."""
     texts = commits.select(F.col("commit_ord").alias("text_ord"), F.col("subject").alias("text"))
     keys = stage(tickets.select(F.col("ticket").alias("key")).distinct(), "ticket-keys")
-    found = texts_containing(texts, keys).withColumnRenamed("text_ord", "commit_ord")
-    return stage(found, "ticket-commits")
+    found = texts_containing(stage(texts, "commit-subjects"), keys)
+    return stage(found.withColumnRenamed("text_ord", "commit_ord"), "ticket-commits")
 
 
 def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int) -> DataFrame:
@@ -151,7 +151,8 @@ def atom_keys(keys: DataFrame, atoms: DataFrame) -> DataFrame:
     """Distinct ``key, atom_ord``: a tag equals the key or the message contains it."""
     tagged = atoms.select(F.explode("tags").alias("key"), "atom_ord")
     texts = atoms.select(F.col("atom_ord").alias("text_ord"), F.col("message").alias("text"))
-    mentioned = texts_containing(texts, keys).withColumnRenamed("text_ord", "atom_ord")
+    found = texts_containing(stage(texts, "atom-messages"), keys)
+    mentioned = found.withColumnRenamed("text_ord", "atom_ord")
     return tagged.unionByName(mentioned).distinct()
 
 

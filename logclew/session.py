@@ -26,12 +26,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder visible to every executor, as named by ``spark.checkpoint.dir``.
+    """Folder visible to every executor: the session's checkpoint folder.
 
     A machine-local folder is only ever used in local mode, where the driver
     and the executors are the same process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -63,6 +64,8 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     task, and without this all the work on its rows would stay there. Input with
     a partition per core or more is returned as it is. Rows go by a hash of
     ``by``, a unique column, so a retried task deals them out the same way.
+    ``df`` should come straight from a scan: counting the partitions of a plan
+    with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
