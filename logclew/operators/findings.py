@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logclew.functions.rawmap import string_value
 from logclew.functions.timestamps import iso_text
 from logclew.operators.keys import OPERATION_ID_FIELDS, group_label
-from logclew.schema import MAX_BULLETS, MAX_HEADLINE_CHARS
+from logclew.schema import MAX_HEADLINE_CHARS
 
 NO_KEY_WARNING = (
     "no explicit join keys matched: operation id, ticket pattern and service allowlist"
