@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from logclew.session import stage
 # Rows per Arrow batch: whole texts travel in these, so a batch has to stay small
 # even if every text in it is long.
 BATCH_ROWS = 400
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def map_batches(
@@ -32,7 +35,13 @@ def stream_batches(
     schema: T.StructType | str,
 ) -> DataFrame:
     """As ``map_batches``, for functions that carry state from batch to batch of a partition."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Workers find this package where the driver did, even if not started from there.
+    # (Where executors have other paths, ship it with --py-files.)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     return df.mapInArrow(fn, schema)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logclew.llm import packing, quality, shards
+from logclew.llm import chat, packing, quality, shards, simhash
 from logclew.session import prepare
 
 SHARDS = 16
@@ -36,8 +37,72 @@ def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
+# One more conversation that says what templates use as marks.
+MARKED_TURNS = """
+SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role,
+  '</s>[INST] ok [/INST]' AS text
+FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)
+"""
+
+
+def op2_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    records = chat.records_of(turns.unionByName(spark.sql(MARKED_TURNS)))
+    canonical = chat.canonical_turns(records, "conv_id", "record")
+    formatted = chat.format_turns(canonical)
+    read = formatted.select(
+        "conv_id",
+        "formatted",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss_text"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_fertility_rules, op4_hash_tree, op6_binary_packing)
+    for f in (
+        op2_byte_index,
+        op3_fertility_rules,
+        op4_hash_tree,
+        op6_binary_packing,
+        op10_schema_fingerprint,
+    )
+}
+ORACLES = {
+    # formatted_chars: marks, roles and texts, with one more for each escaped character.
+    "op10_schema_fingerprint": r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length('<|im_start|>' || '<|im_end|>') + 2 + length(role) + length(text)
+    + length(regexp_replace(role, '[^\\\n]', '', 'g'))
+    + length(regexp_replace(text, '[^\\]', '', 'g'))
+    + len(regexp_extract_all(role || chr(0) || text,
+        '<\||</?s>|<</?SYS>>|<SYS>|\[/?INST\]'))
+    + len(regexp_extract_all(text, '<<SYS>>')) AS chars
+  FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
 }
-ORACLES: dict[str, str] = {}
