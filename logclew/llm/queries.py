@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logclew.llm import chat, packing, quality, shards, simhash
+from logclew.llm import chat, packing, quality, shards, simhash, sketch, substrings
 from logclew.session import prepare
 
 SHARDS = 16
@@ -32,6 +32,10 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(docs, tree, grown)
 
 
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
@@ -49,6 +53,21 @@ def op2_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_clause_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    spans = F.transform(
+        "removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    )
+    return substrings.remove_repeats(docs).select(
+        "doc_id",
+        F.size("removed_spans").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+        F.length(text).cast("long").alias("kept_chars"),
+        F.sha2(text, 256).alias("kept_sha256"),
+    )
+
+
 def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = chat.records_of(turns.unionByName(spark.sql(MARKED_TURNS)))
@@ -77,11 +96,49 @@ QUERIES = {
         op2_byte_index,
         op3_fertility_rules,
         op4_hash_tree,
+        op5_scaled_sketch,
         op6_binary_packing,
+        op7_clause_hashing,
         op10_schema_fingerprint,
     )
 }
 ORACLES = {
+    "op7_clause_hashing": r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+') AS u
+  FROM documents
+), cut AS (
+  SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM pieces
+), placed AS (
+  SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+    regexp_replace(translate(
+      regexp_replace(unit, '^[.,;:!?\x20\x09-\x0D]+|[.,;:!?\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
+  FROM cut
+), full_ AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place,
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
+  FROM placed WHERE norm <> ''
+), runs AS (
+  SELECT doc_id, min(e - length(unit)) AS s, max(e) AS e
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
+        FROM full_ WHERE again)
+  GROUP BY doc_id, run HAVING sum(length(norm) - length(replace(norm, ' ', '')) + 1) >= 20
+), gaps AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs
+), kept AS (
+  SELECT g.doc_id, count(*) AS n, string_agg(CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s) AS removed,
+    string_agg(substr(text, CAST(before AS BIGINT) + 1, CAST(s - before AS BIGINT)), '' ORDER BY s) AS head,
+    CAST(max(e) AS BIGINT) AS last
+  FROM gaps g JOIN pieces USING (doc_id) GROUP BY g.doc_id
+), whole AS (
+  SELECT p.doc_id, coalesce(n, 0) AS n, coalesce(removed, '') AS removed,
+    coalesce(head || substr(text, last + 1), text) AS t
+  FROM pieces p LEFT JOIN kept USING (doc_id)
+)
+SELECT doc_id, n AS n_removed, removed, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM whole
+""",
     # formatted_chars: marks, roles and texts, with one more for each escaped character.
     "op10_schema_fingerprint": r"""
 WITH rows_ AS (
