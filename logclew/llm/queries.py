@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logclew.llm import chat, packing, quality, shards, simhash, sketch, substrings
+from logclew.llm import chat, packing, private, quality, shards, simhash, sketch, substrings
 from logclew.session import prepare
 
 SHARDS = 16
@@ -49,6 +49,25 @@ FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)
 """
 
 
+def op1_context_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(_table(spark, sf_dir, "documents"))
+    both = F.array_sort(F.concat("base", "added"))
+    counts = [
+        F.size(F.filter("base", _of_kind(n))).cast("long").alias(f"n_{kind}")
+        for n, kind in enumerate(private.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(private.spans_text(F.col("base")), 256).alias("base_sha256"),
+        private.spans_text(both).alias("spans"),
+    )
+
+
+def _of_kind(number: int):
+    return lambda s: s["kind"] == number
+
+
 def op2_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -93,6 +112,7 @@ def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_context_bootstrap,
         op2_byte_index,
         op3_fertility_rules,
         op4_hash_tree,
