@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logclew.llm import chat, packing, private, quality, shards, simhash, sketch, substrings
+from logclew.llm import chat, classifier, packing, private, quality, shards, simhash, sketch, substrings
 from logclew.session import prepare
 
 SHARDS = 16
@@ -87,6 +87,11 @@ def op7_clause_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ftrl_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return classifier.score_documents(docs, classifier.train(docs, labels))
+
+
 def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = chat.records_of(turns.unionByName(spark.sql(MARKED_TURNS)))
@@ -119,6 +124,7 @@ QUERIES = {
         op5_scaled_sketch,
         op6_binary_packing,
         op7_clause_hashing,
+        op9_ftrl_ngrams,
         op10_schema_fingerprint,
     )
 }
