@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logclew.llm import chat, classifier, packing, private, quality, shards, simhash, sketch, substrings
+from logclew.llm import chat, classifier, lattice, packing, private, quality, shards, simhash, sketch, substrings
 from logclew.session import prepare
 
 SHARDS = 16
@@ -87,6 +87,19 @@ def op7_clause_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    model = vocabulary("piece_bpe_32k.model")
+    read = lattice.decode(lattice.encode(turns, model), model)
+    return read.select(
+        "conv_id",
+        "turn",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_ftrl_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return classifier.score_documents(docs, classifier.train(docs, labels))
@@ -124,6 +137,7 @@ QUERIES = {
         op5_scaled_sketch,
         op6_binary_packing,
         op7_clause_hashing,
+        op8_piece_lattice,
         op9_ftrl_ngrams,
         op10_schema_fingerprint,
     )
