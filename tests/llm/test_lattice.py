@@ -1,0 +1,34 @@
+import sentencepiece
+
+from logclew.llm import lattice
+from logclew.llm.queries import vocabulary
+
+MODEL = vocabulary("piece_bpe_32k.model")
+TEXTS = [
+    "a  b \n c", " x", "", "日本 é́ \t😀", "▁a", "Hello, world! www.example.com e.g.", "   ", "\n\n",
+    "ﬁ™ 中文字符 русский текст", "a" * 45, "x" * 100 + "é" * 30, "tab\tsep\r\n", None, "▁▁ x ",
+    "émoji 👩‍👩‍👧 z", "😀th😀the", "a  b \n c",
+]
+
+
+def test_ids_and_text_equal_the_library(spark):
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)], "k int, text string, _row int")
+    rows = lattice.decode(lattice.encode(docs, MODEL), MODEL).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        want = known.encode(TEXTS[r.k] or "")
+        assert r.ids == want and r.decoded == known.decode(want), TEXTS[r.k]
+
+
+def test_turns(spark):
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = lattice.encode(turns, MODEL).collect()
+    assert len(rows) == turns.count()
+    assert all(r.ids == known.encode(r.text) for r in rows)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "k int, text string")
+    assert lattice.decode(lattice.encode(none, MODEL), MODEL).count() == 0

@@ -1,0 +1,140 @@
+import random
+import re
+
+from logclew.llm import private
+
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def valid(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 1:
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == 2:
+        total = 0
+        for i, d in enumerate(reversed(digits)):
+            n = int(d) * (1 + i % 2)
+            total += n - 9 if n > 9 else n
+        return 12 <= len(digits) <= 19 and total % 10 == 0
+    return kind == 0 or 9 <= len(digits) <= 15
+
+
+def plain(text):
+    found = [
+        (m.start(), m.end(), k)
+        for k, p in enumerate(PATTERNS)
+        for m in re.finditer(p, text)
+        if valid(k, m.group())
+    ]
+    return sorted(found, key=lambda s: (s[0], s[2], s[1]))
+
+
+def test_rules_equal_plain_patterns():
+    parts = ["1", "2", "25", "256", ".", ".", "@", "a", "b-", "+", "+1 ", " ", "-", "(", ")",
+             "4111111111111111", "é", "%", "\n", "555", "10.0.0.1"]
+    rand = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rand.choice(parts) for _ in range(rand.randint(0, 20)))
+        assert private.base_spans(text) == plain(text), text
+
+
+def test_rules_are_linear():
+    private.base_spans("1" * 400_000 + "." + "a" * 400_000 + "@")
+
+
+def planted():
+    known = [(i, f"lorem dolor please call me at +1 (212) 555-{1000 + i} tomorrow") for i in range(20)]
+    bare = [(i, f"so please call me at 212-555-{3000 + i} some time") for i in range(20, 24)]
+    other = [(30, "version 3.14.159 of 20240101, build 212-555-9999 here"), (31, None), (32, "")]
+    return [*known, *bare, *other, (None, "call me at 212-555-3021"), *known[:2]]
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    docs = spark.createDataFrame(planted(), "doc_id long, text string")
+    found = [(r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.added])
+             for r in private.find_private(docs).collect()]
+    assert len(found) == docs.count()
+    for doc, base, added in found:
+        text = dict(planted()).get(doc) or ""
+        assert [(a, b, k) for a, k, b in base] == plain(text)
+        if doc is not None and 20 <= doc < 24:
+            at = text.index("212")
+            assert added == [(at, 3, at + 12)]
+        elif doc is not None:
+            assert not added
+        else:
+            assert [(a, b) for a, _, b in added] == [(11, 23)]
+
+
+def plain_rounds(edges, settings):
+    """The graph scored with dictionaries."""
+    values = {}
+    for context, value, kind, bits in edges:
+        values.setdefault(context, {})[value] = (kind, bits)
+    learnt = {}
+    for _ in range(settings.rounds):
+        scores = {}
+        for context, seen in values.items():
+            if len(seen) < settings.min_support:
+                continue
+            for kind in range(4):
+                k = sum((learnt.get(v) if s[0] < 0 else s[0]) == kind for v, s in seen.items())
+                share = k / len(seen)
+                if k >= settings.min_support and share >= settings.min_confidence:
+                    for value, (own, bits) in seen.items():
+                        if own < 0 and bits >> kind & 1:
+                            doubt = scores.setdefault((value, kind), [])
+                            doubt.append(max(1 - share, 1e-6))
+        best = {}
+        for (value, kind), doubts in scores.items():
+            score = 1.0
+            for d in doubts:
+                score *= d
+            if round(1 - score, 9) >= settings.min_score:
+                best[value] = max(best.get(value, (0, -9)), (round(1 - score, 9), -kind))
+        learnt = {v: -k for v, (_, k) in best.items()}
+    return learnt
+
+
+def test_graph_equals_plain_rounds(spark):
+    rand = random.Random(3)
+    settings = private.Bootstrap(rounds=3, min_support=2, min_confidence=0.5, min_score=0.6)
+    true = {v: rand.randrange(4) for v in range(80)}
+    kinds = {v: k if rand.random() < 0.5 else -1 for v, k in true.items()}
+    bits = {v: rand.randint(1, 15) for v in kinds}
+    edges = sorted({
+        (rand.randrange(24) if rand.random() < 0.2 else 6 * true[v] + rand.randrange(6), v, kinds[v],
+         bits[v] if kinds[v] < 0 else 0)
+        for v in kinds for _ in range(5)
+    })
+    frame = spark.createDataFrame(edges, "context long, value long, kind int, bits int")
+    got = {r.value: r.kind for r in private.score_graph(frame, settings).collect()}
+    assert got == plain_rounds(edges, settings)
+    assert got
+
+
+def test_redact(spark):
+    docs = spark.createDataFrame(planted(), "doc_id long, text string").selectExpr("*", "1 AS _digest")
+    out = private.redact(docs)
+    assert out.columns == docs.columns
+    texts = sorted((r.text or "") for r in out.collect())
+    assert sum("call me at [PHONE]" in t for t in texts) == 27
+    assert "version 3.14.159 of 20240101, build 212-555-9999 here" in texts
+
+
+def test_edges(edge_docs, no_docs):
+    found = private.find_private(edge_docs).collect()
+    assert len(found) == edge_docs.count() and not any(r.base or r.added for r in found)
+    assert private.redact(edge_docs).columns == edge_docs.columns
+    assert private.redact(edge_docs).count() == edge_docs.count()
+    assert private.find_private(no_docs).count() == 0
+    assert private.redact(no_docs).count() == 0
+
+
+def test_overlapping_spans_are_one_mask():
+    assert private.masked("ab 4111 1111 1111 1111 x", [(3, 22, 2), (3, 22, 3)]) == "ab [CARD] x"

@@ -1,0 +1,89 @@
+import math
+from collections import Counter
+
+import pytest
+
+from logclew.llm import quality
+from logclew.llm.queries import vocabulary
+
+MODEL = vocabulary("piece_bpe_32k.model")
+
+
+def plain(text):
+    import sentencepiece
+
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = text or ""
+    words = text.encode().split()
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(windows)
+    covered = {i + j for i, w in enumerate(windows) if often[w] > 1 for j in range(8)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    seen, repeats = set(), 0
+    for line in lines:
+        repeats += line in seen
+        seen.add(line)
+    ids = [i for w in words for i in known.encode(w.decode())]
+    share = [c / len(ids) for c in Counter(ids).values()]
+    chars = sum(len(w.decode()) for w in words)
+    return {
+        "n_words": len(words),
+        "word_chars": chars,
+        "n_symbols": sum(c in "#*$%&|<>" for c in text),
+        "n_dup_lines": repeats,
+        "n_repeat_words": len(covered),
+        "base_failed": len(words) < 20 or 100 * len(covered) > 30 * len(words),
+        "chars_per_token": chars / len(ids) if ids else 0.0,
+        "fallback_share": sum(3 <= i < 259 for i in ids) / len(ids) if ids else 0.0,
+        "token_entropy": -sum(s * math.log2(s) for s in share),
+    }
+
+
+def test_measures_equal_plain_ones(documents):
+    got = {r.doc_id: r.asDict() for r in quality.measure(documents, MODEL).collect()}
+    for row in documents.collect():
+        for name, value in plain(row.text).items():
+            assert got[row.doc_id][name] == pytest.approx(value, abs=1e-9), (row.doc_id, name)
+
+
+def test_clean_stays_and_junk_goes(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measure(docs, MODEL).join(labels, "doc_id").collect()
+    good = [r for r in rows if r.quality == 1 and not r.base_failed]
+    assert good and all(r.kept for r in good)
+    junk = [r for r in rows if r.quality == 0]
+    assert sum(not r.kept for r in junk) >= 0.3 * len(junk)
+
+
+def test_bands_reject(spark):
+    import random
+
+    rand = random.Random(2)
+    code = " ".join("".join(rand.choice("0123456789abcdef") for _ in range(40)) for _ in range(60))
+    shout = "STOP NOW AND BUY THIS " * 80
+    strange = " ".join(chr(0x10000 + rand.randrange(2000)) * 3 for _ in range(60))
+    docs = spark.createDataFrame(
+        [(1, code, "en"), (2, shout, "en"), (3, strange, "en")], "doc_id long, text string, lang string"
+    )
+    assert not any(r.kept for r in quality.measure(docs, MODEL).collect())
+
+
+def test_repeated_words_windows():
+    import numpy as np
+
+    codes = np.array([*range(8), 99, *range(8)])
+    assert quality.repeated_words(codes) == 16
+    assert quality.repeated_words(np.arange(30)) == 0
+    assert quality.repeated_words(np.array([1] * 9)) == 9
+    assert quality.repeated_words(np.array([], np.int64)) == 0
+
+
+def test_edges(edge_docs, no_docs):
+    found = quality.measure(edge_docs, MODEL).collect()
+    assert len(found) == edge_docs.count() and not any(r.kept for r in found)
+    assert {r.n_words for r in found if r.doc_id in (1, 2, 4)} == {0}
+    assert {r.n_words for r in found if r.doc_id == 5} == {30_000}
+    assert quality.keep_good(edge_docs, MODEL).columns == edge_docs.columns
+    assert quality.keep_good(edge_docs, MODEL).count() == 0
+    assert quality.measure(no_docs, MODEL).count() == 0
