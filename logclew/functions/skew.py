@@ -1,55 +1,23 @@
-"""An equality join that keeps a hot key from landing in one task."""
+"""An equality join whose hot keys adaptive execution can split, on either side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# At most this many keys are salted. Fewer than 64 keys can each hold more than
-# 1/64 of the rows, so the most frequent 64 include every one that does.
-HOT_KEYS = 64
-HOT_SLICES = 64
-# Below this many rows a key fits one task anyway.
-HOT_MIN_ROWS = 1_000_000
+from logclew.session import stage
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    spread_by: str,
-    how: str = "inner",
-    slices: int | None = None,
-    min_rows: int | None = None,
+def skew_join(
+    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", name: str = "join"
 ) -> DataFrame:
-    """Join the large ``left`` to ``right``, salting only the hot keys of ``left``.
+    """``left.join(right, on, how)`` with both sides written to the shared folder first.
 
-    Rows of a hot key are spread over ``slices`` by a hash of ``spread_by``; the
-    few right rows of that key are repeated once per slice. Every other key joins
-    as usual. The result is exactly that of a plain join.
+    A side that comes out of an aggregate or another join is partitioned by its own
+    shuffle, and Spark then leaves a hot key in one task. From a table each side gets a
+    plain exchange, whose measured partitions the adaptive skew join splits, whichever
+    side is hot and however many keys are. What a side was computed from is read once,
+    and a side whose files are small enough is broadcast.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins")
-    slices = HOT_SLICES if slices is None else slices
-    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    hot = F.broadcast(
-        left.groupBy(on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col(on).isNotNull() & (F.col("_n") > min_rows))
-        .orderBy(F.col("_n").desc())
-        .limit(HOT_KEYS)
-        .select(on, F.lit(True).alias("_hot"))
-    )
-    slice_of = F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")
-    all_slices = F.sequence(F.lit(0), F.lit(slices - 1))
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), slice_of).otherwise(0))
-        .drop("_hot")
-    )
-    salted_right = (
-        right.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), all_slices).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("skew_join supports inner, left and left_semi joins")
+    return stage(left, f"{name}-left").join(stage(right, f"{name}-right"), on, how)

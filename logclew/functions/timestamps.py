@@ -12,6 +12,26 @@ _ISO = (
     r"(?::[0-9]{2}(?:[.][0-9]+)?)?\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})?)?)?)?\s*$"
 )
 
+# Other everyday forms: what a text of that form looks like, what to drop from it (parsers
+# take no day names), and the formats to try.
+_FORMS = (
+    (
+        r"(?i)^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{4},? [0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)? [ap]m\s*$",
+        ",",
+        ("M/d/yyyy h:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS] a",),
+    ),
+    (
+        r"^\s*[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?: [0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?)?\s*$",
+        "",
+        ("yyyy/M/d[ H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS]]",),
+    ),
+    (
+        r"^\s*(?:[A-Z][a-z]{2}, )?[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}(?::[0-9]{2})? (?:GMT|UTC)\s*$",
+        "^\\s*[A-Z][a-z]{2}, | (?:GMT|UTC)\\s*$",
+        ("d MMM yyyy HH:mm[:ss]",),
+    ),
+)
+
 
 def to_millis(ts: Column) -> Column:
     """Cut a timestamp to whole milliseconds."""
@@ -21,6 +41,11 @@ def to_millis(ts: Column) -> Column:
 def parse_timestamp(text: Column, extra_formats: tuple[str, ...] = ()) -> Column:
     """Timestamp in whole milliseconds, or NULL when ``text`` is no date."""
     parsed = F.when(text.rlike(_ISO), F.try_to_timestamp(text))
+    for looks, drop, formats in _FORMS:
+        plain = F.upper(text) if "ap]m" in looks else text
+        plain = F.trim(F.regexp_replace(plain, drop, "") if drop else plain)
+        tried = [F.try_to_timestamp(plain, F.lit(f)) for f in formats]
+        parsed = parsed.when(text.rlike(looks), F.coalesce(*tried))
     if extra_formats:
         parsed = F.coalesce(parsed, *[F.try_to_timestamp(text, F.lit(f)) for f in extra_formats])
     return to_millis(parsed)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logclew.functions.rawmap import string_value
 from logclew.functions.timestamps import iso_text
 from logclew.operators.keys import OPERATION_ID_FIELDS, group_label
-from logclew.schema import MAX_HEADLINE_CHARS
 
 NO_KEY_WARNING = (
     "no explicit join keys matched: operation id, ticket pattern and service allowlist"
@@ -102,7 +101,7 @@ def summary(stats: DataFrame) -> DataFrame:
     )
     no_key = (F.col("group_count") == 0) & (F.col("row_count") > 0)
     return totals.select(
-        F.substring(headline, 1, MAX_HEADLINE_CHARS).alias("headline"),
+        headline.alias("headline"),
         severity.alias("severity"),
         "row_count",
         "group_count",

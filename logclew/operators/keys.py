@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logclew.functions.rawmap import string_value
 from logclew.functions.regex import check_pattern, to_java
-from logclew.functions.skew import salted_join
+from logclew.operators.normalize import time_known
 from logclew.schema import JoinPolicy
 from logclew.session import stage
 
@@ -57,7 +57,7 @@ def service_table_lookup(logs: DataFrame, services: DataFrame) -> DataFrame:
     together with its dotted prefixes. Only distinct sources take part, so a
     source that fills a third of the log is one row here. Going back to the log
     rows, the staged result is broadcast if its files are small; if they are not,
-    a hot source is salted.
+    adaptive execution splits a hot source.
     """
     sources = logs.select("source").distinct()
     parts = F.split("source", r"\.")
@@ -73,8 +73,7 @@ def service_table_lookup(logs: DataFrame, services: DataFrame) -> DataFrame:
         .groupBy("source")
         .agg(F.min_by("service", "allow_ord").alias("service"))
     )
-    staged = stage(matches, "service-matches")
-    return salted_join(logs, staged, "source", spread_by="row_ord", how="left")
+    return logs.join(stage(matches, "service-matches"), "source", "left")
 
 
 def group_key(op_id: Column, tickets: Column, service: Column) -> Column:
@@ -114,7 +113,7 @@ def group_label(key: Column) -> Column:
 def row_keys(
     logs: DataFrame, policy: JoinPolicy, services: DataFrame | None = None
 ) -> DataFrame:
-    """Log rows with ``op_id, tickets, service, group_key``.
+    """Log rows with ``time_known, op_id, tickets, service, group_key``.
 
     ``services`` is an allowlist held as a table, for one too long for
     ``policy.service_allowlist``. Tickets are sorted where they form the group
@@ -134,6 +133,7 @@ def row_keys(
         service = service_of(F.col("source"), policy.service_allowlist)
     found = logs.withColumns(
         {
+            "time_known": time_known(F.col("timestamp"), raw),
             "op_id": operation_id(raw, kind, policy.operation_id_field),
             "tickets": tickets,
             "service": service,

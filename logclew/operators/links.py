@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logclew.functions.skew import salted_join
+from logclew.functions.skew import skew_join
+from logclew.functions.timestamps import epoch
 from logclew.session import spread, stage
 
 # Key signatures are hashed into this many values, which bounds their table.
@@ -91,7 +93,7 @@ def ticket_commits(tickets: DataFrame, commits: DataFrame) -> DataFrame:
 def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int) -> DataFrame:
     """Distinct ``group_key, commit_ord`` with a commit within the window of a row.
 
-    Only rows with an operation id count. Time is cut into buckets of one window,
+    Only rows with an operation id and a readable time count, and commits with a date. Time is cut into buckets of one window,
     and the rows of a group in a bucket reduce, map-side, to their earliest and
     latest time: a commit in the same bucket always matches, one in the next
     bucket matches exactly when it is near the latest row, one in the bucket
@@ -99,9 +101,11 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
     the log costs one row per bucket.
     """
     window = window_minutes * 60_000
-    rows = keyed.where(F.col("op_id").isNotNull())
+    rows = keyed.where(F.col("op_id").isNotNull() & F.col("time_known"))
     if window == 0:
-        return rows.select("group_key").join(commits.select("commit_ord"), F.lit(False))
+        pairs = T.StructType([keyed.schema["group_key"], commits.schema["commit_ord"]])
+        return keyed.sparkSession.createDataFrame([], pairs)
+    commits = commits.where(F.col("authored_at") != epoch())
     at = F.unix_millis("timestamp")
     spans = (
         rows.select("group_key", at.alias("at"))
@@ -121,7 +125,7 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
         F.col("commit_at") <= F.col("latest") + window
     )
     return (
-        salted_join(spans, near, "bucket", spread_by="group_key")
+        skew_join(spans, near, "bucket", name="near")
         .where(in_reach)
         .select("group_key", "commit_ord")
         .distinct()
@@ -135,12 +139,11 @@ def group_commits(
 
     ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
     """
-    by_ticket = salted_join(
-        tickets.select("group_key", F.col("ticket").alias("key")),
-        ticket_commits(tickets, commits),
-        "key",
-        spread_by="group_key",
-    ).select("group_key", "commit_ord")
+    by_ticket = (
+        tickets.select("group_key", F.col("ticket").alias("key"))
+        .join(ticket_commits(tickets, commits), "key")
+        .select("group_key", "commit_ord")
+    )
     if window_minutes == 0:
         return by_ticket.distinct()
     near = proximity_commits(keyed, commits, window_minutes)
@@ -164,7 +167,5 @@ def group_atoms(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     keys = stage(pairs.select("key").distinct(), "match-keys")
     links = stage(atom_keys(keys, atoms), "atom-keys")
     return (
-        salted_join(pairs, links, "key", spread_by="group_key")
-        .select("group_key", "atom_ord")
-        .distinct()
+        pairs.join(links, "key").select("group_key", "atom_ord").distinct()
     )

@@ -35,10 +35,19 @@ DEFAULT_SOURCE = "unknown"
 
 
 def log_timestamp(raw: Column, extra_formats: tuple[str, ...] = ()) -> Column:
-    """Event time; the epoch when missing or unreadable."""
+    """Event time; the epoch when missing or unreadable (see ``time_known``)."""
     return F.coalesce(parse_timestamp(pick(raw, TIMESTAMP_KEYS), extra_formats), epoch())
 
 
+def time_known(timestamp: Column, raw: Column) -> Column:
+    """False where ``timestamp`` is the epoch only because there was no readable time.
+
+    The record is parsed again for rows at the epoch alone.
+    """
+    read = F.coalesce(parse_timestamp(pick(raw, TIMESTAMP_KEYS)) == epoch(), F.lit(False))
+    return F.when(timestamp == epoch(), read).otherwise(timestamp.isNotNull())
+
+
 def canonical_level(value: Column) -> Column:
     """One of critical, error, warn, info, debug, or the value as it came."""
     lowered = F.lower(value)
@@ -120,27 +129,15 @@ def column_types(logs: DataFrame, extra_formats: tuple[str, ...] = ()) -> DataFr
     return facts.select("name", column_type.alias("type"), "first_ord", "first_pos")
 
 
-def cap_rows(logs: DataFrame, row_cap: int | None) -> DataFrame:
-    """The first ``row_cap`` rows in order of arrival; all of them for ``None``."""
-    if row_cap is None:
-        return logs
-    return logs.orderBy("row_ord").limit(row_cap)
-
-
 def preview(logs: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return logs.orderBy("row_ord").limit(rows)
 
 
-def rowset_meta(logs: DataFrame, source: str, row_cap: int | None = None) -> DataFrame:
-    """One row: source, rows kept, whether the cap cut any off, and the warning."""
-    total = F.col("total")
-    cap = F.lit(row_cap).cast("bigint")
-    truncated = F.coalesce(total > cap, F.lit(False))
-    kept = F.least(total, cap)
-    warning = F.when(truncated, F.format_string(f"rowset truncated to %d rows (cap {row_cap})", kept))
-    return logs.agg(F.count(F.lit(1)).alias("total")).select(
+def rowset_meta(logs: DataFrame, source: str) -> DataFrame:
+    """One row: source, number of rows, and of those without a readable time."""
+    unknown = ~time_known(F.col("timestamp"), F.col("raw"))
+    return logs.agg(
         F.lit(source).alias("source"),
-        kept.alias("row_count"),
-        truncated.alias("truncated"),
-        warning.alias("warning"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(unknown).alias("unreadable_times"),
     )

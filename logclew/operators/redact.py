@@ -26,6 +26,9 @@ ALWAYS = {
     "groups": ("label",),
     "group_rows": ("message",),
     "unmatched": ("message",),
+    "group_report": ("label",),
+    "raw_preview": ("message",),
+    "linked_tickets": ("ticket",),
 }
 LINKED = {
     "group_tickets": ("ticket",),

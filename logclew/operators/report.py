@@ -7,9 +7,9 @@ from urllib.parse import urlsplit, urlunsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logclew.functions.skew import salted_join
-from logclew.operators.findings import first_groups, first_tickets
-from logclew.schema import MAX_PREVIEW_MESSAGE_CHARS, PREVIEW_ROWS
+from logclew.functions.skew import skew_join
+from logclew.operators.findings import first_groups
+from logclew.schema import PREVIEW_ROWS
 
 # Characters Spark's url_encode escapes and a URL path keeps.
 _KEPT = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
@@ -34,15 +34,15 @@ def ticket_link(ticket: Column, base: str) -> Column:
 
 
 def linked_tickets(tickets: DataFrame, link_base: str | None = None) -> DataFrame:
-    """``ticket, link``: distinct over all groups, sorted by ticket."""
+    """``ticket, link``: distinct over all groups."""
     link = ticket_link(F.col("ticket"), link_base) if link_base else F.lit(None).cast("string")
-    return tickets.select("ticket").distinct().orderBy("ticket").withColumn("link", link)
+    return tickets.select("ticket").distinct().withColumn("link", link)
 
 
 def group_report(
     all_groups: DataFrame, tickets: DataFrame, commits: DataFrame, atoms: DataFrame
 ) -> DataFrame:
-    """One row per group: label, rows, numbers of links and the first three tickets."""
+    """One row per group: label, rows and numbers of links; the links are tables of their own."""
 
     def counted(links: DataFrame, name: str) -> DataFrame:
         return links.groupBy("group_key").agg(F.count(F.lit(1)).alias(name))
@@ -50,7 +50,7 @@ def group_report(
     report = (
         all_groups.join(counted(commits, "commit_count"), "group_key", "left")
         .join(counted(atoms, "atom_count"), "group_key", "left")
-        .join(first_tickets(tickets, 3), "group_key", "left")
+        .join(counted(tickets, "ticket_count"), "group_key", "left")
     )
     counts = ("commit_count", "ticket_count", "atom_count")
     return report.select(
@@ -59,22 +59,18 @@ def group_report(
         "row_count",
         "first_ord",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
-        F.coalesce("tickets", F.lit("")).alias("tickets"),
     )
 
 
 def commit_details(group_commits: DataFrame, commits: DataFrame) -> DataFrame:
-    """The commits of each group as a report lists them; one row per pair.
-
-    One commit can be near a third of all groups, so a hot one is salted.
-    """
+    """The commits of each group as a report lists them; one row per pair."""
     details = commits.select("commit_ord", "sha", "short_sha", "author", "authored_at", "subject")
-    return salted_join(group_commits, details, "commit_ord", spread_by="group_key")
+    return skew_join(group_commits, details, "commit_ord", name="commit-details")
 
 
 def atom_details(group_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     details = atoms.select("atom_ord", "id", "ts", "message")
-    return salted_join(group_atoms, details, "atom_ord", spread_by="group_key")
+    return skew_join(group_atoms, details, "atom_ord", name="atom-details")
 
 
 def raw_preview(keyed: DataFrame, all_groups: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -82,6 +78,7 @@ def raw_preview(keyed: DataFrame, all_groups: DataFrame, rows: int = PREVIEW_ROW
 
     Every group has a row, so the first ``rows`` rows lie in the first ``rows``
     groups: a broadcast of at most that many finds them in one pass over the log.
+    Messages are whole and as they are; ``escape_cells`` makes them fit for a table.
     """
     top = F.broadcast(first_groups(all_groups, rows).select("group_key", "first_ord"))
     shown = ["row_ord", "timestamp", "level", "source", "message"]
@@ -92,9 +89,9 @@ def raw_preview(keyed: DataFrame, all_groups: DataFrame, rows: int = PREVIEW_ROW
         .where(is_other | F.col("first_ord").isNotNull())
         .select(is_other.alias("part"), "first_ord", *shown)
     )
-    escaped = F.replace("message", F.lit("|"), F.lit("\\|"))
-    return (
-        candidates.orderBy("part", "first_ord", "row_ord")
-        .limit(rows)
-        .withColumn("message", F.substring(escaped, 1, MAX_PREVIEW_MESSAGE_CHARS))
-    )
+    return candidates.orderBy("part", "first_ord", "row_ord").limit(rows)
+
+
+def escape_cells(preview: DataFrame) -> DataFrame:
+    """Bars in messages escaped; after redaction, whose rules should see the plain text."""
+    return preview.withColumn("message", F.replace("message", F.lit("|"), F.lit("\\|")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from logclew.operators import findings as fnd
 from logclew.operators import links, report
 from logclew.operators.keys import matched, row_keys, unmatched
-from logclew.schema import ATOMS, MAX_BULLETS, JoinPolicy
+from logclew.schema import ATOMS, BULLETS, PREVIEW_ROWS, JoinPolicy
 from logclew.session import prepare, stage
 
 TABLES = (
@@ -24,7 +24,7 @@ TABLES = (
     "group_atoms",
     "evidence",
 )
-_KEYS = ("row_ord", "timestamp", "level", "op_id", "tickets", "service", "group_key")
+_KEYS = ("row_ord", "timestamp", "time_known", "level", "op_id", "tickets", "service", "group_key")
 _ROW = ("row_ord", "timestamp", "level", "message", "source", "raw", "raw_kind")
 
 
@@ -97,8 +97,11 @@ class Findings:
 
     @cached_property
     def bullets(self) -> DataFrame:
-        """Of the first groups; links are worked out for those groups only."""
-        top = stage(fnd.first_groups(self.groups, MAX_BULLETS), "first-groups")
+        return self.first_bullets(BULLETS)
+
+    def first_bullets(self, n: int) -> DataFrame:
+        """Of the first ``n`` groups; links are worked out for those groups only."""
+        top = stage(fnd.first_groups(self.groups, n), "first-groups")
         if "commit_links" in self.__dict__:
             tickets = fnd.of_groups(self.group_tickets, top)
             commits = fnd.of_groups(self.commit_links, top)
@@ -110,12 +113,15 @@ class Findings:
             )
         return fnd.bullets(top, tickets, commits)
 
-    @property
-    def report(self) -> DataFrame:
+    @cached_property
+    def _report(self) -> DataFrame:
         return report.group_report(
             self.groups, self.group_tickets, self.commit_links, self.atom_links
         )
 
+    def _preview(self, rows: int = PREVIEW_ROWS) -> DataFrame:
+        return report.raw_preview(self.keyed, self.groups, rows)
+
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)

@@ -41,18 +41,11 @@ ATOMS = T.StructType(
     ]
 )
 
-# Field names and limits that results depend on.
+# Field name, window, and lengths of the two top-k reports.
 DEFAULT_OPERATION_ID_FIELD = "operation_Id"
 DEFAULT_WINDOW_MINUTES = 10
-DEFAULT_ROW_CAP = 1000
 PREVIEW_ROWS = 50
-DEFAULT_SINCE_DAYS = 14
-MAX_COMMITS = 200
-MAX_FETCH_HOURS = 720
-MAX_FETCH_ROWS = 10_000
-MAX_BULLETS = 10
-MAX_HEADLINE_CHARS = 500
-MAX_PREVIEW_MESSAGE_CHARS = 200
+BULLETS = 10
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,15 @@ _SQL_CONF = {
 }
 
 
+_OWN_DIR = "logclew.stage.dir"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the SQL options every operator assumes; safe to call repeatedly."""
+    """Set the SQL options every operator assumes; safe to call repeatedly.
+
+    They stay set: pass a session of your own (``spark.newSession()``) if other work
+    in this one needs another time zone or variant handling.
+    """
     for key, value in _SQL_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -28,16 +36,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder visible to every executor: the session's checkpoint folder.
 
-    A machine-local folder is only ever used in local mode, where the driver
-    and the executors are the same process.
+    Where none is set, as in a small test, and the driver and the executors are one process
+    (``local``, ``local[n]``; not ``local-cluster``), one temporary folder is made for
+    the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
+    configured = configured or spark.conf.get(_OWN_DIR, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="logclew-")
+    own = tempfile.mkdtemp(prefix="logclew-")
+    spark.conf.set(_OWN_DIR, own)
+    return own
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logclew.functions.rawmap import raw_of
 from logclew.operators.normalize import shape_rows
-from logclew.schema import ATOMS, MAX_FETCH_HOURS, MAX_FETCH_ROWS
+from logclew.schema import ATOMS
 from logclew.session import prepare
 
 
@@ -44,16 +44,19 @@ def time_bounded(
     hours: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Rows of the last ``hours``, newest first, at most ``limit``.
+    """Rows up to ``as_of``, of the last ``hours`` if given.
 
-    The filter compares the stored column itself, so it reaches the file scan.
+    ``limit`` asks for the newest so many, newest first; without it all are kept, in no
+    order. The filters compare the stored column itself, so they reach the file scan.
     """
-    for name, value, most in (("hours", hours, MAX_FETCH_HOURS), ("limit", limit, MAX_FETCH_ROWS)):
-        if value is not None and not 1 <= value <= most:
-            raise ValueError(f"{name} must be between 1 and {most}")
-    out = table
+    for name, value in (("hours", hours), ("limit", limit)):
+        if value is not None and value < 1:
+            raise ValueError(f"{name} must be 1 or more")
+    kind = table.schema[time_col].dataType
+    out = table.where(F.col(time_col) <= as_of.cast(kind))
     if hours is not None:
         bound = as_of - F.make_dt_interval(hours=F.lit(hours))
-        out = out.where(F.col(time_col) >= bound.cast(table.schema[time_col].dataType))
-    out = out.orderBy(F.col(time_col).desc(), order_col)
-    return out if limit is None else out.limit(limit)
+        out = out.where(F.col(time_col) >= bound.cast(kind))
+    if limit is None:
+        return out
+    return out.orderBy(F.col(time_col).desc(), order_col).limit(limit)

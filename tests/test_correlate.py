@@ -3,8 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logclew.functions import skew
-from logclew.functions.skew import salted_join
+from logclew.functions.skew import skew_join
 from logclew.operators import links
 from logclew.operators.findings import NO_KEY_WARNING
 from logclew.operators.keys import row_keys
@@ -229,13 +228,9 @@ def random_case(make_logs, make_commits, make_atoms):
 POLICY = JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=7)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_links_match_brute_force(random_case, monkeypatch, hot_rows):
-    """Also with every key of more than three rows taken for hot, and so salted."""
+def test_links_match_brute_force(random_case):
     from conftest import at
 
-    if hot_rows is not None:
-        monkeypatch.setattr(skew, "HOT_MIN_ROWS", hot_rows)
     rows, commits, atoms, logs, commit_df, atom_df = random_case
     found = correlate(logs, commit_df, POLICY, atom_df)
     keys = {r["row_ord"]: r for r in found.keyed.collect()}
@@ -262,7 +257,7 @@ def test_staged_run_gives_the_same(random_case):
     _, _, _, logs, commits, atoms = random_case
     plain, staged = (correlate(logs, commits, POLICY, atoms, staged=s) for s in (False, True))
     assert staged.group_commits and staged.group_atoms
-    for name in ("groups", "bullets", "summary", "evidence", "unmatched", "group_commits", "report"):
+    for name in ("groups", "bullets", "summary", "evidence", "unmatched", "group_commits", "_report"):
         a, b = (sorted(map(str, getattr(f, name).collect())) for f in (plain, staged))
         assert a == b, name
 
@@ -278,15 +273,20 @@ def test_no_join_is_a_cross_product(random_case):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(spark, how):
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_skew_join_equals_plain_join(spark, how):
     left = spark.range(2000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     ).unionByName(spark.createDataFrame([(-1, None), (-2, "lonely")], "id long, k string"))
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), ("other", 4)], "k string, v int")
-    salted = salted_join(left, right, "k", "id", how, slices=5, min_rows=100)
-    plain = left.join(right, "k", how)
-    assert sorted(map(str, salted.select("id", "k", "v").collect())) == sorted(
-        map(str, plain.select("id", "k", "v").collect())
-    )
-    assert salted.where("k = 'hot'").count() == 667 * 2
+    joined, plain = skew_join(left, right, "k", how), left.join(right, "k", how)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(ValueError):
+        skew_join(left, right, "k", "full")
+
+
+def test_unreadable_times_link_nothing(make_logs, make_commits):
+    epoch = "1970-01-01T00:00:00Z"
+    logs = make_logs([{"timestamp": epoch, "raw": {"operation_Id": f"o{i}"}} for i in range(4)])
+    assert correlate(logs, make_commits((epoch, "c")), JoinPolicy()).commit_links.count() == 0
+    assert links.proximity_commits(correlate(logs, make_commits(), JoinPolicy()).keyed, make_commits(), 0).count() == 0

@@ -4,12 +4,10 @@ from pyspark.sql import functions as F
 from logclew.functions.timestamps import parse_timestamp
 from logclew.operators.normalize import (
     canonical_level,
-    cap_rows,
     column_types,
     preview,
     rowset_meta,
 )
-from logclew.schema import DEFAULT_ROW_CAP
 from logclew.sources import read_logs
 
 
@@ -77,19 +75,18 @@ def test_number_pattern_is_strict(make_logs):
     assert types(make_logs([{"raw": {"a": ".5"}}]))[0][1] == "string"
 
 
-def test_cap(make_logs):
-    logs = make_logs([{"row_ord": 2000 - i, "message": f"m{i}"} for i in range(DEFAULT_ROW_CAP + 5)])
-    capped = cap_rows(logs, DEFAULT_ROW_CAP)
-    assert capped.count() == DEFAULT_ROW_CAP
-    assert cap_rows(logs, None).count() == DEFAULT_ROW_CAP + 5
-    meta = rowset_meta(logs, "csv", DEFAULT_ROW_CAP).first()
-    assert (meta["row_count"], meta["truncated"]) == (DEFAULT_ROW_CAP, True)
-    assert meta["warning"] == "rowset truncated to 1000 rows (cap 1000)"
-    whole = rowset_meta(logs, "csv").first()
-    assert (whole["row_count"], whole["truncated"], whole["warning"]) == (1005, False, None)
+def test_meta_and_preview(make_logs):
+    epoch = "1970-01-01T00:00:00Z"
+    logs = make_logs(
+        [{"row_ord": 2000 - i, "message": f"m{i}"} for i in range(1002)]
+        + [{"row_ord": 996 + i, "timestamp": epoch, "raw": raw} for i, raw in enumerate(
+            ({}, {"timestamp": "soon"}, {"timestamp": epoch}))]
+    )
+    meta = rowset_meta(logs, "csv").first()
+    assert (meta["source"], meta["row_count"], meta["unreadable_times"]) == ("csv", 1005, 2)
     shown = preview(logs)
     assert shown.count() == 50
-    assert shown.agg(F.max("row_ord")).first()[0] == 2000 - 1004 + 49
+    assert shown.agg(F.max("row_ord")).first()[0] == 996 + 49
 
 
 def test_field_order_and_empty_string(spark, tmp_path):

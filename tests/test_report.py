@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logclew.operators.report import linked_tickets, raw_preview
+from logclew.operators.report import escape_cells, linked_tickets, raw_preview
+from logclew.plans.bundle import redact_findings
 from logclew.plans.correlate import correlate
 from logclew.schema import JoinPolicy
 
@@ -21,9 +22,9 @@ def test_ticket_links(spark, base, link):
     assert [tuple(r) for r in linked_tickets(tickets, base).collect()] == [("A/&% b!'()~*", link)]
 
 
-def test_tickets_are_sorted(spark):
-    tickets = spark.createDataFrame([("g", t) for t in ("b", "a", "B")], "group_key string, ticket string")
-    assert [r["ticket"] for r in linked_tickets(tickets).collect()] == ["B", "a", "b"]
+def test_tickets_are_distinct(spark):
+    tickets = spark.createDataFrame([("g", t) for t in ("b", "a", "B", "b")], "group_key string, ticket string")
+    assert sorted(r["ticket"] for r in linked_tickets(tickets).collect()) == ["B", "a", "b"]
 
 
 @pytest.mark.parametrize("base", ["http://x.example.com", "not a url", "https://"])
@@ -44,8 +45,8 @@ def test_raw_preview_order_and_escape(make_logs, make_commits):
         ]
     )
     found = correlate(logs, make_commits(), JoinPolicy())
-    shown = raw_preview(found.keyed, found.groups).collect()
-    assert [r["message"] for r in shown] == ["b1", "b2", "a1", "left \\| right", "\\|" * 100]
+    shown = escape_cells(raw_preview(found.keyed, found.groups)).collect()
+    assert [r["message"] for r in shown] == ["b1", "b2", "a1", "left \\| right", "\\|" * 150]
     assert [r["message"] for r in raw_preview(found.keyed, found.groups, 2).collect()] == ["b1", "b2"]
     assert [r["message"] for r in raw_preview(found.keyed, found.groups, 3).collect()] == ["b1", "b2", "a1"]
 
@@ -57,11 +58,11 @@ def test_group_report(make_logs, make_commits, make_atoms):
     )
     commits = make_commits(("2026-05-22T00:01:00Z", "x"), ("2026-05-01T00:00:00Z", "T-1"))
     found = correlate(logs, commits, JoinPolicy(r"T-\d"), make_atoms(("n T-1", [])))
-    rows = found.report.drop("group_key").orderBy("first_ord").collect()
+    rows = redact_findings(found).table("group_report").drop("group_id").orderBy("first_ord").collect()
     assert [tuple(r) for r in rows] == [
-        ("operationId=a", 1, 0, 2, 4, 1, "T-1, T-2, T-3"),
-        ("tickets T-1", 1, 1, 1, 1, 1, "T-1"),
-        ("operationId=z", 1, 2, 0, 0, 0, ""),
+        ("operationId=a", 1, 0, 2, 4, 1),
+        ("tickets T-1", 1, 1, 1, 1, 1),
+        ("operationId=z", 1, 2, 0, 0, 0),
     ]
     details = found.group_commits.where("group_key = 'tickets:T-1'").first()
     assert (details["short_sha"], details["subject"], details["author"]) == ("0000000", "T-1", "Test")

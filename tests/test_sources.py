@@ -192,12 +192,15 @@ def test_recent_commits(make_commits):
         ("2026-05-01T00:00:00Z", "old"), ("2026-05-20T00:00:00Z", "b"), ("2026-05-22T00:00:00Z", "c")
     )
     as_of = F.lit("2026-05-23").cast("timestamp")
-    assert [r["subject"] for r in recent_commits(commits, as_of).collect()] == ["c", "b"]
-    assert [r["subject"] for r in recent_commits(commits, as_of, 30, 1).collect()] == ["c"]
-    assert recent_commits(commits, as_of, 0).count() == 1
+    assert {r["subject"] for r in recent_commits(commits, as_of).collect()} == {"old", "b", "c"}
+    assert {r["subject"] for r in recent_commits(commits, as_of, 14).collect()} == {"b", "c"}
+    assert [r["subject"] for r in recent_commits(commits, as_of, 30, 2).collect()] == ["c", "b"]
+    earlier = F.lit("2026-05-21").cast("timestamp")
+    assert [r["subject"] for r in recent_commits(commits, earlier, max_commits=1).collect()] == ["b"]
     many = make_commits(*[("2026-05-22T00:00:00Z", str(i)) for i in range(230)])
-    assert recent_commits(many, as_of, 14, 999).count() == 200
-    assert recent_commits(many, as_of, 14, 0).count() == 1
+    assert recent_commits(many, as_of, 14, 999).count() == recent_commits(many, as_of).count() == 230
+    with pytest.raises(ValueError):
+        recent_commits(many, as_of, 0)
 
 
 def test_atoms(spark, tmp_path):
@@ -216,7 +219,8 @@ def test_time_bounded_reaches_the_scan(spark):
     assert bounded.count() == 5
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan
+    early = F.lit("2024-01-10").cast("timestamp")
+    assert time_bounded(events, "ts", "event_id", early).count() == events.where("ts <= '2024-01-10'").count()
+    assert time_bounded(events, "ts", "event_id", as_of, 100_000, 20_000).count() == events.where("ts <= '2024-01-31'").count()
     with pytest.raises(ValueError):
-        time_bounded(events, "ts", "event_id", as_of, 721)
-    with pytest.raises(ValueError):
-        time_bounded(events, "ts", "event_id", as_of, 1, 10_001)
+        time_bounded(events, "ts", "event_id", as_of, 0)

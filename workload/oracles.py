@@ -10,7 +10,7 @@ from logclew.functions.redaction import DEFAULT_RULES
 from logclew.operators.findings import NO_KEY_WARNING
 from logclew.operators.query_facts import APP_TABLES, EMPTY_TEXT, LOG_TABLES
 from workload import views
-from workload.queries import FETCH_LIMIT, HOURS, LINK_BASE
+from workload.queries import BUNDLE_TEXT, HOURS, LINK_BASE, RUN_SECRET
 
 _FIELDS = ", ".join(f"{sql} AS f_{name}" for name, _, sql in views.LOG_FIELDS)
 _COMMITS = ", ".join(f"{sql} AS {name}" for name, sql in views.COMMIT_COLUMNS)
@@ -69,7 +69,7 @@ _CTE = {
     "near_commits": f"""SELECT DISTINCT k.group_key, c.commit_ord FROM keyed k JOIN commits c
         ON c.authored_at BETWEEN k.timestamp - INTERVAL {views.WINDOW_MINUTES + 1} MINUTE
                              AND k.timestamp + INTERVAL {views.WINDOW_MINUTES + 1} MINUTE
-        WHERE k.op_id IS NOT NULL
+        WHERE k.op_id IS NOT NULL AND try_cast(k.f_timestamp AS TIMESTAMP) IS NOT NULL
         AND abs(epoch_ms(c.authored_at) - epoch_ms(k.timestamp)) <= {views.WINDOW_MINUTES * 60_000}""",
     "group_commits": """SELECT g.group_key, t.commit_ord FROM group_tickets g
         JOIN ticket_commits t ON t.key = g.ticket UNION SELECT group_key, commit_ord FROM near_commits""",
@@ -82,21 +82,25 @@ _CTE = {
     "group_atoms": """SELECT DISTINCT g.group_key, a.atom_ord FROM group_keys g
         JOIN key_atoms a ON a.key = g.key""",
     "texts": f"SELECT event_id AS query_id, {views.QUERY_TEXT} AS text FROM events",
-    "scrubbed": r"""SELECT query_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        text, '//[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'),
-        '"(?:\\.|[^"\\])*"', '""', 'g'), '''(?:\\.|[^''\\])*''', '''''', 'g') AS s FROM texts""",
+    # The view has at most one comment, at the start, and one string without escapes.
+    "uncommented": """SELECT query_id, text, CASE WHEN starts_with(text, '//')
+        THEN ' ' || substr(text, strpos(text, chr(10)))
+        ELSE ' ' || substr(text, strpos(text, '*/') + 2) END AS u FROM texts""",
+    "scrubbed": """SELECT query_id, text, split_part(u, '"', 1) || CASE WHEN contains(u, '"')
+        THEN '""' || split_part(u, '"', 3) ELSE '' END AS s FROM uncommented""",
     "parsed": rf"""SELECT *, list_filter(regexp_extract_all(s, '\b[A-Za-z][A-Za-z0-9_]*\b'),
             lambda t: list_contains({list(APP_TABLES + LOG_TABLES)}, t)
                       OR regexp_full_match(t, '[A-Za-z][A-Za-z0-9_]*_CL')) AS tables0,
-        list_filter(list_transform(string_split(array_to_string(regexp_extract_all(s,
-            '(?i)\|\s*project(?:-away|-rename|-reorder)?\s+([^|;]+)', 1), ','), ','),
-            lambda p: regexp_extract(trim(p), '^[A-Za-z_][A-Za-z0-9_]*')),
+        list_filter(list_transform(flatten(list_transform(list_filter(string_split(s, '|')[2:],
+            lambda st: starts_with(lower(trim(st)), 'project ')),
+            lambda st: string_split(substr(trim(split_part(st, ';', 1)), 9), ','))),
+            lambda p: trim(split_part(p, '=', 1))),
             lambda p: p <> '') AS projections0,
         regexp_extract_all(text, '{_REGEX}') AS tickets0,
-        CAST(regexp_extract(s, '(?i)\bago\s*\(\s*(\d+(?:\.\d+)?)\s*(d|h|m|s|ms)\s*\)', 1) AS VARCHAR) AS qty,
-        lower(regexp_extract(s, '(?i)\bago\s*\(\s*(\d+(?:\.\d+)?)\s*(d|h|m|s|ms)\s*\)', 2)) AS unit,
-        regexp_extract(s, '(?i)\bbetween\s*\(\s*datetime\(([^)]+)\)\s*\.\.\s*datetime\(([^)]+)\)\s*\)', 1) AS b1,
-        regexp_extract(s, '(?i)\bbetween\s*\(\s*datetime\(([^)]+)\)\s*\.\.\s*datetime\(([^)]+)\)\s*\)', 2) AS b2
+        rtrim(split_part(split_part(s, 'ago(', 2), ')', 1), 'dhms') AS qty,
+        ltrim(split_part(split_part(s, 'ago(', 2), ')', 1), '0123456789.') AS unit,
+        split_part(split_part(split_part(s, 'between(datetime(', 2), '..', 1), ')', 1) AS b1,
+        split_part(split_part(split_part(s, 'between(datetime(', 2), '.. datetime(', 2), ')', 1) AS b2
         FROM scrubbed""",
     "ranges": f"""SELECT query_id, try_cast(qty AS DOUBLE) * CASE unit WHEN 'd' THEN 86400000
             WHEN 'h' THEN 3600000 WHEN 'm' THEN 60000 WHEN 's' THEN 1000 WHEN 'ms' THEN 1 END AS back,
@@ -107,8 +111,7 @@ _CTE = {
              WHEN b_to IS NOT NULL THEN b_from END AS range_from,
         CASE WHEN back > 0 THEN now WHEN b_from IS NOT NULL THEN b_to END AS range_to
         FROM parsed p JOIN ranges r ON p.query_id = r.query_id""",
-    "recent": f"""SELECT * FROM commits WHERE authored_at >= TIMESTAMP '{views.AS_OF}' - INTERVAL 14 DAY
-        ORDER BY authored_at DESC, commit_ord LIMIT 200""",
+    "recent": f"SELECT * FROM commits WHERE authored_at <= TIMESTAMP '{views.AS_OF}'",
     "poisoned": f"SELECT doc_id, {views.POISONED_TEXT} AS text FROM documents",
     "glued": f"SELECT doc_id, {views.GLUED_TEXT} AS text FROM documents",
 }
@@ -119,7 +122,7 @@ _NEEDS = {
     "ticket_commits": ["group_tickets", "commits"], "near_commits": ["keyed", "commits"],
     "group_commits": ["ticket_commits", "near_commits"], "group_keys": ["keyed", "row_tickets"],
     "key_atoms": ["group_keys", "atoms"], "group_atoms": ["key_atoms"],
-    "scrubbed": ["texts"], "parsed": ["scrubbed"], "ranges": ["parsed"], "facts": ["ranges"],
+    "uncommented": ["texts"], "scrubbed": ["uncommented"], "parsed": ["scrubbed"], "ranges": ["parsed"], "facts": ["ranges"],
     "recent": ["commits"],
 }
 
@@ -298,22 +301,33 @@ def _redacted_findings() -> str:
     )
 
 
+_PREVIEW = f"""SELECT k.row_ord, timestamp, level, replace({_redacted('message')}, '|', '\\|') AS message,
+    source, (SELECT count(*) FROM keyed) AS total_rows
+    FROM keyed k LEFT JOIN groups g ON g.group_key = k.group_key
+    ORDER BY k.group_key IS NULL, g.first_ord, k.row_ord LIMIT 50"""
+
+
 def _bundle_counts() -> str:
-    tables = {
-        "summary": "1", "bullets": "least(10, (SELECT count(*) FROM groups))",
-        "groups": "(SELECT count(*) FROM groups)",
-        "group_rows": "(SELECT count(group_key) FROM keyed)",
-        "unmatched": "(SELECT count(*) FROM keyed WHERE group_key IS NULL)",
-        "group_tickets": "(SELECT count(*) FROM group_tickets)",
-        "group_commits": "(SELECT count(*) FROM group_commits)",
-        "group_atoms": "(SELECT count(*) FROM group_atoms)",
-        "evidence": f"(SELECT count(*) FROM ({_EVIDENCE}))",
+    texts = {
+        "summary": _SUMMARY, "bullets": _BULLETS, "groups": "SELECT label FROM groups",
+        "group_rows": "SELECT message FROM keyed WHERE group_key IS NOT NULL",
+        "unmatched": "SELECT message FROM keyed WHERE group_key IS NULL",
+        "group_tickets": "SELECT ticket FROM group_tickets",
+        "group_commits": _COMMIT_DETAILS, "group_atoms": _ATOM_DETAILS, "evidence": _EVIDENCE,
+        "group_report": "SELECT label FROM groups", "raw_preview": _PREVIEW,
+        "linked_tickets": f"SELECT DISTINCT '{LINK_BASE}/' || url_encode(ticket) AS link FROM group_tickets",
+        "column_types": f"SELECT DISTINCT name FROM ({_COLUMN_TYPES.replace('FROM kept', 'FROM fields')}) WHERE v IS NOT NULL",
+        "rowset_meta": "SELECT 'events' AS source",
     }
-    rows = [
-        f"SELECT '{form}' AS format, '{name}' AS table_name, CAST({n} AS BIGINT) AS n"
-        for form in ("parquet", "json")
-        for name, n in tables.items()
-    ]
+    plain = ("raw_preview", "linked_tickets", "column_types", "rowset_meta")
+    rows = []
+    for name, sql in texts.items():
+        text = BUNDLE_TEXT[name] if name in plain else _redacted(BUNDLE_TEXT[name])
+        for form in ("parquet", "json"):
+            rows.append(
+                f"""SELECT '{form}' AS format, '{name}' AS table_name, count(*) AS n,
+                CAST(sum(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)) AS BIGINT) AS texts FROM ({sql})"""
+            )
     return _with(["groups", "group_commits", "group_atoms"], " UNION ALL ".join(rows))
 
 
@@ -330,15 +344,12 @@ _PROPS = f"""'{{"k":' || row_ord || ',"by":"' || {_redacted("'user' || user_id |
 ORACLES = {
     "normalize_logs": _with(["logs"], f"SELECT {_ROW} FROM logs"),
     "column_types": _column_types("SELECT * FROM fields"),
-    "capped_column_types": _column_types("SELECT * FROM fields ORDER BY row_ord LIMIT 1000"),
-    "row_cap_preview": _with(
-        ["logs"],
-        f"""SELECT {_ROW} FROM (SELECT * FROM logs ORDER BY row_ord LIMIT 1000)
-        ORDER BY row_ord LIMIT 50""",
+    "preview": _with(["logs"], f"SELECT {_ROW} FROM logs ORDER BY row_ord LIMIT 50"),
+    "rowset_meta": _with(
+        ["fields"],
+        """SELECT 'events' AS source, count(*) AS row_count,
+        count(*) FILTER (WHERE try_cast(f_timestamp AS TIMESTAMP) IS NULL) AS unreadable_times FROM fields""",
     ),
-    "rowset_meta": """SELECT 'events' AS source, least(count(*), 1000) AS row_count,
-        count(*) > 1000 AS truncated, CASE WHEN count(*) > 1000
-        THEN 'rowset truncated to 1000 rows (cap 1000)' END AS warning FROM events""",
     "csv_roundtrip": _ORACLE_CSV,
     "json_roundtrip": _json_export("number"),
     "json_lines_roundtrip": _json_export("number"),
@@ -350,8 +361,7 @@ ORACLES = {
     ),
     "recent_commits": _with(["recent"], "SELECT * FROM recent"),
     "time_bounded_scan": f"""SELECT event_id, ts, event_type FROM events
-        WHERE ts >= TIMESTAMP '{views.AS_OF}' - INTERVAL {HOURS} HOUR
-        ORDER BY ts DESC, event_id LIMIT {FETCH_LIMIT}""",
+        WHERE ts BETWEEN TIMESTAMP '{views.AS_OF}' - INTERVAL {HOURS} HOUR AND TIMESTAMP '{views.AS_OF}'""",
     "atoms_source": _with(
         ["atoms"],
         """SELECT atom_ord, id, date_trunc('milliseconds', ts) AS ts, message,
@@ -416,21 +426,21 @@ ORACLES = {
     "redact_findings": _redacted_findings(),
     "linked_tickets": _with(
         ["group_tickets"],
-        f"SELECT DISTINCT ticket, '{LINK_BASE}/' || url_encode(ticket) AS link FROM group_tickets",
+        f"""SELECT DISTINCT {_redacted('ticket')} AS ticket,
+        '{LINK_BASE}/' || url_encode({_redacted('ticket')}) AS link FROM group_tickets""",
     ),
     "group_report": _with(
         ["groups", "group_commits", "group_atoms"],
-        f"""SELECT g.group_key, label, row_count, first_ord, coalesce(c.n, 0) AS commit_count,
-        coalesce(t.n, 0) AS ticket_count, coalesce(a.n, 0) AS atom_count, coalesce(t.tickets, '') AS tickets
+        f"""SELECT sha256('{RUN_SECRET}' || g.group_key) AS group_id, {_redacted('label')} AS label,
+        row_count, first_ord, coalesce(c.n, 0) AS commit_count,
+        coalesce(t.n, 0) AS ticket_count, coalesce(a.n, 0) AS atom_count
         FROM groups g LEFT JOIN ({_COMMIT_COUNTS}) c ON c.group_key = g.group_key
         LEFT JOIN ({_FIRST_TICKETS}) t ON t.group_key = g.group_key
         LEFT JOIN ({_ATOM_COUNTS}) a ON a.group_key = g.group_key""",
     ),
     "raw_preview": _with(
         ["groups"],
-        """SELECT k.row_ord, timestamp, level, substr(replace(message, '|', '\\|'), 1, 200) AS message, source
-        FROM keyed k LEFT JOIN groups g ON g.group_key = k.group_key
-        ORDER BY k.group_key IS NULL, g.first_ord, k.row_ord LIMIT 50""",
+        _PREVIEW,
     ),
     "bundle_roundtrip": _bundle_counts(),
     "investigate": _with(
@@ -439,7 +449,7 @@ ORACLES = {
         count(DISTINCT commit_ord) AS commit_count FROM groups g LEFT JOIN (
             SELECT t.group_key, c.commit_ord FROM group_tickets t JOIN recent c ON contains(c.subject, t.ticket)
             UNION SELECT k.group_key, c.commit_ord FROM keyed k JOIN recent c ON k.op_id IS NOT NULL
-            AND abs(epoch_ms(c.authored_at) - epoch_ms(k.timestamp)) <= {views.WINDOW_MINUTES * 60_000}
+            AND try_cast(k.f_timestamp AS TIMESTAMP) IS NOT NULL AND abs(epoch_ms(c.authored_at) - epoch_ms(k.timestamp)) <= {views.WINDOW_MINUTES * 60_000}
         ) l ON l.group_key = g.group_key GROUP BY label, row_count, first_ord""",
     ),
 }

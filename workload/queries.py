@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from logclew.functions.rawmap import present
 from logclew.functions.redaction import rules_with
 from logclew.functions.timestamps import iso_text
-from logclew.operators import findings, links, normalize, query_facts, redact, report
+from logclew.operators import findings, links, normalize, query_facts, redact
 from logclew.operators.keys import group_label, matched, row_keys, unmatched
-from logclew.plans.bundle import redact_findings, write_bundle
+from logclew.plans.bundle import (
+    FORMATS,
+    REPORTS,
+    RedactedFindings,
+    redact_findings,
+    write_bundle,
+)
 from logclew.plans.correlate import TABLES, Findings, correlate
 from logclew.plans.investigate import investigate
-from logclew.schema import DEFAULT_ROW_CAP, RedactionRule
+from logclew.schema import RedactionRule
 from logclew.session import fresh_path, spread
 from logclew.sources import read_logs
 from logclew.sources.commits import (
@@ -31,7 +37,7 @@ EXTRA_RULES = (
 )
 LINK_BASE = "https://tracker.example.com/browse"
 HOURS = 48
-FETCH_LIMIT = 1000
+RUN_SECRET = "a secret of the run"
 DOCUMENT_ROWS = 500
 
 
@@ -68,18 +74,13 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.column_types(views.logs(spark, sf_dir)).select("name", "type", "first_ord")
 
 
-def capped_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = normalize.cap_rows(views.logs(spark, sf_dir), DEFAULT_ROW_CAP)
-    return normalize.column_types(capped).select("name", "type", "first_ord")
-
-
-def row_cap_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = normalize.cap_rows(views.logs(spark, sf_dir), DEFAULT_ROW_CAP)
-    return _row(normalize.preview(capped))
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the log, as a preview shows them."""
+    return _row(normalize.preview(views.logs(spark, sf_dir)))
 
 
 def rowset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.rowset_meta(views.logs(spark, sf_dir), "events", DEFAULT_ROW_CAP)
+    return normalize.rowset_meta(views.logs(spark, sf_dir), "events")
 
 
 # --- sources: write an export, read it back ----------------------------------
@@ -189,7 +190,7 @@ def recent_commits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return time_bounded(events, "ts", "event_id", as_of(), HOURS, FETCH_LIMIT)
+    return time_bounded(events, "ts", "event_id", as_of(), HOURS)
 
 
 # --- query texts -------------------------------------------------------------
@@ -333,18 +334,24 @@ def redact_raw_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports -----------------------------------------------------------------
 
 
+def _reports(spark: SparkSession, sf_dir: str, staged: bool = False) -> RedactedFindings:
+    found = _findings(spark, sf_dir, staged)
+    return redact_findings(found, run_secret=RUN_SECRET, link_base=LINK_BASE)
+
+
 def linked_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.linked_tickets(links.group_tickets(_keyed(spark, sf_dir)), LINK_BASE)
+    return _reports(spark, sf_dir).table("linked_tickets")
 
 
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).report
+    return _reports(spark, sf_dir, staged=True).table("group_report")
 
 
 def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _keyed(spark, sf_dir)
-    shown = report.raw_preview(keyed, findings.groups(findings.group_stats(keyed)))
-    return _row(shown)
+    shown = _reports(spark, sf_dir).table("raw_preview")
+    return _plain(
+        shown.select("row_ord", "timestamp", "level", "message", "source", "total_rows")
+    )
 
 
 def _findings(spark: SparkSession, sf_dir: str, staged: bool = False) -> Findings:
@@ -377,16 +384,47 @@ def redact_findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return everything.groupBy("part", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+# What a table of the bundle is recognised by.
+BUNDLE_TEXT = {
+    "summary": "headline",
+    "bullets": "text",
+    "groups": "label",
+    "group_rows": "message",
+    "unmatched": "message",
+    "group_tickets": "ticket",
+    "group_commits": "subject",
+    "group_atoms": "message",
+    "evidence": "log_row_id",
+    "group_report": "label",
+    "raw_preview": "message",
+    "linked_tickets": "link",
+    "column_types": "name",
+    "rowset_meta": "source",
+}
+
+
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per table and format of a written bundle."""
-    redacted = redact_findings(_findings(spark, sf_dir, staged=True))
-    folder = write_bundle(redacted, fresh_path(spark, "bundle"))
+    """Rows of each table and format of a written bundle, and a sum over its texts."""
+    redacted = _reports(spark, sf_dir, staged=True)
+    logs = views.logs(spark, sf_dir)
+    facts = {
+        "column_types": normalize.column_types(logs),
+        "rowset_meta": normalize.rowset_meta(logs, "events"),
+    }
+    folder = write_bundle(redacted, fresh_path(spark, "bundle"), facts=facts)
+
+    def digest(column: str) -> Column:
+        return F.sum(F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint"))
+
     counts = [
         spark.read.format(form).load(f"{folder}/{form}/{name}").agg(
-            F.lit(form).alias("format"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")
+            F.lit(form).alias("format"),
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("n"),
+            digest(BUNDLE_TEXT[name]).alias("texts"),
         )
-        for form in ("parquet", "json")
-        for name in TABLES
+        for form in FORMATS
+        for name in (*TABLES, *REPORTS, *facts)
     ]
     everything = counts[0]
     for part in counts[1:]:
@@ -421,8 +459,7 @@ def investigate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_logs": normalize_logs,
     "column_types": column_types,
-    "capped_column_types": capped_column_types,
-    "row_cap_preview": row_cap_preview,
+    "preview": preview,
     "rowset_meta": rowset_meta,
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
