@@ -224,3 +224,53 @@ def test_time_bounded_reaches_the_scan(spark):
     assert time_bounded(events, "ts", "event_id", as_of, 100_000, 20_000).count() == events.where("ts <= '2024-01-31'").count()
     with pytest.raises(ValueError):
         time_bounded(events, "ts", "event_id", as_of, 0)
+
+
+def test_csv_files_with_unlike_headers_and_sizes(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("timestamp,message\n2026-05-22T00:00:00Z,first\n")
+    many = "".join(f"m{i},2026-05-22T01:00:00Z,7\n" for i in range(2000))
+    (folder / "b.csv").write_text("message,timestamp,extra\n" + many)
+    (folder / "c.csv").write_text("timestamp,message\n2026-05-22T02:00:00Z,last\n")
+    (folder / "d.csv").write_text("")
+    for multiline in (True, False):
+        rows = read_logs(spark, "csv", str(folder), multiline=multiline).orderBy("row_ord").collect()
+        assert [r["row_ord"] for r in rows] == list(range(2002))
+        assert [r["message"] for r in rows] == ["first", *[f"m{i}" for i in range(2000)], "last"]
+        assert {str(r["timestamp"].minute) for r in rows} == {"0"} and rows[0]["timestamp"] < rows[1]["timestamp"]
+        assert rows[0]["raw"].keys() == {"timestamp", "message"} and rows[5]["raw"]["extra"] == "7"
+
+
+@pytest.mark.parametrize("source", ["json", "tabular-json"])
+@pytest.mark.parametrize("split_bytes", ["128m", "16k"])
+def test_order_over_files(spark, tmp_path, source, split_bytes):
+    folder = tmp_path / "json"
+    folder.mkdir()
+    wrap = (lambda t: f'[{{"message":"{t}"}}]') if source == "json" else (
+        lambda t: f'{{"tables":[{{"name":"T","columns":[{{"name":"Message","type":"s"}}],"rows":[["{t}"]]}}]}}')
+    want = []
+    for n, size in enumerate((1, 3000, 2)):
+        names = [f"f{n}-{i}" for i in range(size)]
+        want += names
+        # In a tabular export every third document is a plain array.
+        lines = [f'[{{"Message":"{t}"}}]' if i % 3 == 2 else wrap(t) for i, t in enumerate(names)]
+        (folder / f"part-{n}").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    rows = read_logs(spark, source, str(folder), per_line=True).orderBy("row_ord").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_ord"] for r in rows] == list(range(3003))
+    assert [r["message"] for r in rows] == want
+
+
+def test_commit_order_over_files(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    want = []
+    for n, size in enumerate((1, 2000)):
+        subjects = [f"s{n}-{i}" for i in range(size)]
+        want += subjects
+        records = (f"{i:040x}\0me\x002026-05-22T00:00:00Z\0{s}" for i, s in enumerate(subjects))
+        (folder / f"part-{n}").write_text("\x1e".join(records))
+    rows = read_commit_log(spark, str(folder)).orderBy("commit_ord").collect()
+    assert [(r["commit_ord"], r["subject"]) for r in rows] == list(enumerate(want))
