@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from logclew.functions.skew import skew_join
 from logclew.functions.timestamps import epoch
+from logclew.operators.keys import ticket_mentions
 from logclew.session import spread, stage
 
 # Key signatures are hashed into this many values, which bounds their table.
@@ -82,8 +83,20 @@ def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(pieces, "key").select("key", "text_ord")
 
 
-def ticket_commits(tickets: DataFrame, commits: DataFrame) -> DataFrame:
-    """``key, commit_ord`` where the commit subject contains the ticket."""
+def ticket_commits(
+    tickets: DataFrame, commits: DataFrame, token_regex: str | None = None
+) -> DataFrame:
+    """``key, commit_ord`` where the commit subject contains the ticket.
+
+    With ``token_regex`` a subject names the tickets that the pattern finds in it, and no
+    text is searched: an equality join of two narrow tables.
+    """
+    if token_regex:
+        named = commits.select(
+            F.explode(ticket_mentions(F.col("subject"), token_regex)).alias("key"), "commit_ord"
+        )
+        known = tickets.select(F.col("ticket").alias("key")).distinct()
+        return stage(skew_join(named, known, "key", "left_semi", "tokens"), "ticket-commits")
     texts = commits.select(F.col("commit_ord").alias("text_ord"), F.col("subject").alias("text"))
     keys = stage(tickets.select(F.col("ticket").alias("key")).distinct(), "ticket-keys")
     found = texts_containing(stage(texts, "commit-subjects"), keys)
@@ -133,7 +146,11 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
 
 
 def group_commits(
-    keyed: DataFrame, tickets: DataFrame, commits: DataFrame, window_minutes: int
+    keyed: DataFrame,
+    tickets: DataFrame,
+    commits: DataFrame,
+    window_minutes: int,
+    token_regex: str | None = None,
 ) -> DataFrame:
     """Distinct ``group_key, commit_ord`` by ticket or by time.
 
@@ -141,7 +158,7 @@ def group_commits(
     """
     by_ticket = (
         tickets.select("group_key", F.col("ticket").alias("key"))
-        .join(ticket_commits(tickets, commits), "key")
+        .join(ticket_commits(tickets, commits, token_regex), "key")
         .select("group_key", "commit_ord")
     )
     if window_minutes == 0:

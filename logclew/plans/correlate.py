@@ -45,6 +45,10 @@ class Findings:
     atoms: DataFrame
     policy: JoinPolicy
 
+    @property
+    def _token_regex(self) -> str | None:
+        return self.policy.ticket_regex if self.policy.ticket_match == "token" else None
+
     @cached_property
     def stats(self) -> DataFrame:
         return fnd.group_stats(self.keys)
@@ -77,7 +81,11 @@ class Findings:
     def commit_links(self) -> DataFrame:
         return stage(
             links.group_commits(
-                self.keys, self.group_tickets, self.commits, self.policy.window_minutes
+                self.keys,
+                self.group_tickets,
+                self.commits,
+                self.policy.window_minutes,
+                self._token_regex,
             ),
             "group-commits",
         )
@@ -109,7 +117,7 @@ class Findings:
             rows = stage(fnd.of_groups(self.keys, top), "first-rows")
             tickets = stage(links.group_tickets(rows), "first-tickets")
             commits = links.group_commits(
-                rows, tickets, self.commits, self.policy.window_minutes
+                rows, tickets, self.commits, self.policy.window_minutes, self._token_regex
             )
         return fnd.bullets(top, tickets, commits)
 

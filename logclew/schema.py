@@ -56,8 +56,15 @@ class JoinPolicy:
     service_allowlist: tuple[str, ...] = ()
     operation_id_field: str = DEFAULT_OPERATION_ID_FIELD
     window_minutes: int = DEFAULT_WINDOW_MINUTES
+    # How a commit subject names a ticket: it contains the id anywhere, or one of the
+    # ticket pattern's matches in it is the id.
+    ticket_match: str = "substring"
 
     def __post_init__(self) -> None:
+        if self.ticket_match not in ("substring", "token"):
+            raise ValueError("ticket_match must be substring or token")
+        if self.ticket_match == "token" and not self.ticket_regex:
+            raise ValueError("ticket_match token needs a ticket_regex")
         object.__setattr__(self, "service_allowlist", tuple(self.service_allowlist))
         if int(self.window_minutes) != self.window_minutes or self.window_minutes < 0:
             raise ValueError("window_minutes must be a whole number of minutes, 0 or more")

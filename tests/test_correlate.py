@@ -290,3 +290,13 @@ def test_unreadable_times_link_nothing(make_logs, make_commits):
     logs = make_logs([{"timestamp": epoch, "raw": {"operation_Id": f"o{i}"}} for i in range(4)])
     assert correlate(logs, make_commits((epoch, "c")), JoinPolicy()).commit_links.count() == 0
     assert links.proximity_commits(correlate(logs, make_commits(), JoinPolicy()).keyed, make_commits(), 0).count() == 0
+
+
+def test_tickets_by_token(make_logs, make_commits):
+    logs = make_logs([{"message": "about T-1", "timestamp": "2020-01-01T00:00:00Z"}])
+    commits = make_commits(("2026-05-22T00:00:00Z", "T-12 only"), ("2026-05-22T00:00:00Z", "for T-1."))
+    for match, want in (("substring", {0, 1}), ("token", {1})):
+        found = correlate(logs, commits, JoinPolicy(r"T-\d+", ticket_match=match))
+        assert {r["commit_ord"] for r in found.commit_links.collect()} == want
+    with pytest.raises(ValueError):
+        JoinPolicy(ticket_match="token")
