@@ -158,13 +158,14 @@ WITH pieces AS (
   FROM cut
 ), full_ AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place,
-    row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again,
+    length(norm) - length(replace(norm, ' ', '')) + 1 AS words
   FROM placed WHERE norm <> ''
 ), runs AS (
   SELECT doc_id, min(e - length(unit)) AS s, max(e) AS e
   FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
         FROM full_ WHERE again)
-  GROUP BY doc_id, run HAVING sum(length(norm) - length(replace(norm, ' ', '')) + 1) >= 20
+  GROUP BY doc_id, run HAVING sum(words) FILTER (WHERE words >= 3) >= 20
 ), gaps AS (
   SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs
 ), kept AS (

@@ -6,7 +6,8 @@ lines are cut again at punctuation and the units are clauses. A unit is normalis
 hashed; digests are grouped globally, with the least rank per digest found by partial
 aggregates, so a unit that everyone has costs no task more than others. An
 occurrence other than the least one is a repeat. Clauses repeat by chance, so only runs
-of repeats of ``min_words`` words or more are cut out. The spans removed are kept as
+of repeats with ``min_words`` words or more are cut out, and clauses of one or two words,
+which repeat in any text, lie in runs but do not count. The spans removed are kept as
 code-point offsets into the original.
 
 Rank: id (nulls last), then the row as read, then the place in the text. Nulls: a null
@@ -29,6 +30,8 @@ from logclew.llm.batches import free_name, map_batches
 from logclew.session import fresh_path
 
 MIN_WORDS = 20
+# Shorter units add nothing to the words of a run.
+COUNTED_WORDS = 3
 MARKS = ".,;:!?\n"
 _UNIT = re.compile(f"[^{MARKS}]+[{MARKS}]*|[{MARKS}]+")
 _TRIM = MARKS.encode() + b" \t\v\f\r"
@@ -45,7 +48,7 @@ def units_of(text: str | None) -> list[tuple[int, int, bytes]]:
 
 
 def repeated_spans(text: str | None, repeats: list[int] | None, min_words: int) -> list[tuple[int, int]]:
-    """Runs of units that are repeats (given by number) and have ``min_words`` words."""
+    """Runs of units that are repeats (given by number) and have ``min_words`` words that count."""
     if not repeats:
         return []
     units, marked, spans, run = units_of(text), set(repeats), [], []
@@ -53,7 +56,8 @@ def repeated_spans(text: str | None, repeats: list[int] | None, min_words: int)
         if n in marked:
             run.append(units[n])
         elif run:
-            if sum(u[2].count(b" ") + 1 for u in run) >= min_words:
+            words = [u[2].count(b" ") + 1 for u in run]
+            if sum(n for n in words if n >= COUNTED_WORDS) >= min_words:
                 spans.append((run[0][0], run[-1][1]))
             run = []
     return spans

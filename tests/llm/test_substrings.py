@@ -12,7 +12,8 @@ def plain(rows, min_words):
             if unit is not None and unit in seen:
                 run.append((start, end, unit))
                 continue
-            if run and sum(len(u.split()) for _, _, u in run) >= min_words:
+            lengths = [len(u.split()) for _, _, u in run]
+            if run and sum(n for n in lengths if n > 2) >= min_words:
                 spans.append((run[0][0], run[-1][1]))
             run = []
             seen.add(unit)
@@ -53,11 +54,11 @@ def test_offsets_are_of_the_original(spark):
 
 
 def test_short_repeats_stay(spark):
-    docs = spark.createDataFrame([(1, "Yes. And so on, of course."), (2, "Yes. And so on, of course.")],
+    docs = spark.createDataFrame([(1, "Yes. And so on, of course it is."), (2, "Yes. And so on, of course it is.")],
                                  "doc_id long, text string")
-    assert {r.text for r in substrings.remove_repeats(docs).collect()} == {"Yes. And so on, of course."}
-    cut = {r.doc_id: r.text for r in substrings.remove_repeats(docs, min_words=3).collect()}
-    assert cut == {1: "Yes. And so on, of course.", 2: ""}
+    assert {r.text for r in substrings.remove_repeats(docs).collect()} == {"Yes. And so on, of course it is."}
+    cut = {r.doc_id: r.text for r in substrings.remove_repeats(docs, min_words=7).collect()}
+    assert cut == {1: "Yes. And so on, of course it is.", 2: ""}
 
 
 def test_edges(edge_docs, no_docs):
