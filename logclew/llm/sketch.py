@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +114,31 @@ def _compare(text: str, own: np.ndarray, following: str, next_sketch: np.ndarray
     )
 
 
+def _compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tie, body): texts compressed, as they are moved whole between executors."""
+    schema = T.StructType(
+        [
+            id_field(docs, id_col),
+            T.StructField("tie", T.LongType()),
+            T.StructField("body", T.BinaryType()),
+        ]
+    )
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        bodies = [pack((t or "").encode("utf-8")) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=schema.names
+        )
+
+    text = F.col(text_col).cast("string")
+    return map_batches(docs.select(F.col(id_col), F.xxhash64(text), text), rows, schema)
+
+
+def unpack(body: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(body).decode("utf-8")
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     key = id_field(docs, id_col)
     result = [T.StructField(name, kind) for name, kind, _ in _RESULT]
@@ -139,7 +165,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows, id_kind = [], batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+                text = unpack(text)
                 own = sketch(text)
                 if last is None:
                     rows.append((doc, *blank, part, "head", text))
@@ -151,9 +177,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if last is not None:
             yield frame([(last[0], *blank, part, "tail", last[1])])
 
-    wanted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    order = [F.col(id_col).desc_nulls_last(), F.xxhash64("text")]
-    ordered = wanted.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    ordered = _compressed(docs, id_col, text_col).repartitionByRange(*order)
+    ordered = ordered.sortWithinPartitions(*order).select("doc_id", "body")
     passed = stage(stream_batches(ordered, walk, first_pass), "sketches")
     done = passed.where(F.col("end").isNull()).select("doc_id", *(f.name for f in result))
 
