@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logclew.llm.batches import free_name, map_batches
-from logclew.session import fresh_path
+from logclew.session import fresh_path, stage
 
 MIN_WORDS = 20
 # Shorter units add nothing to the words of a run.
@@ -128,9 +128,11 @@ def remove_repeats(
         .where("n > 1")
         .select("digest", F.col("first.row").alias("r"), F.col("first.place").alias("p"))
     )
+    # From a table both sides of the join have a plain exchange, so that a digest which many
+    # texts share is split over tasks.
     repeats = (
         units.select("digest", "row", "place")
-        .join(first, "digest")
+        .join(stage(first, "repeated"), "digest")
         .where((F.col("row") != F.col("r")) | (F.col("place") != F.col("p")))
         .groupBy(F.col("row").alias(row))
         .agg(F.collect_list("place").alias(spans_col))
