@@ -25,6 +25,7 @@ are. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,25 +80,30 @@ def _key(before: Column, after: Column) -> Column:
     return before.cast("long") * _BASE + after
 
 
-def _meetings(edges: Column) -> Column:
-    """Keys of the pairs of known pieces that meet; 0 stands before the first, and before
-    those that follow an unknown character."""
-    known = F.filter(edges, lambda e: e["id"] != _UNKNOWN)
-    inner = F.flatten(
-        F.transform(
-            known,
-            lambda a: F.transform(
-                F.filter(known, lambda b: b["start"] == a["end"]), lambda b: _key(a["id"], b["id"])
-            ),
-        )
-    )
-    unknown = F.filter(edges, lambda e: e["id"] == _UNKNOWN)
-    begins = F.concat(F.array(F.lit(0)), F.transform(unknown, lambda e: e["end"]))
-    first = F.transform(
-        F.filter(known, lambda b: F.array_contains(begins, b["start"])),
-        lambda b: b["id"].cast("long"),
-    )
-    return F.array_distinct(F.concat(first, inner))
+def _meetings(lattices: DataFrame) -> DataFrame:
+    """(uid, key) of the pairs of known pieces that meet in a unit; 0 stands before the
+    first, and before those that follow an unknown character."""
+
+    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
+        uids, lists = batch.column(0).to_numpy(), batch.column(1)
+        unit = np.repeat(np.arange(len(uids)), lists.value_lengths().to_numpy())
+        edges = lists.flatten()
+        end, start, ids = (edges.field(f).to_numpy().astype(np.int64) for f in ("end", "start", "id"))
+        wide = end.max(initial=0) + 1
+        known, tail, head = ids != _UNKNOWN, unit * wide + end, unit * wide + start
+        before = np.flatnonzero(known)
+        after = before[np.argsort(head[before], kind="stable")]
+        low = np.searchsorted(head[after], tail[before], "left")
+        times = np.searchsorted(head[after], tail[before], "right") - low
+        left = np.repeat(before, times)
+        nth = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        right = after[np.repeat(low, times) + nth]
+        first = np.flatnonzero(known & ((start == 0) | np.isin(head, tail[~known])))
+        keys = np.concatenate([ids[left] * _BASE + ids[right], ids[first]])
+        of = uids[np.concatenate([unit[left], unit[first]])]
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(keys)], names=["uid", "key"])
+
+    return map_batches(lattices.select("uid", "edges"), meet, "uid long, key long")
 
 
 def _stable(pairs: DataFrame, model: str) -> DataFrame:
@@ -170,7 +176,7 @@ def encode_units(units: DataFrame, model: str) -> DataFrame:
     longest = max(len(known.id_to_piece(i)) for i in range(BYTES_TO, known.vocab_size()))
     numbered = stage(units.withColumn("uid", F.monotonically_increasing_id()), "units")
     lattices = stage(_edges(numbered, vocabulary, longest), "lattices")
-    meetings = lattices.select("uid", F.explode(_meetings(F.col("edges"))).alias("key"))
+    meetings = _meetings(lattices)
     stable = stage(_stable(meetings.select("key").distinct(), model), "stable")
     allowed = meetings.join(stable, "key").groupBy("uid").agg(F.collect_list("key").alias("allowed"))
     folded = (
