@@ -69,6 +69,28 @@ def test_bands_reject(spark):
     assert not any(r.kept for r in quality.measure(docs, MODEL).collect())
 
 
+def test_bands_alone_part_junk_from_clean(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id")
+    rows = quality.measure(docs, MODEL).where("NOT base_failed").join(labels, "doc_id").collect()
+    junk = [r for r in rows if r.quality == 0]
+    # The bands were set from clean documents of even doc_id.
+    clean = [r for r in rows if r.quality == 1 and r.doc_id % 2]
+    assert sum(not r.kept for r in junk) >= 0.9 * len(junk)
+    assert sum(not r.kept for r in clean) <= 0.005 * len(clean)
+
+
+def test_entropy_is_asked_of_short_texts():
+    loop = " ".join(w for w in "It hast atst is ofthing onrere onhere and the a to".split() for _ in range(7))
+    prose = (
+        "The committee met on Tuesday to go over the plans for a new bridge. Several members "
+        "asked why the cost had doubled since spring, and were told that steel is dearer now."
+    )
+    (looped, clean) = quality.judge_all([loop, prose], ["en", "en"], quality.BANDS, MODEL)
+    assert not looped[5] and not looped[6]
+    assert clean[6]
+
+
 def test_repeated_words_windows():
     import numpy as np
 
