@@ -63,7 +63,8 @@ def _edges(units: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0), F.length("unit") - 1))
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start"))))
     parts = (
-        units.select("uid", "unit", starts.alias("start"))
+        units.repartition("uid")
+        .select("uid", "unit", starts.alias("start"))
         .select("uid", "unit", "start", lengths.alias("n"))
         .select("uid", "start", "n", F.substr("unit", F.col("start") + 1, "n").alias("piece"))
     )

@@ -88,12 +88,11 @@ def op7_clause_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = vocabulary("piece_bpe_32k.model")
-    read = lattice.decode(lattice.encode(turns, model), model)
+    read = lattice.decode(lattice.encode(docs, model), model)
     return read.select(
-        "conv_id",
-        "turn",
+        "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -1,7 +1,9 @@
+import hashlib
+
 import sentencepiece
 
 from logclew.llm import lattice
-from logclew.llm.queries import vocabulary
+from logclew.llm.queries import op8_piece_lattice, vocabulary
 
 MODEL = vocabulary("piece_bpe_32k.model")
 TEXTS = [
@@ -29,6 +31,17 @@ def test_turns(spark):
     assert all(r.ids == known.encode(r.text) for r in rows)
 
 
+def test_query_reads_documents(spark, documents):
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {}
+    for r in documents.collect():
+        ids = known.encode(r.text or "")
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(known.decode(ids)))
+    rows = op8_piece_lattice(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_ids, r.ids_sha256, r.decoded_sha256) for r in rows} == want
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "k int, text string")
     assert lattice.decode(lattice.encode(none, MODEL), MODEL).count() == 0
