@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logclew.llm import chat, classifier, lattice, packing, private, quality, shards, simhash, sketch, substrings
+from logclew.llm import (
+    chat,
+    classifier,
+    lattice,
+    packing,
+    periodic,
+    private,
+    quality,
+    shards,
+    simhash,
+    sketch,
+    substrings,
+)
 from logclew.session import prepare
 
 SHARDS = 16
@@ -126,6 +138,48 @@ def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """One document in ten with its words from some place on repeated from there: ``doc_id, text``.
+
+    A null id has no hash and is left alone.
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = docs.select("doc_id", "text", hashed.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, words)
+    )
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10).cast("long")
+    at = at.withColumns({"n": F.when(n > 0, n), "g": g}).withColumn("a", F.col("g") % F.col("n"))
+    rest = F.col("n") - F.col("a")
+    at = at.withColumn("p", 1 + F.floor(rest / (3 + F.col("g") % 8)).cast("long"))
+    whole = lambda c: c.cast("int")
+    unit = F.slice("words", whole(F.col("a") + 1), whole(F.col("p")))
+    again = F.flatten(F.array_repeat(unit, whole(F.ceil(rest / F.col("p")))))
+    changed = F.concat(F.slice("words", F.lit(1), whole(F.col("a"))), F.slice(again, F.lit(1), whole(rest)))
+    return at.select(
+        "doc_id", F.when(F.col("n").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op11_square_catchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(made_periodic(_table(spark, sf_dir, "documents")))
+    # The greatest length / period, compared by cross products; runs come by start, then period.
+    longer = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)), lambda best, r: F.when(longer(best, r), r).otherwise(best)
+    )
+    line = lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -139,6 +193,7 @@ QUERIES = {
         op8_piece_lattice,
         op9_ftrl_ngrams,
         op10_schema_fingerprint,
+        op11_square_catchers,
     )
 }
 ORACLES = {
