@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logclew.llm import (
     chat,
     classifier,
+    languages,
     lattice,
     packing,
     periodic,
@@ -180,6 +181,11 @@ def op11_square_catchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ppm_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return languages.predict(docs, languages.train(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -194,6 +200,7 @@ QUERIES = {
         op9_ftrl_ngrams,
         op10_schema_fingerprint,
         op11_square_catchers,
+        op13_ppm_trees,
     )
 }
 ORACLES = {
