@@ -14,6 +14,7 @@ from logclew.llm import (
     periodic,
     private,
     quality,
+    repair,
     shards,
     simhash,
     sketch,
@@ -181,6 +182,43 @@ def op11_square_catchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated and given another role, by a hash."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    key = F.concat(blank("conv_id"), F.lit(":"), blank("turn"))
+    case = F.col("case")
+    text = F.when(case == 1, "").when(case == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(case == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    read = turns.select(
+        "conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"),
+        (F.crc32(key.cast("binary")) % 20).alias("case"),
+    )
+    return read.where(case != 0).select(
+        "conv_id",
+        "turn",
+        F.when(case == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        copies.alias("copy"),
+    )
+
+
+def op12_min_plus_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = _table(spark, sf_dir, "conversations")
+    found = repair.repair_conversations(damaged(original).drop("copy"))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    digests = repair.text_digests(found.repaired).withColumnRenamed("digest", "repaired_sha256")
+    every = repair.merged(
+        [original.select("conv_id").distinct(), found.conversations, digests],
+        (*counts, "audit", "repaired_sha256"),
+    )
+    return every.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_ppm_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return languages.predict(docs, languages.train(docs))
@@ -200,6 +238,7 @@ QUERIES = {
         op9_ftrl_ngrams,
         op10_schema_fingerprint,
         op11_square_catchers,
+        op12_min_plus_runs,
         op13_ppm_trees,
     )
 }
