@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -9,6 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from log_rows import at  # noqa: E402
 
 from logclew.schema import ATOMS, COMMITS, LOGS  # noqa: E402
 from logclew.session import prepare  # noqa: E402
@@ -31,11 +33,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def at(text: str) -> datetime:
-    parsed = datetime.fromisoformat(text.replace("Z", "+00:00"))
-    return parsed if parsed.tzinfo else parsed.replace(tzinfo=timezone.utc)
-
-
 def kind_of(value) -> str:
     if value is None:
         return "null"

@@ -229,8 +229,6 @@ POLICY = JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=7)
 
 
 def test_links_match_brute_force(random_case):
-    from conftest import at
-
     rows, commits, atoms, logs, commit_df, atom_df = random_case
     found = correlate(logs, commit_df, POLICY, atom_df)
     keys = {r["row_ord"]: r for r in found.keyed.collect()}

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def test_csv_splittable(read):
 
 
 def test_csv_mixed_line_ends(read):
-    rows = read("csv", 'message,source\r\na,"x\r\ny"\nb,z\rc,\n', mixed_eol=True)
+    rows = read("csv", 'message,source\r\na,"x\r\ny"\nb,z\rc,\n')
     assert [(r["message"], r["source"]) for r in rows] == [("a", "x\ny"), ("b", "z"), ("c", "")]
 
 
@@ -274,3 +275,219 @@ def test_commit_order_over_files(spark, tmp_path):
         (folder / f"part-{n}").write_text("\x1e".join(records))
     rows = read_commit_log(spark, str(folder)).orderBy("commit_ord").collect()
     assert [(r["commit_ord"], r["subject"]) for r in rows] == list(enumerate(want))
+
+
+# --- large files in splits -----------------------------------------------------
+
+
+@pytest.fixture
+def in_splits(spark):
+    """Runs a reader with splits of a few hundred bytes."""
+
+    def run(source, path, size="300", **options):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            logs = read_logs(spark, source, str(path), **options)
+            return logs.withColumn("keys", F.map_keys("raw")).orderBy("row_ord").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    return run
+
+
+def plain_csv(text):
+    """Records of cells, character by character."""
+    records, cells, cell, quoted, i = [], [], "", False, 0
+    touched = False
+    while i < len(text):
+        ch = text[i]
+        if ch == '"':
+            touched = True
+            if quoted and text[i + 1 : i + 2] == '"':
+                cell += '"'
+                i += 1
+            else:
+                quoted = not quoted
+        elif not quoted and ch == ",":
+            cells.append(cell)
+            cell, touched = "", True
+        elif not quoted and ch == "\n":
+            if touched or cell or cells:
+                records.append([*cells, cell])
+            cells, cell, touched = [], "", False
+        else:
+            cell += ch
+        i += 1
+    if touched or cell or cells:
+        records.append([*cells, cell])
+    return records
+
+
+def random_csv(rand, n):
+    def cell():
+        kind = rand.random()
+        word = "".join(rand.choice("abc é,日\u001f\u001e") for _ in range(rand.randint(0, 8)))
+        if kind < 0.2:
+            return '"' + word + rand.choice(["\n", "\n\n", ",", '""', ""]) + word + '"'
+        if kind < 0.3:
+            return "x" + '"' + word + '"' + "y"
+        return word.replace(",", "")
+
+    lines = [",".join(cell() for _ in range(rand.randint(1, 5))) for _ in range(n)]
+    return "message,b,c\n" + "".join(x + rand.choice(["\n", "\n", "\n\n"]) for x in lines)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_csv_in_splits_equals_plain_reading(in_splits, tmp_path, seed):
+    rand = random.Random(seed)
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    want = []
+    for n in range(3):
+        text = random_csv(rand, rand.choice([1, 40, 300]))
+        if n == 1:
+            # One cell over several splits.
+            text += '"' + "long\ncell, " * 150 + '",1\nlast,2'
+        (folder / f"f{n}").write_text(text)
+        want += [(r + ["", "", ""])[:3] for r in plain_csv(text)[1:]]
+    rows = in_splits("csv", folder)
+    assert [r["row_ord"] for r in rows] == list(range(len(want)))
+    assert [[r["raw"][k] for k in ("message", "b", "c")] for r in rows] == want
+
+
+def test_csv_quotes_anywhere(read):
+    rows = read("csv", 'message,b\nab"c,d"e,2\n"x""y",""\na""b,"""q"""\n""""\n"open\n')
+    assert [(r["raw"]["message"], r["raw"]["b"]) for r in rows] == [
+        ("abc,de", "2"), ('x"y', ""), ("ab", '"q"'), ('"', ""), ("open", ""),
+    ]
+
+
+def test_csv_header_over_two_lines(read):
+    rows = read("csv", '﻿"mess""age\nof a row",message\r\n1,two\r\n')
+    assert rows[0]["raw"] == {'mess"age\nof a row': "1", "message": "two"}
+
+
+def random_value(rand, depth=0):
+    kind = rand.random()
+    if kind < 0.3 and depth < 3:
+        return {rand.choice("abcd"): random_value(rand, depth + 1) for _ in range(rand.randint(0, 3))}
+    if kind < 0.45 and depth < 3:
+        return [random_value(rand, depth + 1) for _ in range(rand.randint(0, 3))]
+    return rand.choice([1, "x}]", 'q"}{', "\\", "\\\"[", None, True, "é日"])
+
+
+def same_json(texts, values):
+    return [json.loads(t) for t in texts] == values
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_array_in_splits_equals_plain_reading(in_splits, tmp_path, indent):
+    rand = random.Random(7)
+    folder = tmp_path / "json"
+    folder.mkdir()
+    want = []
+    for n, size in enumerate((0, 1, 200, 60)):
+        values = [random_value(rand) if rand.random() < 0.2 else {"message": f"{n}-{i}", "v": random_value(rand)}
+                  for i in range(size)]
+        (folder / f"f{n}").write_text(" \n" + json.dumps(values, indent=indent, ensure_ascii=bool(n % 2)))
+        want += [v for v in values if isinstance(v, dict)]
+    (folder / "g").write_text('{"message":"alone","v":{"k":[1,{"m":2}]}}')
+    (folder / "h").write_text("[3]")
+    want.append({"message": "alone", "v": {"k": [1, {"m": 2}]}})
+    rows = in_splits("json", folder)
+    assert [r["row_ord"] for r in rows] == list(range(len(want)))
+    assert [set(r["keys"]) for r in rows] == [set(v) for v in want]
+    assert [r["message"] for r in rows if "message" in r["keys"]] == [v["message"] for v in want if "message" in v]
+    nested = [(r["raw"]["v"], v["v"]) for r, v in zip(rows, want) if isinstance(v.get("v"), (dict, list))]
+    assert same_json([t for t, _ in nested], [v for _, v in nested])
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"a":1}', '[{"a":1},{"b":2', '[{"a":1}{"b":2}]', '[{"a":1},]', '[{"a":1},,{"b":2}]', '[,{"a":1}]', '{"a":1', '[{"a":1},{"b":]'],
+)
+def test_broken_arrays_are_errors(read, text):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read("json", text)
+
+
+def test_tabular_in_splits_equals_plain_reading(in_splits, tmp_path):
+    rand = random.Random(3)
+    folder = tmp_path / "tabular"
+    folder.mkdir()
+    want = []
+    for n in range(4):
+        tables = []
+        for t in range(rand.randint(1, 4)):
+            names = [rand.choice(["Message", "b", "c"]) for _ in range(rand.randint(1, 3))]
+            rows = [[random_value(rand, 2) for _ in range(rand.randint(0, 4))] for _ in range(rand.choice([0, 1, 90]))]
+            columns = [{"name": c, "type": "x]["} for c in names]
+            table = {"name": f"T[{t}", "columns": columns, "rows": rows, "odd": [[[1], [2]]]}
+            keys = list(table)
+            rand.shuffle(keys)
+            tables.append({k: table[k] for k in keys})
+            want += [dict(zip(names, [*row, *[None] * 3])) for row in rows]
+        tables.insert(1, {"name": "no columns", "rows": [[1], [2]]})
+        (folder / f"f{n}").write_text(json.dumps({"meta": [[[[[5], [6]]]]], "tables": tables, "end": [[[[1]]]]}))
+    (folder / "g").write_text('[{"Message":"of an array"}, 7]')
+    want.append({"Message": "of an array"})
+    rows = in_splits("tabular-json", folder)
+    assert [r["row_ord"] for r in rows] == list(range(len(want)))
+    assert [set(r["keys"]) for r in rows] == [set(w) for w in want]
+    plain = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+    for r, w in zip(rows, want):
+        for k, v in w.items():
+            if not isinstance(v, (dict, list)):
+                assert r["raw"][k] == plain(v)
+            else:
+                assert json.loads(r["raw"][k]) == v
+
+
+@pytest.mark.parametrize("source", ["csv", "json", "tabular-json"])
+def test_large_file_is_read_by_many_tasks(spark, tmp_path, source):
+    path = tmp_path / "one"
+    n = 20_000
+    if source == "csv":
+        path.write_text("message,b\n" + "".join(f'm{i},"x\ny{i}"\n' for i in range(n)))
+    elif source == "json":
+        path.write_text(json.dumps([{"message": f"m{i}", "b": {"k": "}"}} for i in range(n)]))
+    else:
+        rows = [[f"m{i}", ["]"]] for i in range(n)]
+        columns = [{"name": "message"}, {"name": "b"}]
+        path.write_text(json.dumps({"tables": [{"name": "T", "columns": columns, "rows": rows}]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        logs = read_logs(spark, source, str(path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = logs.select("row_ord", "message").orderBy("row_ord").collect()
+    assert [tuple(r) for r in rows] == [(i, f"m{i}") for i in range(n)]
+    assert path.stat().st_size > 5 * 65_536
+
+
+@pytest.mark.parametrize("source", ["csv", "json", "json-lines", "commits"])
+def test_numbers_survive_other_splits(spark, tmp_path, source):
+    """The frame is built under one split size and runs under another."""
+    path = tmp_path / "export"
+    if source == "csv":
+        path.write_text("message\n" + "".join(f"m{i}\n" for i in range(9000)))
+    elif source == "json":
+        path.write_text(json.dumps([{"message": f"m{i}"} for i in range(9000)]))
+    elif source == "json-lines":
+        path.write_text("".join(json.dumps({"message": f"m{i}"}) + "\n" for i in range(9000)))
+    else:
+        path.write_text("\x1e".join(f"{i:040x}\0me\x002026-05-22T00:00:00Z\0m{i}" for i in range(9000)))
+    if source == "commits":
+        logs = read_commit_log(spark, str(path)).selectExpr("commit_ord AS row_ord", "subject AS message")
+    elif source == "json-lines":
+        logs = read_logs(spark, "json", str(path), per_line=True)
+    else:
+        logs = read_logs(spark, source, str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = logs.select("row_ord", "message").orderBy("row_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in rows] == [(i, f"m{i}") for i in range(9000)]
