@@ -269,13 +269,14 @@ def train(
     # Of each language, the counts down to the least at which its tree has its share of nodes.
     share = cells // languages**2
     down = Window.partitionBy("lang").orderBy(F.col("n").desc())
-    least = (
+    least = stage(
         nodes.groupBy("lang", "n")
         .agg(F.count(F.lit(1)).alias("of"))
         .withColumn("so_far", F.sum("of").over(down))
         .where(F.col("so_far") <= share)
         .groupBy("lang")
-        .agg(F.min("n").alias("least"))
+        .agg(F.min("n").alias("least")),
+        "least-counts",
     )
     # At most ``cells`` / languages rows.
     kept = nodes.join(least, "lang").where(F.col("n") >= F.col("least")).orderBy("lang", "k", "gram")
