@@ -1,0 +1,35 @@
+"""Running sums over a table in a total order, whatever is hot in it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from logclew.session import stage
+
+
+def running_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows up to this one.
+
+    The rows are dealt out by ranges of ``order`` and written once; a range sums up
+    by itself, and the sums of whole ranges, one row each, give it what lies before. Rows that
+    agree in ``order`` may get either order, and may lie in two ranges, so no value of it is too
+    frequent for a task; let ``order`` tell apart whatever the sums should.
+    """
+    by = [*order, "_tie"]
+    ranged = stage(
+        rows.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*by)
+        .withColumn("_range", F.spark_partition_id()),
+        "ranges",
+    )
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(*by))
+    return (
+        ranged.withColumn(name, within)
+        .join(F.broadcast(offsets), "_range")  # one row per range
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_tie", "_range", "_offset")
+    )

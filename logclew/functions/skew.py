@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logclew.session import stage
+from logclew.session import is_staged, stage
 
 
 def skew_join(
@@ -16,8 +16,13 @@ def skew_join(
     shuffle, and Spark then leaves a hot key in one task. From a table each side gets a
     plain exchange, whose measured partitions the adaptive skew join splits, whichever
     side is hot and however many keys are. What a side was computed from is read once,
-    and a side whose files are small enough is broadcast.
+    and a side whose files are small enough is broadcast. A side that is a staged table
+    already is taken as it is.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("skew_join supports inner, left and left_semi joins")
-    return stage(left, f"{name}-left").join(stage(right, f"{name}-right"), on, how)
+    sides = [
+        side if is_staged(side) else stage(side, f"{name}-{which}")
+        for side, which in ((left, "left"), (right, "right"))
+    ]
+    return sides[0].join(sides[1], on, how)

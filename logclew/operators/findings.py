@@ -14,6 +14,10 @@ NO_KEY_WARNING = (
 )
 
 
+# First rows are looked for in so many buckets of groups.
+_BUCKETS = 4_096
+
+
 def severity_rank(level: Column) -> Column:
     """2 for error, 1 for warn, 0 for the rest."""
     lowered = F.lower(level)
@@ -114,9 +118,22 @@ def findings_counts(stats: DataFrame) -> DataFrame:
     return summary(stats).select("group_count", "unmatched_count", "warning")
 
 
-def first_groups(all_groups: DataFrame, n: int) -> DataFrame:
-    """The ``n`` groups that appear first; at most ``n`` rows, so safe to broadcast."""
-    return all_groups.orderBy("first_ord").limit(n)
+def first_keys(keys: DataFrame, n: int) -> DataFrame:
+    """``group_key, first_ord`` of the ``n`` groups that appear first; at most ``n`` rows.
+
+    Not by way of all groups: each task keeps the first row of each of ``_BUCKETS`` buckets of keys.
+    These are first rows of different groups, so the nth of them comes no earlier than the nth
+    group does, and the rows up to it have all the groups asked for.
+    """
+    rows = keys.where(F.col("group_key").isNotNull()).select("group_key", "row_ord")
+    firsts = rows.groupBy(F.pmod(F.xxhash64("group_key"), F.lit(_BUCKETS)).alias("bucket")).agg(
+        F.min("row_ord").alias("first_ord")
+    )
+    leading = firsts.orderBy("first_ord").limit(n)
+    last = leading.agg(F.when(F.count(F.lit(1)) == n, F.max("first_ord"))).scalar()
+    early = rows.where(F.col("row_ord") <= F.coalesce(last, F.lit((1 << 63) - 1)))
+    found = early.groupBy("group_key").agg(F.min("row_ord").alias("first_ord"))
+    return found.orderBy("first_ord").limit(n)
 
 
 def first_tickets(tickets: DataFrame, n: int) -> DataFrame:
@@ -136,11 +153,10 @@ def first_tickets(tickets: DataFrame, n: int) -> DataFrame:
     )
 
 
-def bullets(top: DataFrame, tickets: DataFrame, commits: DataFrame) -> DataFrame:
-    """``bullet_no, text`` for the first groups; ``tickets`` and ``commits`` are their links."""
-    counts = commits.groupBy("group_key").agg(F.count(F.lit(1)).alias("commit_count"))
+def bullets(top: DataFrame, tickets: DataFrame, commit_counts: DataFrame) -> DataFrame:
+    """``bullet_no, text`` for the first groups, with their tickets and numbers of commits."""
     noted = (
-        top.join(counts, "group_key", "left")
+        top.join(commit_counts, "group_key", "left")
         .join(first_tickets(tickets, 3), "group_key", "left")
         .withColumn(
             "bullet_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_ord"))

@@ -18,6 +18,9 @@ TICKET_FIELD = "operationName"
 
 _UNIT = "\u001f"
 
+# Of written rows: whether they have a key.
+MATCHED = "has_key"
+
 
 def operation_id(raw: Column, kind: Column, field: str) -> Column:
     """First non-empty string among the configured and the built-in fields."""
@@ -111,12 +114,16 @@ def group_label(key: Column) -> Column:
 
 
 def row_keys(
-    logs: DataFrame, policy: JoinPolicy, services: DataFrame | None = None
+    logs: DataFrame,
+    policy: JoinPolicy,
+    services: DataFrame | None = None,
+    extra_formats: tuple[str, ...] = (),
 ) -> DataFrame:
     """Log rows with ``time_known, op_id, tickets, service, group_key``.
 
     ``services`` is an allowlist held as a table, for one too long for
-    ``policy.service_allowlist``. Tickets are sorted where they form the group
+    ``policy.service_allowlist``. ``extra_formats`` are the time formats the rows were read
+    with. Tickets are sorted where they form the group
     and in order of mention where an operation id does.
 
     The group key leaves through a one-element ``explode``, past which Catalyst
@@ -133,7 +140,7 @@ def row_keys(
         service = service_of(F.col("source"), policy.service_allowlist)
     found = logs.withColumns(
         {
-            "time_known": time_known(F.col("timestamp"), raw),
+            "time_known": time_known(F.col("timestamp"), raw, extra_formats),
             "op_id": operation_id(raw, kind, policy.operation_id_field),
             "tickets": tickets,
             "service": service,
@@ -147,8 +154,9 @@ def row_keys(
 
 
 def matched(keyed: DataFrame) -> DataFrame:
-    return keyed.where(F.col("group_key").isNotNull())
+    """Rows with a key. Written rows lie in a folder of their own (``MATCHED``)."""
+    return keyed.where(MATCHED if MATCHED in keyed.columns else F.col("group_key").isNotNull())
 
 
 def unmatched(keyed: DataFrame) -> DataFrame:
-    return keyed.where(F.col("group_key").isNull())
+    return keyed.where(~F.col(MATCHED) if MATCHED in keyed.columns else F.col("group_key").isNull())

@@ -8,18 +8,23 @@ the join, so whether it is broadcast depends on its true size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logclew.functions.ranks import running_sums
 from logclew.functions.skew import skew_join
 from logclew.functions.timestamps import epoch
 from logclew.operators.keys import ticket_mentions
 from logclew.session import spread, stage
 
-# Key signatures are hashed into this many values, which bounds their table.
-_SIGNATURES = 65_536
-_SIGNATURE_CHARS = 4
+# The index of a text holds its grams of so many characters, and shorter ones for shorter keys.
+_GRAM = 6
+# Texts are cut into chunks of so many characters, so that no gram is looked for from the
+# start of a long text.
+_CHUNK = 64
+# Which grams occur in keys is told by one bit each in so many words of 64 bits.
+_WORDS = 65_536
 
 
 def group_tickets(keyed: DataFrame) -> DataFrame:
@@ -49,38 +54,108 @@ def group_match_keys(keyed: DataFrame) -> DataFrame:
 def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct ``key, text_ord`` where ``text`` contains ``key``.
 
-    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct ``(key)``, both staged.
-    A text contains a key exactly when one of its pieces of the key's length
-    equals it, so the search is an equality join between keys and pieces. Pieces
-    are cut for the lengths that occur, and only those whose length and opening
-    characters hash to the signature of some key go on to the shuffle.
+    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct non-empty ``(key)``, both staged. The texts
+    are indexed by their grams, short pieces with their positions; of the grams only those go on that
+    some key has too. A key is then looked up by the rarest of its grams, at all places of that one, and
+    the rest of it is compared where it would have to stand. A key with a gram that no text has is
+    in none. The work is linear in the texts, whatever lengths the keys have.
     """
-    length = F.length("key")
-    longest = texts.agg(F.max(F.length("text"))).scalar()
-    lengths = keys.where(length <= longest).agg(F.array_sort(F.collect_set(length))).scalar()
-
-    def signature(text: Column, size: Column) -> Column:
-        opening = F.substring(text, 1, _SIGNATURE_CHARS)
-        return F.pmod(F.hash(size, opening), F.lit(_SIGNATURES))
-
-    signatures = keys.select(signature(F.col("key"), length).alias("sig")).distinct()
-    pieces = (
-        spread(texts, "text_ord")
-        .select("text_ord", "text", F.explode(lengths).alias("size"))
-        .where(F.col("size") <= F.length("text"))
+    size = F.least(F.length("key"), F.lit(_GRAM))
+    sizes = keys.agg(F.sort_array(F.collect_set(size))).scalar()  # at most _GRAM numbers
+    of_keys = stage(
+        keys.select("key", size.alias("size"))
         .select(
-            "text_ord",
-            "text",
+            "key",
             "size",
-            F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)).alias("start"),
+            F.explode(F.sequence(F.lit(0), F.length("key") - F.col("size"))).alias("offset"),
+        )
+        .select("key", "offset", F.substring(F.col("key"), F.col("offset") + 1, F.col("size")).alias("gram")),
+        "key-grams",
+    )
+    chunks = stage(_chunks(spread(texts, "text_ord")), "text-chunks")
+    places = stage(_places(chunks, sizes, of_keys), "text-grams")
+    counts = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        skew_join(of_keys, stage(counts, "gram-counts"), "gram", "left")
+        .groupBy("key")
+        .agg(
+            F.count_if(F.col("n").isNull()).alias("missing"),
+            F.min(F.struct("n", "offset", "gram")).alias("first"),
         )
-        .select("text_ord", F.substring(F.col("text"), F.col("start"), F.col("size")).alias("key"))
-        .withColumn("sig", signature(F.col("key"), length))
-        .join(F.broadcast(signatures), "sig", "left_semi")
+        .where(F.col("missing") == 0)
+        .select("key", "first.offset", "first.gram")
+    )
+    candidates = (
+        skew_join(places, stage(rarest, "rarest-grams"), "gram")
+        .select("key", "text_ord", (F.col("at") - F.col("offset")).alias("at"))
+        .where(F.col("at") >= 0)
+    )
+    return _verified(candidates, chunks)
+
+
+def _chunks(texts: DataFrame) -> DataFrame:
+    """``text_ord, nth, chunk``: texts in chunks, each with the first characters of the next."""
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    cut = texts.select("text_ord", F.explode(F.array(parts)).alias("parts"))
+    ahead = lambda n: F.coalesce(F.substring(F.get("parts", n + 1), 1, _GRAM - 1), F.lit(""))
+    joined = F.transform("parts", lambda part, n: F.concat(part, ahead(n)))
+    return cut.select("text_ord", F.posexplode(joined).alias("nth", "chunk")).withColumn(
+        "nth", F.col("nth").cast("bigint")
+    )
+
+
+def _places(chunks: DataFrame, sizes: Column, of_keys: DataFrame) -> DataFrame:
+    """``gram, text_ord, at`` of the grams of texts that occur in some key, and by chance of a few more.
+
+    Asked of a table of at most ``_WORDS`` words of bits, which is broadcast.
+    """
+    hashed = of_keys.select(F.xxhash64("gram").alias("h"))
+    word, bit = F.pmod("h", F.lit(_WORDS)), F.expr("shiftleft(1L, CAST(pmod(shiftright(h, 32), 64) AS INT))")
+    bits = hashed.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    starts = F.sequence(F.lit(1), F.least(F.lit(_CHUNK), F.length("chunk") - F.col("size") + 1))
+    return (
+        chunks.select("text_ord", "nth", "chunk", F.explode(sizes).alias("size"))
+        .where(F.col("size") <= F.length("chunk"))
+        .select("text_ord", "nth", "chunk", "size", F.explode(starts).alias("start"))
+        .select(
+            F.substring(F.col("chunk"), F.col("start"), F.col("size")).alias("gram"),
+            "text_ord",
+            (F.col("nth") * _CHUNK + F.col("start") - 1).alias("at"),
+        )
+        .withColumn("h", F.xxhash64("gram"))
+        .withColumn("word", word)
+        .join(F.broadcast(bits), "word")
+        .where(F.col("bits").bitwiseAND(bit) != 0)
+        .select("gram", "text_ord", "at")
+    )
+
+
+def _verified(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Distinct ``key, text_ord`` of candidates whose whole key stands at ``at``, chunk by chunk."""
+    first = F.expr(f"at div {_CHUNK}")
+    last = F.expr(f"(at + length(key) - 1) div {_CHUNK}")
+    parts = candidates.distinct().select("*", F.explode(F.sequence(first, last)).alias("nth"))
+    in_chunk = F.greatest(F.col("at") - F.col("nth") * _CHUNK, F.lit(0))
+    in_key = F.greatest(F.col("nth") * _CHUNK - F.col("at"), F.lit(0))
+    length = F.least(F.lit(_CHUNK) - F.col("in_chunk"), F.length("key") - F.col("in_key"))
+    whole = parts.withColumns({"in_chunk": in_chunk, "in_key": in_key}).select(
+        "key",
+        "text_ord",
+        "at",
+        "nth",
+        (F.col("in_chunk") + 1).cast("int").alias("from"),
+        length.cast("int").alias("length"),
+        F.substring(F.col("key"), (F.col("in_key") + 1).cast("int"), length.cast("int")).alias("part"),
+    )
+    same = F.substring(F.col("chunk"), F.col("from"), F.col("length")) == F.col("part")
+    return (
+        skew_join(whole, chunks, ["text_ord", "nth"], "left", "verify")
+        .groupBy("key", "text_ord", "at")
+        .agg(F.min(F.coalesce(same, F.lit(False))).alias("same"))
+        .where("same")
         .select("key", "text_ord")
         .distinct()
     )
-    return keys.join(pieces, "key").select("key", "text_ord")
 
 
 def ticket_commits(
@@ -113,26 +188,16 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
     before when it is near the earliest. So an operation id that fills a third of
     the log costs one row per bucket.
     """
-    window = window_minutes * 60_000
-    rows = keyed.where(F.col("op_id").isNotNull() & F.col("time_known"))
-    if window == 0:
+    if window_minutes == 0:
         pairs = T.StructType([keyed.schema["group_key"], commits.schema["commit_ord"]])
         return keyed.sparkSession.createDataFrame([], pairs)
-    commits = commits.where(F.col("authored_at") != epoch())
-    at = F.unix_millis("timestamp")
-    spans = (
-        rows.select("group_key", at.alias("at"))
-        .withColumn("bucket", F.floor(F.col("at") / window))
-        .groupBy("group_key", "bucket")
-        .agg(F.min("at").alias("earliest"), F.max("at").alias("latest"))
-    )
-    commit_at = F.unix_millis("authored_at")
-    near = commits.select("commit_ord", commit_at.alias("commit_at")).select(
-        "commit_ord",
-        "commit_at",
-        F.explode(
-            F.array(*[F.floor(F.col("commit_at") / window) + step for step in (-1, 0, 1)])
-        ).alias("bucket"),
+    window = window_minutes * 60_000
+    spans, at = _spans(keyed, window), F.unix_millis("authored_at")
+    steps = F.array(*[F.floor(F.col("commit_at") / window) + step for step in (-1, 0, 1)])
+    near = (
+        commits.where(F.col("authored_at") != epoch())
+        .select("commit_ord", at.alias("commit_at"))
+        .select("commit_ord", "commit_at", F.explode(steps).alias("bucket"))
     )
     in_reach = (F.col("commit_at") >= F.col("earliest") - window) & (
         F.col("commit_at") <= F.col("latest") + window
@@ -145,6 +210,101 @@ def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int)
     )
 
 
+def _spans(keyed: DataFrame, window: int) -> DataFrame:
+    """``group_key, bucket, earliest, latest`` of rows with an operation id and a readable time."""
+    at = F.unix_millis("timestamp")
+    return (
+        keyed.where(F.col("op_id").isNotNull() & F.col("time_known"))
+        .select("group_key", at.alias("at"))
+        .withColumn("bucket", F.floor(F.col("at") / window))
+        .groupBy("group_key", "bucket")
+        .agg(F.min("at").alias("earliest"), F.max("at").alias("latest"))
+    )
+
+
+def _merged_spans(keyed: DataFrame, window: int) -> DataFrame:
+    """``group_key, since, until``: disjoint spans of time that lie within the window of a row.
+
+    Rows of one bucket are within a window of each other, so theirs is one span. A
+    group has at most a span per window of the log's time, however many rows it has.
+    """
+    order = Window.partitionBy("group_key").orderBy("since")
+    before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(F.col("since") <= before, 0).otherwise(1)
+    return (
+        _spans(keyed, window)
+        .select(
+            "group_key",
+            (F.col("earliest") - window).alias("since"),
+            (F.col("latest") + window).alias("until"),
+        )
+        .withColumn("starts", starts)
+        .withColumn("span", F.sum("starts").over(order))
+        .groupBy("group_key", "span")
+        .agg(F.min("since").alias("since"), F.max("until").alias("until"))
+        .select("group_key", "since", "until")
+    )
+
+
+def commit_counts(
+    keyed: DataFrame,
+    tickets: DataFrame,
+    commits: DataFrame,
+    window_minutes: int,
+    token_regex: str | None = None,
+) -> DataFrame:
+    """``group_key, commit_count``: how many commits ``group_commits`` would list.
+
+    Commits near a group are counted without listing them: in the order of time, the commits up to the end of a span
+    less those before it. To these come the commits of its tickets that lie in no span of it.
+    ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
+    """
+    dated = F.when(F.col("authored_at") != epoch(), F.unix_millis("authored_at"))
+    linked = ticket_commits(tickets, commits, token_regex)
+    when = stage(commits.select("commit_ord", dated.alias("at")), "commit-times")
+    linked = stage(linked.join(when, "commit_ord"), "linked-commits")
+    mentions = stage(tickets.select("group_key", F.col("ticket").alias("key")), "group-keys")
+    pairs = skew_join(mentions, linked, "key").select("group_key", "commit_ord", "at").distinct()
+    if window_minutes == 0:
+        return pairs.groupBy("group_key").agg(F.count(F.lit(1)).alias("commit_count"))
+    spans = stage(_merged_spans(keyed, window_minutes * 60_000), "spans")
+    # Before, at and after the commits of the same instant.
+    edges = spans.select(
+        "group_key",
+        F.inline(
+            F.array(
+                F.struct(F.col("since").alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
+                F.struct(F.col("until").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign")),
+            )
+        ),
+    )
+    no_group = F.lit(None).cast("string").alias("group_key")
+    times = when.where(F.col("at").isNotNull()).select(
+        no_group, "at", F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(1).alias("one")
+    )
+    ranked = running_sums(
+        edges.withColumn("one", F.lit(0)).unionByName(times), ["at", "turn"], "one", "rank"
+    )
+    near = ranked.where(F.col("sign") != 0).select("group_key", (F.col("sign") * F.col("rank")).alias("n"))
+    # Only groups of an operation id have spans.
+    has_spans = F.col("group_key").startswith("op:")
+    outside = pairs.where(~has_spans).select("group_key", F.lit(1).alias("n"))
+    opened = running_sums(
+        edges.select("group_key", "at", "turn", (-F.col("sign")).alias("opens")).unionByName(
+            pairs.where(has_spans).select(
+                "group_key", "at", F.lit(1).alias("turn"), F.lit(0).alias("opens")
+            )
+        ),
+        ["group_key", "at", "turn"],
+        "opens",
+        "open",
+    )
+    between = opened.where((F.col("turn") == 1) & (F.col("open") == 0))
+    every = near.unionByName(outside).unionByName(between.select("group_key", F.lit(1).alias("n")))
+    counts = every.groupBy("group_key").agg(F.sum("n").alias("commit_count"))
+    return counts.where(F.col("commit_count") > 0)
+
+
 def group_commits(
     keyed: DataFrame,
     tickets: DataFrame,
@@ -156,11 +316,9 @@ def group_commits(
 
     ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
     """
-    by_ticket = (
-        tickets.select("group_key", F.col("ticket").alias("key"))
-        .join(ticket_commits(tickets, commits, token_regex), "key")
-        .select("group_key", "commit_ord")
-    )
+    mentions = tickets.select("group_key", F.col("ticket").alias("key"))
+    linked = ticket_commits(tickets, commits, token_regex)
+    by_ticket = skew_join(mentions, linked, "key").select("group_key", "commit_ord")
     if window_minutes == 0:
         return by_ticket.distinct()
     near = proximity_commits(keyed, commits, window_minutes)
@@ -183,6 +341,4 @@ def group_atoms(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     """
     keys = stage(pairs.select("key").distinct(), "match-keys")
     links = stage(atom_keys(keys, atoms), "atom-keys")
-    return (
-        pairs.join(links, "key").select("group_key", "atom_ord").distinct()
-    )
+    return skew_join(pairs, links, "key").select("group_key", "atom_ord").distinct()

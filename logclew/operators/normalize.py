@@ -39,12 +39,13 @@ def log_timestamp(raw: Column, extra_formats: tuple[str, ...] = ()) -> Column:
     return F.coalesce(parse_timestamp(pick(raw, TIMESTAMP_KEYS), extra_formats), epoch())
 
 
-def time_known(timestamp: Column, raw: Column) -> Column:
+def time_known(timestamp: Column, raw: Column, extra_formats: tuple[str, ...] = ()) -> Column:
     """False where ``timestamp`` is the epoch only because there was no readable time.
 
-    The record is parsed again for rows at the epoch alone.
+    The record is parsed again for rows at the epoch alone, with the formats it was read by.
     """
-    read = F.coalesce(parse_timestamp(pick(raw, TIMESTAMP_KEYS)) == epoch(), F.lit(False))
+    written = parse_timestamp(pick(raw, TIMESTAMP_KEYS), extra_formats)
+    read = F.coalesce(written == epoch(), F.lit(False))
     return F.when(timestamp == epoch(), read).otherwise(timestamp.isNotNull())
 
 
@@ -133,9 +134,15 @@ def preview(logs: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return logs.orderBy("row_ord").limit(rows)
 
 
-def rowset_meta(logs: DataFrame, source: str) -> DataFrame:
-    """One row: source, number of rows, and of those without a readable time."""
-    unknown = ~time_known(F.col("timestamp"), F.col("raw"))
+def rowset_meta(logs: DataFrame, source: str, extra_formats: tuple[str, ...] = ()) -> DataFrame:
+    """One row: source, number of rows, and of those without a readable time.
+
+    ``logs`` are log rows, or their keys, which know already which times were readable.
+    """
+    if "time_known" in logs.columns:
+        unknown = ~F.col("time_known")
+    else:
+        unknown = ~time_known(F.col("timestamp"), F.col("raw"), extra_formats)
     return logs.agg(
         F.lit(source).alias("source"),
         F.count(F.lit(1)).alias("row_count"),

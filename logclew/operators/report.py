@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logclew.functions.skew import skew_join
-from logclew.operators.findings import first_groups
+from logclew.operators.findings import first_keys
 from logclew.schema import PREVIEW_ROWS
 
 # Characters Spark's url_encode escapes and a URL path keeps.
@@ -40,15 +40,18 @@ def linked_tickets(tickets: DataFrame, link_base: str | None = None) -> DataFram
 
 
 def group_report(
-    all_groups: DataFrame, tickets: DataFrame, commits: DataFrame, atoms: DataFrame
+    all_groups: DataFrame, tickets: DataFrame, commit_counts: DataFrame, atoms: DataFrame
 ) -> DataFrame:
-    """One row per group: label, rows and numbers of links; the links are tables of their own."""
+    """One row per group: label, rows and numbers of links; the links are tables of their own.
+
+    ``tickets`` and ``atoms`` are links, ``commit_counts`` is ``group_key, commit_count``.
+    """
 
     def counted(links: DataFrame, name: str) -> DataFrame:
         return links.groupBy("group_key").agg(F.count(F.lit(1)).alias(name))
 
     report = (
-        all_groups.join(counted(commits, "commit_count"), "group_key", "left")
+        all_groups.join(commit_counts, "group_key", "left")
         .join(counted(atoms, "atom_count"), "group_key", "left")
         .join(counted(tickets, "ticket_count"), "group_key", "left")
     )
@@ -73,23 +76,27 @@ def atom_details(group_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     return skew_join(group_atoms, details, "atom_ord", name="atom-details")
 
 
-def raw_preview(keyed: DataFrame, all_groups: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+def raw_preview(keys: DataFrame, logs: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows of a report: by group in order of appearance, then unmatched.
 
-    Every group has a row, so the first ``rows`` rows lie in the first ``rows``
-    groups: a broadcast of at most that many finds them in one pass over the log.
-    Messages are whole and as they are; ``escape_cells`` makes them fit for a table.
+    Every group has a row, so the first ``rows`` rows lie in the first ``rows`` groups.
+    Which rows they are is found from ``group_key, row_ord`` alone; at most ``rows`` rows of the log
+    are then fetched by their number. Messages are whole and as they are; ``escape_cells`` makes
+    them fit for a table.
     """
-    top = F.broadcast(first_groups(all_groups, rows).select("group_key", "first_ord"))
-    shown = ["row_ord", "timestamp", "level", "source", "message"]
+    top = F.broadcast(first_keys(keys, rows))
     is_other = F.col("group_key").isNull()
-    candidates = (
-        keyed.select("group_key", *shown)
+    shown = (
+        keys.select("group_key", "row_ord")
         .join(top, "group_key", "left")
         .where(is_other | F.col("first_ord").isNotNull())
-        .select(is_other.alias("part"), "first_ord", *shown)
+        .select(is_other.alias("part"), "first_ord", "row_ord")
+        .orderBy("part", "first_ord", "row_ord")
+        .limit(rows)
     )
-    return candidates.orderBy("part", "first_ord", "row_ord").limit(rows)
+    columns = ("row_ord", "timestamp", "level", "source", "message")
+    found = logs.select(*columns).join(F.broadcast(shown), "row_ord")
+    return found.select("part", "first_ord", *columns).orderBy("part", "first_ord", "row_ord").limit(rows)
 
 
 def escape_cells(preview: DataFrame) -> DataFrame:

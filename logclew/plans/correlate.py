@@ -6,12 +6,13 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logclew.operators import findings as fnd
 from logclew.operators import links, report
-from logclew.operators.keys import matched, row_keys, unmatched
+from logclew.operators.keys import MATCHED, matched, row_keys, unmatched
 from logclew.schema import ATOMS, BULLETS, PREVIEW_ROWS, JoinPolicy
-from logclew.session import prepare, stage
+from logclew.session import is_staged, prepare, stage
 
 TABLES = (
     "summary",
@@ -35,15 +36,17 @@ class Findings:
     Each is built when first asked for. What later steps read more than once,
     the distinct (group, key) pairs and the links, is staged in the shared
     folder at that point, so the log itself is not scanned again for it.
-    ``keyed`` are whole log rows with their keys; ``keys`` is the narrow part of
+    ``logs`` are the log rows, ``keyed`` these with their keys; ``keys`` is the narrow part of
     them that groups and links need.
     """
 
+    logs: DataFrame
     keyed: DataFrame
     keys: DataFrame
     commits: DataFrame
     atoms: DataFrame
     policy: JoinPolicy
+    staged: bool = False
 
     @property
     def _token_regex(self) -> str | None:
@@ -61,17 +64,22 @@ class Findings:
     def groups(self) -> DataFrame:
         return fnd.groups(self.stats)
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Whole rows with their keys; of a staged run written once, matched rows apart from others."""
+        return staged_rows(self.keyed) if self.staged and not is_staged(self.keyed) else self.keyed
+
     @cached_property
     def group_rows(self) -> DataFrame:
-        return matched(self.keyed).select("group_key", *_ROW)
+        return matched(self.rows).select("group_key", *_ROW)
 
     @cached_property
     def unmatched(self) -> DataFrame:
-        return unmatched(self.keyed).select(*_ROW)
+        return unmatched(self.rows).select(*_ROW)
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return fnd.evidence(self.keyed)
+        return fnd.evidence(self.rows)
 
     @cached_property
     def group_tickets(self) -> DataFrame:
@@ -90,6 +98,16 @@ class Findings:
             "group-commits",
         )
 
+    @cached_property
+    def commit_counts(self) -> DataFrame:
+        """``group_key, commit_count`` without the links themselves."""
+        return self._commit_counts(self.keys, self.group_tickets)
+
+    def _commit_counts(self, keys: DataFrame, tickets: DataFrame) -> DataFrame:
+        return links.commit_counts(
+            keys, tickets, self.commits, self.policy.window_minutes, self._token_regex
+        )
+
     @cached_property
     def atom_links(self) -> DataFrame:
         pairs = stage(links.group_match_keys(self.keys), "group-keys")
@@ -108,27 +126,21 @@ class Findings:
         return self.first_bullets(BULLETS)
 
     def first_bullets(self, n: int) -> DataFrame:
-        """Of the first ``n`` groups; links are worked out for those groups only."""
-        top = stage(fnd.first_groups(self.groups, n), "first-groups")
-        if "commit_links" in self.__dict__:
-            tickets = fnd.of_groups(self.group_tickets, top)
-            commits = fnd.of_groups(self.commit_links, top)
-        else:
-            rows = stage(fnd.of_groups(self.keys, top), "first-rows")
-            tickets = stage(links.group_tickets(rows), "first-tickets")
-            commits = links.group_commits(
-                rows, tickets, self.commits, self.policy.window_minutes, self._token_regex
-            )
-        return fnd.bullets(top, tickets, commits)
+        """Of the first ``n`` groups; everything is worked out for those groups only."""
+        first = stage(fnd.first_keys(self.keys, n), "first-groups")
+        rows = stage(fnd.of_groups(self.keys, first), "first-rows")
+        top = stage(fnd.groups(fnd.group_stats(rows)), "first-stats")
+        tickets = stage(links.group_tickets(rows), "first-tickets")
+        return fnd.bullets(top, tickets, self._commit_counts(rows, tickets))
 
     @cached_property
     def _report(self) -> DataFrame:
         return report.group_report(
-            self.groups, self.group_tickets, self.commit_links, self.atom_links
+            self.groups, self.group_tickets, self.commit_counts, self.atom_links
         )
 
     def _preview(self, rows: int = PREVIEW_ROWS) -> DataFrame:
-        return report.raw_preview(self.keyed, self.groups, rows)
+        return report.raw_preview(self.keys, self.logs, rows)
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -136,6 +148,12 @@ class Findings:
         return getattr(self, name)
 
 
+def staged_rows(keyed: DataFrame) -> DataFrame:
+    """Whole keyed rows, written once; a filter on the key reads one of two folders."""
+    has_key = F.col("group_key").isNotNull()
+    return stage(keyed.withColumn(MATCHED, has_key), "keyed-rows", (MATCHED,))
+
+
 def correlate(
     logs: DataFrame,
     commits: DataFrame,
@@ -143,17 +161,24 @@ def correlate(
     atoms: DataFrame | None = None,
     services: DataFrame | None = None,
     staged: bool = False,
+    whole: bool = False,
+    extra_formats: tuple[str, ...] = (),
 ) -> Findings:
     """Group rows by explicit keys and link the groups.
 
     With ``staged`` the keys of all rows, without the rows themselves, are written
-    once to the shared folder; use it when several of the tables will be computed.
+    once to the shared folder; use it when several of the tables will be computed. With
+    ``whole`` the rows are written with their keys, and nothing reads ``logs`` again.
+    ``extra_formats`` are the time formats the rows were read with.
     """
     spark = prepare(logs.sparkSession)
-    keyed = row_keys(logs, policy, services)
+    keyed = row_keys(logs, policy, services, extra_formats)
+    if whole:
+        keyed = staged_rows(keyed)
+        logs = keyed.select(*_ROW)
     keys = keyed.select(*_KEYS)
-    if staged:
+    if staged and not whole:
         keys = stage(keys, "keys")
     if atoms is None:
         atoms = spark.createDataFrame([], ATOMS)
-    return Findings(keyed, keys, commits, atoms, policy)
+    return Findings(logs, keyed, keys, commits, atoms, policy, staged or whole)

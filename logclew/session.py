@@ -20,6 +20,7 @@ _SQL_CONF = {
 
 
 _OWN_DIR = "logclew.stage.dir"
+_STAGED = "_logclew_staged"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,17 +57,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several outputs need the same intermediate result: the columnar
     copy survives lost executors and later readers only scan the columns they use.
     Its size is known from the files, so a join broadcasts it only when it is
-    under ``spark.sql.autoBroadcastJoinThreshold``.
+    under ``spark.sql.autoBroadcastJoinThreshold``. Rows that differ in ``folders``, columns of
+    few values, lie in different folders, so a filter on them skips the others.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.__dict__[_STAGED] = path
+    return staged
+
+
+def is_staged(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that ``stage`` gave back, as it gave it."""
+    return _STAGED in df.__dict__
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:

@@ -1,15 +1,19 @@
 import random
 
 import pytest
+from log_rows import at
 from pyspark.sql import functions as F
 
+from logclew.functions.ranks import running_sums
 from logclew.functions.skew import skew_join
 from logclew.operators import links
-from logclew.operators.findings import NO_KEY_WARNING
+from logclew.operators.findings import NO_KEY_WARNING, first_keys
 from logclew.operators.keys import row_keys
+from logclew.operators.normalize import rowset_meta
 from logclew.plans.correlate import correlate
 from logclew.schema import JoinPolicy
 from logclew.session import stage
+from logclew.sources import read_logs
 
 
 def keyed(logs, policy=JoinPolicy(), services=None):
@@ -251,13 +255,109 @@ def test_links_match_brute_force(random_case):
     assert found.atom_links.count() == len(want_atoms)
 
 
+@pytest.mark.parametrize("window", [0, 1, 7, 300])
+def test_commit_counts_equal_the_links(random_case, make_commits, window):
+    _, commits, _, logs, _, _ = random_case
+    # Undated commits are linked by tickets only; several commits of one instant count each.
+    times = [*commits, *[("1970-01-01T00:00:00Z", t) for _, t in commits[:9]], *commits[:20]]
+    policy = JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=window)
+    found = correlate(logs, make_commits(*times), policy, staged=True)
+    want = {r["group_key"]: r["count"] for r in found.commit_links.groupBy("group_key").count().collect()}
+    assert want and {r["group_key"]: r["commit_count"] for r in found.commit_counts.collect()} == want
+
+
+def test_counting_commits_writes_no_links(random_case, spark):
+    _, _, _, logs, commits, atoms = random_case
+    found = correlate(logs, commits, POLICY, atoms, staged=True)
+    rows = {r["group_key"]: r["commit_count"] for r in found._report.collect()}
+    assert sum(rows.values()) == found.commit_links.count()
+    fresh = correlate(logs, commits, POLICY, atoms, staged=True)
+    assert fresh._report.count() and "commit_links" not in fresh.__dict__
+
+
+def test_running_sums_with_a_hot_value(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id % 50) AS at", "id % 4 AS n").repartition(5)
+    summed = running_sums(rows, ["at"], "n", "upto").collect()
+    assert {"at", "n", "upto"} == set(summed[0].asDict())
+    total = 0
+    for r in sorted(summed, key=lambda r: (r["at"], r["upto"])):
+        total += r["n"]
+        # Within equal values any order is right; a row of 0 may stand before or after others.
+        assert r["upto"] <= total or r["n"] == 0
+    by_value = {}
+    for r in summed:
+        by_value.setdefault(r["at"], []).append(r)
+    before = 0
+    for value in sorted(by_value):
+        before += sum(r["n"] for r in by_value[value])
+        assert max(r["upto"] for r in by_value[value]) == before
+
+
+@pytest.mark.parametrize("n", [1, 10, 50, 5000])
+def test_first_keys(spark, n):
+    rnd = random.Random(n)
+    rows = [(i, None if rnd.random() < 0.2 else f"g{int(rnd.expovariate(0.01))}") for i in range(4000)]
+    order = list(dict.fromkeys(k for _, k in rows if k))
+    first = {k: i for i, k in reversed(rows)}
+    keys = spark.createDataFrame(rows, "row_ord long, group_key string").repartition(7)
+    got = first_keys(keys, n).orderBy("first_ord").collect()
+    assert [(r["group_key"], r["first_ord"]) for r in got] == [(k, first[k]) for k in order[:n]]
+
+
+def contained(spark, texts, keys):
+    table = spark.createDataFrame(list(enumerate(texts)), "text_ord long, text string").repartition(3)
+    found = links.texts_containing(
+        stage(table, "texts"), stage(spark.createDataFrame([(k,) for k in keys], "key string"), "keys")
+    )
+    rows = [(r["key"], r["text_ord"]) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_text_search_equals_brute_force(spark):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("ab-é😀1") for _ in range(n))
+    texts = [word(rnd.choice([0, 1, 5, 63, 64, 65, 70, 200, 500])) for _ in range(120)] + [None]
+    keys = {word(rnd.choice([1, 2, 3, 5, 6, 7, 12, 80, 150])) for _ in range(300)}
+    for t in texts[:-1]:
+        if len(t) > 40:
+            a = rnd.randrange(len(t) - 30)
+            keys.add(t[a : a + rnd.randint(1, min(140, len(t) - a))])
+    want = {(k, i) for i, t in enumerate(texts) if t for k in keys if k in t}
+    assert len(want) > 500 and contained(spark, texts, keys) == want
+
+
+def test_ten_thousand_keys_of_thirty_lengths(spark):
+    rnd = random.Random(5)
+    keys = {f"K{rnd.randrange(10**6)}" + "x" * rnd.randrange(30) for _ in range(10_000)}
+    named = rnd.sample(sorted(keys), 400)
+    texts = [f"about {a}, {b} and K{rnd.randrange(10**6)}" for a, b in zip(named[::2], named[1::2])]
+    want = {(k, i) for i, t in enumerate(texts) for k in keys if k in t}
+    assert contained(spark, texts, keys) == want
+
+
+def test_no_keys_or_no_texts(spark):
+    assert contained(spark, ["a"], []) == set() and contained(spark, [], ["a"]) == set()
+
+
+def test_times_in_own_formats_are_known(spark, tmp_path, make_commits):
+    path = tmp_path / "own.csv"
+    path.write_text("timestamp,operation_Id\n01.01.1970 00:00,a\n22.05.2026 10:00,b\nnever,c\n")
+    own = ("dd.MM.yyyy HH:mm",)
+    logs = read_logs(spark, "csv", str(path), extra_formats=own)
+    assert rowset_meta(logs, "csv", own).first()["unreadable_times"] == 1
+    found = correlate(logs, make_commits(("1970-01-01T00:05:00Z", "x")), JoinPolicy(), extra_formats=own)
+    assert rowset_meta(found.keys, "csv").first()["unreadable_times"] == 1
+    assert linked(found.group_commits, "group_key") == {("op:a",)}
+
+
 def test_staged_run_gives_the_same(random_case):
     _, _, _, logs, commits, atoms = random_case
     plain, staged = (correlate(logs, commits, POLICY, atoms, staged=s) for s in (False, True))
-    assert staged.group_commits and staged.group_atoms
-    for name in ("groups", "bullets", "summary", "evidence", "unmatched", "group_commits", "_report"):
-        a, b = (sorted(map(str, getattr(f, name).collect())) for f in (plain, staged))
-        assert a == b, name
+    whole = correlate(logs, commits, POLICY, atoms, whole=True)
+    for name in ("groups", "bullets", "summary", "evidence", "unmatched", "group_rows", "group_commits", "_report"):
+        a, b, c = (sorted(map(str, getattr(f, name).collect())) for f in (plain, staged, whole))
+        assert a == b == c, name
 
 
 def test_no_join_is_a_cross_product(random_case):

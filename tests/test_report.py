@@ -45,10 +45,10 @@ def test_raw_preview_order_and_escape(make_logs, make_commits):
         ]
     )
     found = correlate(logs, make_commits(), JoinPolicy())
-    shown = escape_cells(raw_preview(found.keyed, found.groups)).collect()
+    shown = escape_cells(raw_preview(found.keys, found.logs)).collect()
     assert [r["message"] for r in shown] == ["b1", "b2", "a1", "left \\| right", "\\|" * 150]
-    assert [r["message"] for r in raw_preview(found.keyed, found.groups, 2).collect()] == ["b1", "b2"]
-    assert [r["message"] for r in raw_preview(found.keyed, found.groups, 3).collect()] == ["b1", "b2", "a1"]
+    assert [r["message"] for r in raw_preview(found.keys, found.logs, 2).collect()] == ["b1", "b2"]
+    assert [r["message"] for r in raw_preview(found.keys, found.logs, 3).collect()] == ["b1", "b2", "a1"]
 
 
 def test_group_report(make_logs, make_commits, make_atoms):
