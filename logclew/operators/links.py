@@ -2,8 +2,8 @@
 
 Every operator here works on distinct (group, key) pairs, never on log rows, and
 joins by equality only: a text search or a time window is first rewritten so
-that it has an equality key. The side that may turn out small is staged before
-the join, so whether it is broadcast depends on its true size.
+that it has an equality key. A side that was aggregated by the key it is joined by is
+staged before, so that a hot key of the other can be split (see ``skew_join``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logclew.functions.ranks import running_sums
 from logclew.functions.skew import skew_join
 from logclew.functions.timestamps import epoch
 from logclew.operators.keys import ticket_mentions
@@ -25,6 +24,8 @@ _GRAM = 6
 _CHUNK = 64
 # Which grams occur in keys is told by one bit each in so many words of 64 bits.
 _WORDS = 65_536
+# Running counts over time are made in stretches of so many milliseconds.
+_STRETCH_MILLIS = 600_000
 
 
 def group_tickets(keyed: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def group_match_keys(keyed: DataFrame) -> DataFrame:
 def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct ``key, text_ord`` where ``text`` contains ``key``.
 
-    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct non-empty ``(key)``, both staged. The texts
+    ``texts`` is ``(text_ord, text)`` and ``keys`` distinct non-empty ``(key)``, staged. The texts
     are indexed by their grams, short pieces with their positions; of the grams only those go on that
     some key has too. A key is then looked up by the rarest of its grams, at all places of that one, and
     the rest of it is compared where it would have to stand. A key with a gram that no text has is
@@ -62,21 +63,17 @@ def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """
     size = F.least(F.length("key"), F.lit(_GRAM))
     sizes = keys.agg(F.sort_array(F.collect_set(size))).scalar()  # at most _GRAM numbers
-    of_keys = stage(
+    offsets = F.explode(F.sequence(F.lit(0), F.length("key") - F.col("size")))
+    of_keys = (
         keys.select("key", size.alias("size"))
-        .select(
-            "key",
-            "size",
-            F.explode(F.sequence(F.lit(0), F.length("key") - F.col("size"))).alias("offset"),
-        )
-        .select("key", "offset", F.substring(F.col("key"), F.col("offset") + 1, F.col("size")).alias("gram")),
-        "key-grams",
+        .select("key", "size", offsets.alias("offset"))
+        .select("key", "offset", F.substring(F.col("key"), F.col("offset") + 1, F.col("size")).alias("gram"))
     )
-    chunks = stage(_chunks(spread(texts, "text_ord")), "text-chunks")
+    chunks = _chunks(spread(texts, "text_ord"))
     places = stage(_places(chunks, sizes, of_keys), "text-grams")
     counts = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
-        skew_join(of_keys, stage(counts, "gram-counts"), "gram", "left")
+        of_keys.join(stage(counts, "gram-counts"), "gram", "left")
         .groupBy("key")
         .agg(
             F.count_if(F.col("n").isNull()).alias("missing"),
@@ -86,7 +83,7 @@ def texts_containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
         .select("key", "first.offset", "first.gram")
     )
     candidates = (
-        skew_join(places, stage(rarest, "rarest-grams"), "gram")
+        places.join(rarest, "gram")
         .select("key", "text_ord", (F.col("at") - F.col("offset")).alias("at"))
         .where(F.col("at") >= 0)
     )
@@ -149,7 +146,7 @@ def _verified(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     same = F.substring(F.col("chunk"), F.col("from"), F.col("length")) == F.col("part")
     return (
-        skew_join(whole, chunks, ["text_ord", "nth"], "left", "verify")
+        whole.join(chunks, ["text_ord", "nth"], "left")
         .groupBy("key", "text_ord", "at")
         .agg(F.min(F.coalesce(same, F.lit(False))).alias("same"))
         .where("same")
@@ -161,21 +158,22 @@ def _verified(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
 def ticket_commits(
     tickets: DataFrame, commits: DataFrame, token_regex: str | None = None
 ) -> DataFrame:
-    """``key, commit_ord`` where the commit subject contains the ticket.
+    """Distinct ``ticket, commit_ord`` where the commit subject contains the ticket.
 
     With ``token_regex`` a subject names the tickets that the pattern finds in it, and no
     text is searched: an equality join of two narrow tables.
     """
     if token_regex:
         named = commits.select(
-            F.explode(ticket_mentions(F.col("subject"), token_regex)).alias("key"), "commit_ord"
+            F.explode(ticket_mentions(F.col("subject"), token_regex)).alias("ticket"), "commit_ord"
         )
-        known = tickets.select(F.col("ticket").alias("key")).distinct()
-        return stage(skew_join(named, known, "key", "left_semi", "tokens"), "ticket-commits")
+        known = stage(tickets.select("ticket").distinct(), "ticket-keys")
+        return named.join(known, "ticket", "left_semi")
     texts = commits.select(F.col("commit_ord").alias("text_ord"), F.col("subject").alias("text"))
     keys = stage(tickets.select(F.col("ticket").alias("key")).distinct(), "ticket-keys")
-    found = texts_containing(stage(texts, "commit-subjects"), keys)
-    return stage(found.withColumnRenamed("text_ord", "commit_ord"), "ticket-commits")
+    return texts_containing(texts, keys).select(
+        F.col("key").alias("ticket"), F.col("text_ord").alias("commit_ord")
+    )
 
 
 def proximity_commits(keyed: DataFrame, commits: DataFrame, window_minutes: int) -> DataFrame:
@@ -230,19 +228,40 @@ def _merged_spans(keyed: DataFrame, window: int) -> DataFrame:
     """
     order = Window.partitionBy("group_key").orderBy("since")
     before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(F.col("since") <= before, 0).otherwise(1)
+    since, until = F.col("earliest") - window, F.col("latest") + window
     return (
         _spans(keyed, window)
-        .select(
-            "group_key",
-            (F.col("earliest") - window).alias("since"),
-            (F.col("latest") + window).alias("until"),
-        )
-        .withColumn("starts", starts)
+        .select("group_key", since.alias("since"), until.alias("until"))
+        .withColumn("starts", F.when(F.col("since") <= before, 0).otherwise(1))
         .withColumn("span", F.sum("starts").over(order))
         .groupBy("group_key", "span")
         .agg(F.min("since").alias("since"), F.max("until").alias("until"))
-        .select("group_key", "since", "until")
+        .drop("span")
+    )
+
+
+def _ranks(times: DataFrame, instants: DataFrame) -> DataFrame:
+    """``at, upto, before``: of each of ``instants``, how many of ``times`` are not after it, and before it.
+
+    Counted by instant first, so that one in which much happens is one row; then summed up within
+    stretches, which have a bounded number of instants, and over the stretches, one row each.
+    """
+    both = times.select("at", F.lit(1).alias("n")).unionByName(instants.select("at", F.lit(0).alias("n")))
+    counted = stage(both.groupBy("at").agg(F.sum("n").alias("n")), "instants")
+    stretch = F.floor(F.col("at") / _STRETCH_MILLIS).alias("stretch")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        counted.groupBy(stretch)
+        .agg(F.sum("n").alias("n"))
+        .select("stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    )
+    within = F.sum("n").over(Window.partitionBy("stretch").orderBy("at"))
+    upto = F.col("offset") + F.col("within")
+    return (
+        counted.select(stretch, "at", "n")
+        .withColumn("within", within)
+        .join(offsets, "stretch")
+        .select("at", upto.alias("upto"), (upto - F.col("n")).alias("before"))
     )
 
 
@@ -256,53 +275,35 @@ def commit_counts(
     """``group_key, commit_count``: how many commits ``group_commits`` would list.
 
     Commits near a group are counted without listing them: in the order of time, the commits up to the end of a span
-    less those before it. To these come the commits of its tickets that lie in no span of it.
+    less those before it. To these come the commits of its tickets that are near none of its rows.
     ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
     """
     dated = F.when(F.col("authored_at") != epoch(), F.unix_millis("authored_at"))
-    linked = ticket_commits(tickets, commits, token_regex)
-    when = stage(commits.select("commit_ord", dated.alias("at")), "commit-times")
-    linked = stage(linked.join(when, "commit_ord"), "linked-commits")
-    mentions = stage(tickets.select("group_key", F.col("ticket").alias("key")), "group-keys")
-    pairs = skew_join(mentions, linked, "key").select("group_key", "commit_ord", "at").distinct()
+    when = commits.select("commit_ord", dated.alias("at"))
+    linked = stage(ticket_commits(tickets, commits, token_regex).join(when, "commit_ord"), "ticket-commits")
+    pairs = tickets.join(linked, "ticket").select("group_key", "commit_ord", "at").distinct()
+    count = F.count(F.lit(1)).alias("commit_count")
     if window_minutes == 0:
-        return pairs.groupBy("group_key").agg(F.count(F.lit(1)).alias("commit_count"))
-    spans = stage(_merged_spans(keyed, window_minutes * 60_000), "spans")
-    # Before, at and after the commits of the same instant.
-    edges = spans.select(
-        "group_key",
-        F.inline(
-            F.array(
-                F.struct(F.col("since").alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
-                F.struct(F.col("until").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign")),
-            )
-        ),
-    )
-    no_group = F.lit(None).cast("string").alias("group_key")
-    times = when.where(F.col("at").isNotNull()).select(
-        no_group, "at", F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(1).alias("one")
-    )
-    ranked = running_sums(
-        edges.withColumn("one", F.lit(0)).unionByName(times), ["at", "turn"], "one", "rank"
-    )
-    near = ranked.where(F.col("sign") != 0).select("group_key", (F.col("sign") * F.col("rank")).alias("n"))
-    # Only groups of an operation id have spans.
+        return pairs.groupBy("group_key").agg(count)
+    window = window_minutes * 60_000
+    spans = stage(_merged_spans(keyed, window), "spans")
+    edge = lambda at, first: F.struct(F.col(at).alias("at"), F.lit(first).alias("first"))
+    edges = spans.select("group_key", F.inline(F.array(edge("since", True), edge("until", False))))
+    ranks = _ranks(when.where(F.col("at").isNotNull()), edges)
+    rank = F.when(F.col("first"), -F.col("before")).otherwise(F.col("upto"))
+    near = edges.join(ranks, "at").groupBy("group_key").agg(F.sum(rank).alias("commit_count"))
+    # Only groups of an operation id have spans. A span is cut into the buckets it reaches, so that
+    # the commits of a group are compared with the few of its spans that are in their bucket.
     has_spans = F.col("group_key").startswith("op:")
-    outside = pairs.where(~has_spans).select("group_key", F.lit(1).alias("n"))
-    opened = running_sums(
-        edges.select("group_key", "at", "turn", (-F.col("sign")).alias("opens")).unionByName(
-            pairs.where(has_spans).select(
-                "group_key", "at", F.lit(1).alias("turn"), F.lit(0).alias("opens")
-            )
-        ),
-        ["group_key", "at", "turn"],
-        "opens",
-        "open",
-    )
-    between = opened.where((F.col("turn") == 1) & (F.col("open") == 0))
-    every = near.unionByName(outside).unionByName(between.select("group_key", F.lit(1).alias("n")))
-    counts = every.groupBy("group_key").agg(F.sum("n").alias("commit_count"))
-    return counts.where(F.col("commit_count") > 0)
+    bucket = lambda at: F.floor(F.col(at) / window)
+    reached = spans.select("*", F.explode(F.sequence(bucket("since"), bucket("until"))).alias("bucket")).alias("s")
+    linked_to_op = pairs.where(has_spans).withColumn("bucket", bucket("at")).alias("p")
+    same_bucket = (F.col("p.group_key") == F.col("s.group_key")) & (F.col("p.bucket") == F.col("s.bucket"))
+    within = F.col("p.at").between(F.col("s.since"), F.col("s.until"))
+    apart = linked_to_op.join(reached, same_bucket & within, "left_anti")
+    every = [near] + [some.groupBy("group_key").agg(count) for some in (pairs.where(~has_spans), apart)]
+    counts = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("group_key")
+    return counts.agg(F.sum("commit_count").alias("commit_count")).where(F.col("commit_count") > 0)
 
 
 def group_commits(
@@ -316,9 +317,8 @@ def group_commits(
 
     ``tickets`` are the ``group_tickets`` of ``keyed``; pass them staged.
     """
-    mentions = tickets.select("group_key", F.col("ticket").alias("key"))
-    linked = ticket_commits(tickets, commits, token_regex)
-    by_ticket = skew_join(mentions, linked, "key").select("group_key", "commit_ord")
+    linked = stage(ticket_commits(tickets, commits, token_regex), "ticket-commits")
+    by_ticket = tickets.join(linked, "ticket").select("group_key", "commit_ord")
     if window_minutes == 0:
         return by_ticket.distinct()
     near = proximity_commits(keyed, commits, window_minutes)
@@ -329,8 +329,7 @@ def atom_keys(keys: DataFrame, atoms: DataFrame) -> DataFrame:
     """Distinct ``key, atom_ord``: a tag equals the key or the message contains it."""
     tagged = atoms.select(F.explode("tags").alias("key"), "atom_ord")
     texts = atoms.select(F.col("atom_ord").alias("text_ord"), F.col("message").alias("text"))
-    found = texts_containing(stage(texts, "atom-messages"), keys)
-    mentioned = found.withColumnRenamed("text_ord", "atom_ord")
+    mentioned = texts_containing(texts, keys).withColumnRenamed("text_ord", "atom_ord")
     return tagged.unionByName(mentioned).distinct()
 
 
@@ -341,4 +340,4 @@ def group_atoms(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     """
     keys = stage(pairs.select("key").distinct(), "match-keys")
     links = stage(atom_keys(keys, atoms), "atom-keys")
-    return skew_join(pairs, links, "key").select("group_key", "atom_ord").distinct()
+    return pairs.join(links, "key").select("group_key", "atom_ord").distinct()

@@ -110,8 +110,12 @@ class Findings:
 
     @cached_property
     def atom_links(self) -> DataFrame:
+        return stage(self._atom_links, "group-atoms")
+
+    @cached_property
+    def _atom_links(self) -> DataFrame:
         pairs = stage(links.group_match_keys(self.keys), "group-keys")
-        return stage(links.group_atoms(pairs, self.atoms), "group-atoms")
+        return links.group_atoms(pairs, self.atoms)
 
     @cached_property
     def group_commits(self) -> DataFrame:
@@ -127,16 +131,15 @@ class Findings:
 
     def first_bullets(self, n: int) -> DataFrame:
         """Of the first ``n`` groups; everything is worked out for those groups only."""
-        first = stage(fnd.first_keys(self.keys, n), "first-groups")
-        rows = stage(fnd.of_groups(self.keys, first), "first-rows")
-        top = stage(fnd.groups(fnd.group_stats(rows)), "first-stats")
+        rows = stage(fnd.of_groups(self.keys, fnd.first_keys(self.keys, n)), "first-rows")
+        top = fnd.groups(fnd.group_stats(rows))
         tickets = stage(links.group_tickets(rows), "first-tickets")
         return fnd.bullets(top, tickets, self._commit_counts(rows, tickets))
 
     @cached_property
     def _report(self) -> DataFrame:
         return report.group_report(
-            self.groups, self.group_tickets, self.commit_counts, self.atom_links
+            self.groups, self.group_tickets, self.commit_counts, self._atom_links
         )
 
     def _preview(self, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -4,7 +4,6 @@ import pytest
 from log_rows import at
 from pyspark.sql import functions as F
 
-from logclew.functions.ranks import running_sums
 from logclew.functions.skew import skew_join
 from logclew.operators import links
 from logclew.operators.findings import NO_KEY_WARNING, first_keys
@@ -275,24 +274,6 @@ def test_counting_commits_writes_no_links(random_case, spark):
     assert fresh._report.count() and "commit_links" not in fresh.__dict__
 
 
-def test_running_sums_with_a_hot_value(spark):
-    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id % 50) AS at", "id % 4 AS n").repartition(5)
-    summed = running_sums(rows, ["at"], "n", "upto").collect()
-    assert {"at", "n", "upto"} == set(summed[0].asDict())
-    total = 0
-    for r in sorted(summed, key=lambda r: (r["at"], r["upto"])):
-        total += r["n"]
-        # Within equal values any order is right; a row of 0 may stand before or after others.
-        assert r["upto"] <= total or r["n"] == 0
-    by_value = {}
-    for r in summed:
-        by_value.setdefault(r["at"], []).append(r)
-    before = 0
-    for value in sorted(by_value):
-        before += sum(r["n"] for r in by_value[value])
-        assert max(r["upto"] for r in by_value[value]) == before
-
-
 @pytest.mark.parametrize("n", [1, 10, 50, 5000])
 def test_first_keys(spark, n):
     rnd = random.Random(n)

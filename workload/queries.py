@@ -256,7 +256,8 @@ def group_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticket_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tickets = _findings(spark, sf_dir).group_tickets
-    return links.ticket_commits(tickets, views.commits(spark, sf_dir))
+    found = links.ticket_commits(tickets, views.commits(spark, sf_dir))
+    return found.withColumnRenamed("ticket", "key")
 
 
 def proximity_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +282,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).bullets
+    return _findings(spark, sf_dir, staged=True).bullets
 
 
 def findings_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +349,7 @@ def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = _reports(spark, sf_dir).table("raw_preview")
+    shown = _reports(spark, sf_dir, staged=True).table("raw_preview")
     return _plain(
         shown.select("row_ord", "timestamp", "level", "message", "source", "total_rows")
     )
