@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ _SQL_CONF = {
 
 
 _OWN_DIR = "logclew.stage.dir"
+_RUN_DIR = "logclew.run.dir"
 _STAGED = "_logclew_staged"
 
 
@@ -35,24 +37,71 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder visible to every executor: the session's checkpoint folder.
+    """Folder visible to every executor: that of the run (``run_folder``), or the session's checkpoint folder.
 
     Where none is set, as in a small test, and the driver and the executors are one process
-    (``local``, ``local[n]``; not ``local-cluster``), one temporary folder is made for
-    the session.
+    (``local``, ``local[n]``; not ``local-cluster``), a folder in the session's warehouse
+    is used, and removed when the session ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get(_RUN_DIR, None) or spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     configured = configured or spark.conf.get(_OWN_DIR, None)
     if configured:
         return configured.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="logclew-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own = f"{warehouse}/logclew-{uuid.uuid4().hex}"
+    files, path = _files(spark, own)
+    files.deleteOnExit(path)
     spark.conf.set(_OWN_DIR, own)
     return own
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it is there."""
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder to a name that is still free."""
+    files, where = _files(spark, path)
+    target = _files(spark, to)[1]
+    if files.exists(target) or not files.rename(where, target):
+        raise FileExistsError(to)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Everything staged within goes to a folder of its own, which is removed at the end.
+
+    Tables that are to be used afterwards must be written elsewhere before (a bundle is).
+    """
+    before = spark.conf.get(_RUN_DIR, None)
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    spark.conf.set(_RUN_DIR, folder)
+    try:
+        yield folder
+    finally:
+        if before is None:
+            spark.conf.unset(_RUN_DIR)
+        else:
+            spark.conf.set(_RUN_DIR, before)
+        remove(spark, folder)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

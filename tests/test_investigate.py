@@ -1,13 +1,23 @@
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from logclew.plans.bundle import groups_as_json, redact_findings, timestamp_slug, write_bundle
+from logclew.plans.bundle import (
+    REPORTS,
+    groups_as_json,
+    read_manifest,
+    redact_findings,
+    row_digest,
+    timestamp_slug,
+    write_bundle,
+)
 from logclew.plans.correlate import TABLES, correlate
 from logclew.plans.investigate import investigate
 from logclew.schema import JoinPolicy, RedactionRule
+from logclew.session import run_folder, shared_dir
 
 SCENARIO_1 = """timestamp,message,operation_Id,cloud_RoleName,severityLevel
 2026-05-21T07:11:00Z,StaleCursorError since SHIP-7 rollout,cart-9,Basket,3
@@ -168,3 +178,64 @@ def test_bundle_takes_redacted_findings_only(make_logs, make_commits, tmp_path):
     assert redacted.table("groups").first()["group_id"] != other.table("groups").first()["group_id"]
     ids = {redacted.table(n).first()["group_id"] for n in ("groups", "group_rows", "evidence")}
     assert len(ids) == 1
+
+
+def one_export(tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text(
+        "timestamp,message,operation_Id\n"
+        + "".join(f'2026-05-22T0{i % 10}:00:00Z,"T-{i % 5}\nby kim@mail.test",{"op" * (i % 2)}\n' for i in range(60))
+    )
+    return str(path)
+
+
+def test_export_to_bundle_with_manifest(spark, tmp_path, make_commits):
+    commits = make_commits(("2026-05-22T00:01:00Z", "T-1"), ("2026-05-21T00:00:00Z", "T-3 and T-13"))
+    as_of = F.lit("2026-06-01").cast("timestamp")
+    with run_folder(spark) as staged:
+        run = investigate(spark, one_export(tmp_path), commits, JoinPolicy(r"T-\d+"), as_of, "csv", out_dir=str(tmp_path / "out"))
+        assert any((Path(staged.removeprefix("file:"))).iterdir())
+    # What was staged is gone, and the bundle is whole without it.
+    assert not Path(staged.removeprefix("file:")).exists()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == [Path(run.folder).name]
+    listed = {(r["table_name"], r["format"]): r for r in read_manifest(spark, run.folder).collect()}
+    assert {n for n, _ in listed} == {*TABLES, *REPORTS, "column_types", "rowset_meta"}
+    for (name, form), row in listed.items():
+        schema = spark.read.parquet(f"{run.folder}/parquet/{name}").schema
+        table = spark.read.schema(schema).format(form).load(f"{run.folder}/{form}/{name}")
+        assert table.count() == row["rows"] and table.agg(row_digest(table)).first()[0] == row["digest"], name
+        assert row["digest"] == listed[name, "parquet"]["digest"]
+    assert listed["rowset_meta", "json"]["rows"] == 1 and listed["bullets", "json"]["rows"] == 6
+
+
+def test_a_failing_run_leaves_no_bundle(spark, tmp_path, make_logs, make_commits):
+    logs = make_logs([{"message": "T-1"}])
+    found = redact_findings(correlate(logs, make_commits(), JoinPolicy(r"T-\d")))
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("name"))
+    with pytest.raises(Exception, match="broken"):
+        write_bundle(found, str(tmp_path), facts={"column_types": broken})
+    assert list(tmp_path.iterdir()) == []
+    at_once = datetime(2026, 5, 22, tzinfo=timezone.utc)
+    folder = write_bundle(found, str(tmp_path), ("json",), at_once)
+    with pytest.raises(FileExistsError):
+        write_bundle(found, str(tmp_path), ("json",), at_once)
+    assert [str(p) for p in tmp_path.iterdir()] == [folder]
+
+
+def test_an_export_is_read_once(spark, tmp_path, make_commits):
+    as_of = F.lit("2026-06-01").cast("timestamp")
+    path = one_export(tmp_path)
+    run = investigate(spark, path, make_commits(), JoinPolicy(r"T-\d+"), as_of, "csv")
+    table = run.findings.table
+    frames = [run.log_meta, run.log_columns, table("groups"), table("group_rows"), table("unmatched"), table("evidence")]
+    for df in [*frames, table("raw_preview"), table("group_report"), table("bullets")]:
+        assert df.inputFiles() and not any(f.endswith("export.csv") for f in df.inputFiles())
+    plan = table("unmatched")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(has_key" in plan and "Exchange" not in plan
+
+
+def test_stage_folder_without_a_checkpoint_folder(spark):
+    plain = spark.newSession()
+    plain.conf.unset("spark.checkpoint.dir")
+    if plain.conf.get("spark.checkpoint.dir", None) is None:
+        assert shared_dir(plain).startswith(plain.conf.get("spark.sql.warehouse.dir"))

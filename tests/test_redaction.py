@@ -69,29 +69,29 @@ def test_hints_never_hide_a_match(spark):
 def test_json_leaves(spark):
     doc = {
         "ip": "10.0.0.5",
-        "bob@example.org": "ok",
+        "kim.sato@mail.test": "ok",
         "h": "Authorization: Bearer a.b",
-        "deep": [1, None, True, {"m": 'say "hi" to alice@example.com\\n'}],
+        "deep": [1, None, True, {"m": 'pass "it" on to noor@desk.test\\n'}],
         "n": 10.5,
     }
     df = spark.createDataFrame([(json.dumps(doc),)], "t string")
     out = json.loads(df.select(redact_json(F.col("t"))).first()[0])
     assert out == {
         "ip": "[REDACTED:ipv4]",
-        "bob@example.org": "ok",
+        "kim.sato@mail.test": "ok",
         "h": "Authorization: [REDACTED]",
-        "deep": [1, None, True, {"m": 'say "hi" to [REDACTED:email]\\n'}],
+        "deep": [1, None, True, {"m": 'pass "it" on to [REDACTED:email]\\n'}],
         "n": 10.5,
     }
 
 
 def test_json_with_escapes(spark):
-    df = spark.createDataFrame([('{"a":"bob\\u0040example.org"}',)], "t string")
+    df = spark.createDataFrame([('{"a":"kim.sato\\u0040mail.test"}',)], "t string")
     assert df.select(redact_json(F.col("t"))).first()[0] == '{"a":"[REDACTED:email]"}'
 
 
 def test_long_json_string(spark):
-    text = json.dumps({"a": "x\\" * 50_000 + " bob@example.org"})
+    text = json.dumps({"a": "x\\" * 50_000 + " kim.sato@mail.test"})
     df = spark.createDataFrame([(text,)], "t string")
     assert json.loads(df.select(redact_json(F.col("t"))).first()[0])["a"].endswith("[REDACTED:email]")
 
@@ -103,7 +103,7 @@ def test_rows_keep_time_level_source_and_keys(make_logs):
                 "timestamp": "2026-05-22T01:23:45Z",
                 "level": "a@example.com",
                 "source": "10.0.0.1",
-                "message": "from alice@example.com",
+                "message": "by way of noor@desk.test",
                 "raw": {
                     "nested": ('{"ip":"10.0.0.5","note":"ok"}', "object"),
                     "copy": "db-01.internal",

@@ -424,7 +424,8 @@ def test_tabular_in_splits_equals_plain_reading(in_splits, tmp_path):
             names = [rand.choice(["Message", "b", "c"]) for _ in range(rand.randint(1, 3))]
             rows = [[random_value(rand, 2) for _ in range(rand.randint(0, 4))] for _ in range(rand.choice([0, 1, 90]))]
             columns = [{"name": c, "type": "x]["} for c in names]
-            table = {"name": f"T[{t}", "columns": columns, "rows": rows, "odd": [[[1], [2]]]}
+            no_rows = [None, 5, "x"] if t % 2 else []
+            table = {"name": f"T[{t}", "columns": columns, "rows": [*no_rows, *rows, *no_rows], "odd": [[[1], [2]]]}
             keys = list(table)
             rand.shuffle(keys)
             tables.append({k: table[k] for k in keys})

@@ -6,12 +6,19 @@ check the rewritten equality joins of the Spark side.
 
 from __future__ import annotations
 
-from logclew.functions.redaction import DEFAULT_RULES
-from logclew.operators.findings import NO_KEY_WARNING
-from logclew.operators.query_facts import APP_TABLES, EMPTY_TEXT, LOG_TABLES
 from workload import views
 from workload.queries import BUNDLE_TEXT, HOURS, LINK_BASE, RUN_SECRET
 
+# Stated here on their own, so that a wrong table, rule or message of the library shows.
+_TABLES = (
+    "requests traces dependencies exceptions customEvents customMetrics pageViews browserTimings "
+    "availabilityResults performanceCounters AzureDiagnostics AzureActivity AzureMetrics ContainerLogs "
+    "ContainerLog ContainerLogV2 Heartbeat Syslog Event SecurityEvent Perf Update Operation AppExceptions "
+    "AppRequests AppTraces AppDependencies AppEvents AppPageViews AppPerformanceCounters AppMetrics"
+).split()
+_BLANK_ERROR = "empty query text"
+_NO_KEYS = "no explicit join keys matched: operation id, ticket pattern and service allowlist"
+
 _FIELDS = ", ".join(f"{sql} AS f_{name}" for name, _, sql in views.LOG_FIELDS)
 _COMMITS = ", ".join(f"{sql} AS {name}" for name, sql in views.COMMIT_COLUMNS)
 _ATOMS = ", ".join(f"{sql} AS {name}" for name, sql in views.ATOM_COLUMNS)
@@ -89,7 +96,7 @@ _CTE = {
     "scrubbed": """SELECT query_id, text, split_part(u, '"', 1) || CASE WHEN contains(u, '"')
         THEN '""' || split_part(u, '"', 3) ELSE '' END AS s FROM uncommented""",
     "parsed": rf"""SELECT *, list_filter(regexp_extract_all(s, '\b[A-Za-z][A-Za-z0-9_]*\b'),
-            lambda t: list_contains({list(APP_TABLES + LOG_TABLES)}, t)
+            lambda t: list_contains({_TABLES}, t)
                       OR regexp_full_match(t, '[A-Za-z][A-Za-z0-9_]*_CL')) AS tables0,
         list_filter(list_transform(flatten(list_transform(list_filter(string_split(s, '|')[2:],
             lambda st: starts_with(lower(trim(st)), 'project ')),
@@ -149,13 +156,28 @@ _SPACE = r"[\s\x0b\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 _NO_SPACE = "[^" + _SPACE[1:]
 
 
-def _re2(pattern: str, flags: str = "") -> str:
-    pattern = pattern.replace(r"\s", _SPACE).replace(r"\S", _NO_SPACE)
-    return ("(?i)" if "i" in flags else "") + pattern
-
-
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|0?[0-9]?[0-9])"
+_HEX = "[0-9a-f]"
 _RULES = [
-    (_re2(r.pattern, r.flags), r.replacement.replace("$1", r"\1"), r.name) for r in DEFAULT_RULES
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED:email]", "email"),
+    (r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b", "[REDACTED:jwt]", "jwt"),
+    (
+        f"(?i)authorization:{_SPACE}*(?:bearer|basic|apikey){_SPACE}+{_NO_SPACE}+",
+        "Authorization: [REDACTED]",
+        "authorization-header",
+    ),
+    (
+        f"(?i)(token|secret|api_?key|session_?id|cookie|auth){_SPACE}*[=:]{_SPACE}*"
+        f"[\"']?{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}[\"']?",
+        r"\1=[REDACTED:guid]",
+        "guid-in-auth-context",
+    ),
+    (r"\b10(?:\.[0-9]{1,3}){3}\b", "[REDACTED:ipv4]", "ipv4-private-rfc1918-10"),
+    (r"\b192\.168(?:\.[0-9]{1,3}){2}\b", "[REDACTED:ipv4]", "ipv4-private-rfc1918-192-168"),
+    (r"\b172\.(?:1[6-9]|2\d|3[01])(?:\.[0-9]{1,3}){2}\b", "[REDACTED:ipv4]", "ipv4-private-rfc1918-172"),
+    (rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b", "[REDACTED:ipv4]", "ipv4-public"),
+    (rf"(?i)\b{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{7}}\b", "[REDACTED:ipv6]", "ipv6"),
+    (r"(?i)\b[a-z0-9-]+\.(?:internal|corp|local)\b", "[REDACTED:hostname]", "internal-hostname-suffix"),
 ]
 _EXTRA = [(r"(?i)\buser\d+\b", "[REDACTED:user]", "user-id"), (r"([A-Z]+)-\d+", r"\1-#", "ticket-id")]
 
@@ -244,7 +266,7 @@ _SUMMARY = """SELECT '[' || upper(severity) || '] ' || row_count || ' row(s) cor
                 WHEN bool_or(regexp_matches(level, '(?i)warn')) THEN 'warn' ELSE 'info' END AS severity,
         count(*) AS row_count, count(DISTINCT group_key) AS group_count,
         count(*) FILTER (WHERE group_key IS NULL) AS unmatched_count FROM keyed)""".format(
-    warning=NO_KEY_WARNING
+    warning=_NO_KEYS
 )
 
 _EVIDENCE = """SELECT group_key, row_ord, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z|' || source
@@ -341,6 +363,46 @@ def _listed(column: str) -> str:
 _PROPS = f"""'{{"k":' || row_ord || ',"by":"' || {_redacted("'user' || user_id || '@example.com'")}
     || '","ips":["' || {_redacted("'10.0.0.' || (user_id % 250)")} || '","ok"]}}'"""
 
+_LINKED_TO_RECENT = f"""SELECT t.group_key, c.commit_ord FROM group_tickets t
+    JOIN recent c ON contains(c.subject, t.ticket)
+    UNION SELECT k.group_key, c.commit_ord FROM keyed k JOIN recent c ON k.op_id IS NOT NULL
+    AND try_cast(k.f_timestamp AS TIMESTAMP) IS NOT NULL
+    AND abs(epoch_ms(c.authored_at) - epoch_ms(k.timestamp)) <= {views.WINDOW_MINUTES * 60_000}"""
+_INVESTIGATED = f"""SELECT {_redacted('label', _RULES + _EXTRA)} AS label, row_count, first_ord,
+    count(DISTINCT commit_ord) AS commit_count FROM groups g LEFT JOIN ({_LINKED_TO_RECENT}) l
+    ON l.group_key = g.group_key GROUP BY label, row_count, first_ord"""
+
+
+def _investigate_export() -> str:
+    """The group report and meta of a bundle made from a CSV export, and the rows of its tables."""
+    tables = {
+        "summary": "SELECT 1",
+        "bullets": "SELECT group_key FROM groups LIMIT 10",
+        "groups": "SELECT group_key FROM groups",
+        "group_rows": "SELECT row_ord FROM keyed WHERE group_key IS NOT NULL",
+        "unmatched": "SELECT row_ord FROM keyed WHERE group_key IS NULL",
+        "group_tickets": "SELECT ticket FROM group_tickets",
+        "group_commits": _LINKED_TO_RECENT,
+        "group_atoms": "SELECT atom_ord FROM group_atoms",
+        "evidence": _EVIDENCE,
+        "group_report": "SELECT group_key FROM groups",
+        "raw_preview": "SELECT row_ord FROM keyed LIMIT 50",
+        "linked_tickets": f"SELECT DISTINCT {_redacted('ticket', _RULES + _EXTRA)} FROM group_tickets",
+        "column_types": f"SELECT unnest(range({len(views.LOG_FIELDS) + 1}))",
+        "rowset_meta": "SELECT 1",
+    }
+    counts = " UNION ALL ".join(
+        f"SELECT 'manifest' AS part, '{name}' AS name, count(*) AS row_count, CAST(0 AS BIGINT) AS commit_count FROM ({sql})"
+        for name, sql in tables.items()
+    )
+    return _with(
+        ["groups", "group_tickets", "group_atoms", "recent"],
+        f"""SELECT 'group_report' AS part, label AS name, row_count, commit_count FROM ({_INVESTIGATED})
+        UNION ALL {counts} UNION ALL SELECT 'rowset_meta', 'csv', count(*),
+        count(*) FILTER (WHERE try_cast(f_timestamp AS TIMESTAMP) IS NULL) FROM fields""",
+    )
+
+
 ORACLES = {
     "normalize_logs": _with(["logs"], f"SELECT {_ROW} FROM logs"),
     "column_types": _column_types("SELECT * FROM fields"),
@@ -371,7 +433,7 @@ ORACLES = {
     "query_facts": _with(
         ["facts"],
         f"""SELECT query_id, {_listed('tables0')} AS tables, {_listed('projections0')} AS projections,
-        {_listed('tickets0')} AS tickets, CASE WHEN trim(text) = '' THEN '{EMPTY_TEXT}' END AS error
+        {_listed('tickets0')} AS tickets, CASE WHEN trim(text) = '' THEN '{_BLANK_ERROR}' END AS error
         FROM facts""",
     ),
     "query_time_range": _with(["facts"], "SELECT query_id, range_from, range_to FROM facts"),
@@ -443,13 +505,26 @@ ORACLES = {
         _PREVIEW,
     ),
     "bundle_roundtrip": _bundle_counts(),
-    "investigate": _with(
-        ["groups", "group_tickets", "recent"],
-        f"""SELECT {_redacted('label', _RULES + _EXTRA)} AS label, row_count, first_ord,
-        count(DISTINCT commit_ord) AS commit_count FROM groups g LEFT JOIN (
-            SELECT t.group_key, c.commit_ord FROM group_tickets t JOIN recent c ON contains(c.subject, t.ticket)
-            UNION SELECT k.group_key, c.commit_ord FROM keyed k JOIN recent c ON k.op_id IS NOT NULL
-            AND try_cast(k.f_timestamp AS TIMESTAMP) IS NOT NULL AND abs(epoch_ms(c.authored_at) - epoch_ms(k.timestamp)) <= {views.WINDOW_MINUTES * 60_000}
-        ) l ON l.group_key = g.group_key GROUP BY label, row_count, first_ord""",
+    "investigate": _with(["groups", "group_tickets", "recent"], _INVESTIGATED),
+    "investigate_export": _investigate_export(),
+    "query_validity": _with(
+        ["texts"],
+        f"""SELECT query_id, CASE WHEN query_id % 4 < 2 THEN '{_BLANK_ERROR}' END AS error,
+        CASE WHEN query_id % 4 < 2 THEN 0 ELSE 1 END AS has_facts FROM texts""",
+    ),
+    "no_key_warning": f"""SELECT CAST(0 AS BIGINT) AS group_count, count(*) AS unmatched_count,
+        CASE WHEN count(*) > 0 THEN '{_NO_KEYS}' END AS warning FROM events""",
+    "redact_bypass": _with(
+        ["groups", "group_commits"],
+        f"""SELECT 'groups' AS part, label AS text, count(*) AS n FROM groups GROUP BY ALL
+        UNION ALL SELECT 'unmatched', message, count(*) FROM keyed WHERE group_key IS NULL GROUP BY ALL
+        UNION ALL SELECT 'group_commits', subject, count(*) FROM ({_COMMIT_DETAILS}) GROUP BY ALL""",
+    ),
+    "token_commits": _with(
+        ["group_tickets", "commits"],
+        f"""SELECT DISTINCT t.ticket, c.commit_ord FROM group_tickets t JOIN commits c
+        ON list_contains(regexp_extract_all(c.subject, '{_REGEX}'), t.ticket)""",
     ),
+    "json_array_roundtrip": _json_export("number"),
+    "tabular_document_roundtrip": _json_export("number,null"),
 }

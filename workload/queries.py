@@ -14,13 +14,14 @@ from logclew.plans.bundle import (
     FORMATS,
     REPORTS,
     RedactedFindings,
+    read_manifest,
     redact_findings,
     write_bundle,
 )
 from logclew.plans.correlate import TABLES, Findings, correlate
 from logclew.plans.investigate import investigate
-from logclew.schema import RedactionRule
-from logclew.session import fresh_path, spread
+from logclew.schema import JoinPolicy, RedactionRule
+from logclew.session import fresh_path, run_folder, spread
 from logclew.sources import read_logs
 from logclew.sources.commits import (
     FIELD_SEPARATOR,
@@ -28,7 +29,7 @@ from logclew.sources.commits import (
     read_commit_log,
     recent_commits,
 )
-from logclew.sources.tables import read_atoms, time_bounded
+from logclew.sources.tables import logs_from_columns, read_atoms, time_bounded
 from workload import views
 
 EXTRA_RULES = (
@@ -139,6 +140,43 @@ def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(read_logs(spark, "json", path, per_line=True))
 
 
+def _as_one_file(rows: DataFrame, before: str, after: str, name: str) -> str:
+    """``order, text`` rows as the elements of one JSON document in one file."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, name)
+    texts = rows.select("order", F.concat(F.when(F.col("order") > F.lit(-1), ","), "text").alias("value"))
+    first = spark.range(1).select(F.lit(-2).cast("bigint").alias("order"), F.lit(before).alias("value"))
+    last = spark.range(1).select(F.lit((1 << 63) - 1).alias("order"), F.lit(after).alias("value"))
+    whole = first.unionByName(texts).unionByName(last).repartitionByRange(1, "order")
+    whole.sortWithinPartitions("order").select("value").write.text(path)
+    return path
+
+
+def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one array in one file, read in splits."""
+    fields = _json_fields(spark, sf_dir)
+    objects = fields.select(
+        F.col("event_id").alias("order"), F.to_json(F.struct(*fields.columns)).alias("text")
+    )
+    path = _as_one_file(objects, '["no object"', "]", "export-array")
+    return _read_back(read_logs(spark, "json", path))
+
+
+def tabular_document_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one table in one tabular document, read in splits."""
+    fields = _json_fields(spark, sf_dir)
+    cells = [F.to_json(F.array(c)) for c in fields.columns]
+    cells = [F.substring(c, F.lit(2), F.length(c) - 2) for c in cells]
+    rows = fields.select(
+        F.col("event_id").alias("order"),
+        F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("text"),
+    )
+    columns = ",".join(f'{{"name":"{c}","type":"string"}}' for c in fields.columns)
+    # The comma before the first row belongs to an element that is no row.
+    before = f'{{"tables":[{{"name":"PrimaryResult","columns":[{columns}],"rows":[null'
+    path = _as_one_file(rows, before, "]}]}", "export-document")
+    return _read_back(read_logs(spark, "tabular-json", path))
+
+
 def tabular_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables of at most 250 rows per document, one document per line."""
     path = fresh_path(spark, "export-tabular")
@@ -211,6 +249,16 @@ def query_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_facts(spark, sf_dir).select("query_id", "range_from", "range_to"))
 
 
+def query_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of texts of which every other pair is empty or blank."""
+    texts = views.query_texts(spark, sf_dir)
+    case = F.col("query_id") % 4
+    texts = texts.withColumn("text", F.when(case == 0, "").when(case == 1, " \n\t").otherwise(F.col("text")))
+    facts = query_facts.query_facts(texts, "text", as_of(), views.TICKET_REGEX, ("query_id",))
+    some = (F.size("tickets") > 0) | (F.size("tables") > 0) | F.col("range_from").isNotNull()
+    return facts.select("query_id", "error", some.cast("int").alias("has_facts"))
+
+
 def table_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(query_facts.table_usage(_facts(spark, sf_dir)))
 
@@ -260,6 +308,12 @@ def ticket_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("ticket", "key")
 
 
+def token_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits whose subject names a ticket as a whole token."""
+    tickets = _findings(spark, sf_dir).group_tickets
+    return links.ticket_commits(tickets, views.commits(spark, sf_dir), views.TICKET_REGEX).distinct()
+
+
 def proximity_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = views.commits(spark, sf_dir)
     return links.proximity_commits(_keyed(spark, sf_dir), commits, views.WINDOW_MINUTES)
@@ -289,6 +343,17 @@ def findings_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.findings_counts(_stats(spark, sf_dir))
 
 
+def no_key_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log without its operation ids, under a policy that matches nothing."""
+    fields = {
+        name: (F.col(f"f_{name}"), kind)
+        for name, kind, _ in views.LOG_FIELDS
+        if name not in ("operation_Id", "operationName")
+    }
+    logs = logs_from_columns(views.log_fields(spark, sf_dir), fields, F.col("row_ord"))
+    return findings.findings_counts(findings.group_stats(row_keys(logs, JoinPolicy(r"NONE-\d+"))))
+
+
 # --- redaction ---------------------------------------------------------------
 
 
@@ -335,6 +400,18 @@ def redact_raw_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports -----------------------------------------------------------------
 
 
+def redact_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as they are, which the caller asked for; a warning says so."""
+    table = redact_findings(_findings(spark, sf_dir, staged=True), bypass=True).table
+    texts = [
+        table("groups").select(F.lit("groups").alias("part"), F.col("label").alias("text")),
+        table("unmatched").select(F.lit("unmatched"), "message"),
+        table("group_commits").select(F.lit("group_commits"), "subject"),
+    ]
+    everything = texts[0].union(texts[1]).union(texts[2])
+    return everything.groupBy("part", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _reports(spark: SparkSession, sf_dir: str, staged: bool = False) -> RedactedFindings:
     found = _findings(spark, sf_dir, staged)
     return redact_findings(found, run_secret=RUN_SECRET, link_base=LINK_BASE)
@@ -445,16 +522,34 @@ def investigate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.atoms(spark, sf_dir),
         extra_rules=EXTRA_RULES,
     )
-    links_of = run.findings.table("group_commits").groupBy("group_id")
-    counts = links_of.agg(F.count(F.lit(1)).alias("commit_count"))
-    return (
-        run.findings.table("groups")
-        .join(counts, "group_id", "left")
-        .select(
-            "label", "row_count", "first_ord",
-            F.coalesce("commit_count", F.lit(0)).cast("bigint").alias("commit_count"),
+    return run.findings.table("group_report").select(
+        "label", "row_count", "first_ord", "commit_count"
+    )
+
+
+def investigate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a CSV export to a bundle on disk, read back: rows of each table, and its group report."""
+    path = fresh_path(spark, "export")
+    fields = _export_fields(spark, sf_dir)
+    ordered = fields.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.write.options(header=True, quote='"', escape='"').csv(path)
+    out_dir = fresh_path(spark, "bundles")
+    with run_folder(spark):
+        run = investigate(
+            spark, path, views.commits(spark, sf_dir), views.POLICY, as_of(), "csv",
+            views.atoms(spark, sf_dir), out_dir, formats=("parquet",), extra_rules=EXTRA_RULES,
         )
+    read = lambda name: spark.read.parquet(f"{run.folder}/parquet/{name}")
+    report = read("group_report").select(
+        F.lit("group_report").alias("part"), F.col("label").alias("name"), "row_count", "commit_count"
+    )
+    tables = read_manifest(spark, run.folder).select(
+        F.lit("manifest"), "table_name", F.col("rows"), F.lit(0).cast("bigint")
+    )
+    meta = read("rowset_meta").select(
+        F.lit("rowset_meta"), "source", "row_count", "unreadable_times"
     )
+    return report.union(tables).union(meta)
 
 
 QUERIES = {
@@ -501,4 +596,11 @@ QUERIES = {
     "raw_preview": raw_preview,
     "bundle_roundtrip": bundle_roundtrip,
     "investigate": investigate_query,
+    "investigate_export": investigate_export,
+    "query_validity": query_validity,
+    "no_key_warning": no_key_warning,
+    "redact_bypass": redact_bypass,
+    "token_commits": token_commits,
+    "json_array_roundtrip": json_array_roundtrip,
+    "tabular_document_roundtrip": tabular_document_roundtrip,
 }
