@@ -229,8 +229,13 @@ def encode(
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with ``text_col``, the text of the ids: pieces equi-joined by id."""
+    """``rows`` with ``text_col``, the text of the ids: pieces equi-joined by id.
+
+    Null or empty ids give an empty text; repeated rows are decoded each. A column that is
+    called ``text_col`` already is replaced.
+    """
     spark = rows.sparkSession
+    rows = rows.drop(text_col)
     spelt = piece_table(spark, model).select(
         "id", F.hex(F.encode(F.replace("piece", F.lit(MARK), F.lit(" ")), "UTF-8")).alias("code")
     )

@@ -46,9 +46,10 @@ def cut_documents(
     longest: int = MAX_TOKENS,
     end_id: int = END_ID,
     with_ids: bool = False,
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece: where it starts, its length, a checksum of its ids, and,
-    if asked for, the ids."""
+    if asked for, the ids. ``specials_as_text`` is told in ``word_store``."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence is a power of two")
     schema = T.StructType(
@@ -64,7 +65,7 @@ def cut_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        store = word_store(vocabulary)
+        store = word_store(vocabulary, specials_as_text)
         at, starts, lengths, sums, totals, kept = [], [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             ids = b"".join(map(store.__getitem__, (text or "").encode("utf-8").split())) + end

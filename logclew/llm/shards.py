@@ -1,17 +1,19 @@
 """Hierarchical weighted hash tree: rows descend region, rack and shard by hash draws.
 
-Every shard draws ``-ln(u) / weight`` for a row, ``u`` being the row's hash with that
-shard. A rack's draw is the smallest of its shards', a region's the smallest of its
-racks': the minimum of exponential draws is itself exponential with the summed weight,
-so each level is a weighted draw by the capacity below it. A row descends to the
-smallest draw at each level. Draws of a subtree change only with its own weights, so
-growing a shard, or adding one, takes rows into it and moves none between others.
-(Fresh draws at each level would also let rows that enter a region land in its old
-shards.)
-
-Nulls: a null id is replaced by the hash of the text; a null text has no bytes. Rows
-with equal ids go to one shard. Other columns of the input are ignored. An empty table
-gives an empty result.
+At each node every child draws ``-ln(u) / weight`` for a row, ``u`` being the row's hash with
+that child and the weight the sum of the shards below it; the row goes to the child of the
+smallest draw. Exponential draws share rows in proportion to the weights, and a child's
+draw changes only with its own weight. So a change moves rows only into or out of the subtrees whose
+weights change, level by level: regions that keep their weight exchange no rows, nor do racks of
+a region, nor shards of a rack. A row costs as many hashes as the nodes on its
+way have children. A shard that opens a region of its own takes rows only into itself
+(from 16 to 17 shards of ``regular_tree``, for instance); one that joins a rack also draws rows
+into its region and rack, some of which go to the other shards there.
+
+Ties (equal draws) go to the child listed first. Nulls: a null id is replaced by the hash of the
+text; a null text has no bytes. Rows with equal ids go to one shard, repeated rows too, each with a slot
+of its own. A text is only measured and hashed, whatever its length. Other columns of the input
+are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,41 +46,44 @@ def regular_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> l
     return [Shard(n // per_region, n // per_rack, n) for n in range(shards)]
 
 
-def _draw(key: Column, shard: Shard) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard.number)), 12)
-    return -F.ln((bits.cast("double") + F.lit(0.5)) / F.lit(_UNIT)) / F.lit(shard.weight)
+def _draw(key: Column, path: tuple[int, ...], weight: float) -> Column:
+    """The draw of the child at ``path``, which names it from the root on."""
+    hashed = F.xxhash64(key, *[F.lit(n) for n in path])
+    bits = F.shiftrightunsigned(hashed, 12).cast("double")
+    return -F.ln((bits + F.lit(0.5)) / F.lit(_UNIT)) / F.lit(weight)
 
 
-def _least(draws: Sequence[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def _descend(key: Column, shards: Sequence[Shard], path: tuple[int, ...] = ()) -> Column:
+    """The shard that ``key`` reaches from the node at ``path``, which has ``shards`` below it."""
+    if len(path) == 3:
+        return F.lit(shards[0].number)
+    below: dict[int, list[Shard]] = {}
+    for s in shards:
+        below.setdefault((s.region, s.rack, s.number)[len(path)], []).append(s)
+    if len(below) == 1:
+        return _descend(key, shards, (*path, *below))
+    children = [((*path, child), some) for child, some in below.items()]
+    draws = [
+        F.struct(_draw(key, to, sum(s.weight for s in some)).alias("draw"), F.lit(n).alias("n"))
+        for n, (to, some) in enumerate(children)
+    ]
 
+    def further(chosen: Column) -> Column:
+        way = F.when(chosen == 0, _descend(key, children[0][1], children[0][0]))
+        for n, (to, some) in enumerate(children[1:], 1):
+            way = way.when(chosen == n, _descend(key, some, to))
+        return way
 
-def _first_least(draws: list[tuple[Column, Column]]) -> Column:
-    """The value beside the smallest draw; the first of equal draws."""
-    lowest = _least([d for d, _ in draws])
-    chosen = draws[-1][1]
-    for draw, value in reversed(draws[:-1]):
-        chosen = F.when(draw == lowest, value).otherwise(chosen)
-    return chosen
+    # Bound to a name, so that the draws are made once; only the way that the row goes is followed.
+    least = F.array(F.array_min(F.array(*draws))["n"])
+    return F.get(F.transform(least, further), F.lit(0))
 
 
-def place(key: Column, tree: Sequence[Shard], draws: dict[Shard, Column] | None = None) -> Column:
-    """The shard number that ``key`` descends to. ``draws``: columns that hold the draws."""
-    draws = draws or {s: _draw(key, s) for s in tree}
-    regions: dict[int, dict[int, list[Shard]]] = {}
-    for s in tree:
-        regions.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    by_region = []
-    for racks in regions.values():
-        by_rack = [
-            (
-                _least([draws[s] for s in leaves]),
-                _first_least([(draws[s], F.lit(s.number)) for s in leaves]),
-            )
-            for leaves in racks.values()
-        ]
-        by_region.append((_least([d for d, _ in by_rack]), _first_least(by_rack)))
-    return _first_least(by_region)
+def place(key: Column, tree: Sequence[Shard]) -> Column:
+    """The shard number that ``key`` descends to."""
+    if len({s.number for s in tree}) < len(tree):
+        raise ValueError("every shard has a number of its own")
+    return _descend(key, tree)
 
 
 def assign_shards(
@@ -91,7 +96,6 @@ def assign_shards(
     """Each row's size, checksum, shard, slot in the shard, and shard in the grown tree."""
     if any(s.weight <= 0 for s in (*tree, *grown)):
         raise ValueError("weights are above 0")
-    leaves = list(dict.fromkeys((*tree, *grown)))
     text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -99,15 +103,13 @@ def assign_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("_key"),
     )
-    rows = rows.withColumns({f"_draw{i}": _draw(F.col("_key"), s) for i, s in enumerate(leaves)})
-    at = {s: F.col(f"_draw{i}") for i, s in enumerate(leaves)}
     placed = rows.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
-        place(F.col("_key"), tree, at).alias("shard"),
-        place(F.col("_key"), grown, at).alias("grown_shard"),
+        place(F.col("_key"), tree).alias("shard"),
+        place(F.col("_key"), grown).alias("grown_shard"),
     )
     numbered = number_rows(placed, "shard", "shards", "slot")
     return numbered.select(

@@ -89,9 +89,12 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def word_store(path: str) -> WordStore:
+def word_store(path: str, specials_as_text: bool = False) -> WordStore:
     """Ids of words by a vocabulary with word ends, as unsigned 32-bit numbers.
 
+    The tokeniser is taken as it is loaded: a special token's name in a text gives its id. With
+    ``specials_as_text`` it is text like any other, and no text can write a control id.
+
     Words of Latin letters, punctuation or the one after the other, nearly all there
     are, go to the model directly, lower-cased and with bytes written as its letters;
     letters and punctuation are encoded apart, as the tokeniser cuts them. All
@@ -100,7 +103,7 @@ def word_store(path: str) -> WordStore:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = specials_as_text
     model, letters = tokenizer.model, byte_letters()
     parts: dict[str, bytes] = {}
 

@@ -45,3 +45,13 @@ def test_query_reads_documents(spark, documents):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "k int, text string")
     assert lattice.decode(lattice.encode(none, MODEL), MODEL).count() == 0
+
+
+def test_decode_edges(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "old"), (2, [], "old"), (3, [700, 701], "old"), (3, [700, 701], "old")],
+        "k long, ids array<int>, decoded string",
+    )
+    got = sorted((r.k, r.decoded) for r in lattice.decode(rows, MODEL).collect())
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert got == [(1, ""), (2, ""), (3, known.decode([700, 701])), (3, known.decode([700, 701]))]

@@ -9,15 +9,16 @@ from logclew.llm.queries import vocabulary
 WORDS = vocabulary("word_bpe_49k.json")
 HARD = [
     "Don't stop 'll I'd we've", "ΣΑΣ ΟΔΟΣ", "İstanbul ﬁ é 日本語 テスト 12345",
-    "a\x1cb c d <|endoftext|> x", "...,,!! a!b --' 'tis ''", " \n\t", "ªº µm Ⅷ ß ẞ x²y _a_ ÷×",
+    "a\x1cb c d <|endoftext|> x", "a<|endoftext|>b <|startoftext|><|endoftext|> <|endof text|>", "...,,!! a!b --' 'tis ''", " \n\t", "ªº µm Ⅷ ß ẞ x²y _a_ ÷×",
 ]
 
 
-def plain_ids(text):
+def plain_ids(text, specials_as_text=False):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    if specials_as_text:
+        tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -69,3 +70,11 @@ def test_edges(edge_docs, no_docs):
     assert sum(r.length for r in rows if r.doc_id == 5) == 30_001
     assert sum(r.doc_id == 3 for r in rows) == 2 * len(list(packing.binary_pieces(8, 4096)))
     assert packing.pack_documents(no_docs, WORDS).count() == 0
+
+
+def test_specials_as_text_on_request(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    for as_text in (False, True):
+        (row,) = [r for r in packing.cut_documents(docs, WORDS, specials_as_text=as_text).collect() if r.start == 0]
+        assert row.doc_tokens == len(plain_ids("a<|endoftext|>b", as_text))
+    assert len(plain_ids("a<|endoftext|>b")) == 4 < len(plain_ids("a<|endoftext|>b", True))

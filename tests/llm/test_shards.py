@@ -1,31 +1,80 @@
+import math
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from logclew.llm import shards
 
 
-def test_growth_moves_rows_only_into_the_new_shard(spark):
-    keys = spark.range(20_000).select(F.col("id").alias("k"))
-    sizes = (1, 2, 3, 7, 8, 9, 16, 17, 18)
-    columns = [shards.place(F.col("k"), shards.regular_tree(n)).alias(f"s{n}") for n in sizes]
-    rows = keys.select(*columns).collect()
-    for old, new in zip(sizes, sizes[1:]):
-        moved = [(r[f"s{old}"], r[f"s{new}"]) for r in rows if r[f"s{old}"] != r[f"s{new}"]]
-        assert moved and all(old <= b < new for _, b in moved)
-        assert len(moved) / len(rows) == pytest.approx((new - old) / new, abs=0.02)
+def plain_place(key, tree):
+    """Descend by hand: least -ln(u) / weight among the children of each node."""
+
+    def hashed(*numbers):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        for n in numbers:
+            seed = xxhash.xxh64_intdigest(struct.pack("<i", n), seed=seed)
+        return seed
+
+    path, left = (), list(tree)
+    for level in range(3):
+        names = list(dict.fromkeys((s.region, s.rack, s.number)[level] for s in left))
+        if len(names) > 1:
+            weight = {n: sum(s.weight for s in left if (s.region, s.rack, s.number)[level] == n) for n in names}
+            draw = {n: -math.log(((hashed(*path, n) >> 12) + 0.5) / 2**52) / weight[n] for n in names}
+            name = min(names, key=draw.__getitem__)
+        else:
+            name = names[0]
+        path, left = (*path, name), [s for s in left if (s.region, s.rack, s.number)[level] == name]
+    return left[0].number
+
+
+UNEVEN = [
+    shards.Shard(0, 0, 0, 1.0), shards.Shard(0, 0, 1, 3.0), shards.Shard(0, 1, 2, 2.0),
+    shards.Shard(1, 2, 3, 5.0), shards.Shard(2, 3, 4, 0.5), shards.Shard(2, 4, 5, 0.5),
+]
+
+
+def placed(spark, *trees, n=20_000):
+    columns = [shards.place(F.col("id"), t).alias(f"t{i}") for i, t in enumerate(trees)]
+    return spark.range(n).select("id", *columns).collect()
+
+
+def test_equals_plain_descent(spark):
+    trees = (UNEVEN, shards.regular_tree(16), shards.regular_tree(17), shards.regular_tree(3))
+    for r in placed(spark, *trees, n=1500):
+        assert [r[f"t{i}"] for i in range(len(trees))] == [plain_place(r["id"], t) for t in trees]
+
+
+def test_a_shard_in_a_region_of_its_own_takes_rows_only_into_itself(spark):
+    rows = placed(spark, shards.regular_tree(16), shards.regular_tree(17))
+    moved = [r["t1"] for r in rows if r["t0"] != r["t1"]]
+    assert set(moved) == {16} and len(moved) / len(rows) == pytest.approx(1 / 17, abs=0.01)
+
+
+def test_the_tree_decides(spark):
+    """The same shards under other racks and regions place rows otherwise."""
+    other = [shards.Shard(s.number % 3, s.number % 5, s.number) for s in shards.regular_tree(16)]
+    rows = placed(spark, shards.regular_tree(16), other)
+    assert sum(r["t0"] != r["t1"] for r in rows) / len(rows) > 0.5
+    for number in range(16):
+        assert sum(r["t1"] == number for r in rows) / len(rows) == pytest.approx(1 / 16, abs=0.01)
 
 
 def test_weights_share_rows_and_confine_moves(spark):
-    tree = [shards.Shard(0, 0, 0, 1.0), shards.Shard(0, 1, 1, 2.0), shards.Shard(1, 2, 2, 5.0)]
-    grown = [*tree[:1], shards.Shard(0, 1, 1, 4.0), tree[2]]
-    k = F.col("id")
-    rows = spark.range(20_000).select(shards.place(k, tree).alias("a"), shards.place(k, grown).alias("b"))
-    rows = rows.collect()
-    for number, share in ((0, 1 / 8), (1, 2 / 8), (2, 5 / 8)):
-        assert sum(r.a == number for r in rows) / len(rows) == pytest.approx(share, abs=0.02)
-    assert all(r.b == 1 for r in rows if r.a != r.b)
+    total = sum(s.weight for s in UNEVEN)
+    heavier = [shards.Shard(0, 1, 2, 6.0) if s.number == 2 else s for s in UNEVEN]
+    rows = placed(spark, UNEVEN, heavier)
+    for s in UNEVEN:
+        assert sum(r["t0"] == s.number for r in rows) / len(rows) == pytest.approx(s.weight / total, abs=0.015)
+    region, rack = {s.number: s.region for s in UNEVEN}, {s.number: s.rack for s in UNEVEN}
+    moved = [(r["t0"], r["t1"]) for r in rows if r["t0"] != r["t1"]]
+    # Between regions only into the one that grew; within it only into the rack that grew; the
+    # others' rows do not change places among themselves.
+    assert moved and {region[b] for _, b in moved} == {0}
+    assert {rack[b] for a, b in moved if region[a] == 0} == {1}
 
 
 def test_rows_sizes_and_slots(documents):
@@ -50,3 +99,5 @@ def test_edges(edge_docs, no_docs):
     assert shards.assign_shards(no_docs, tree, tree).count() == 0
     with pytest.raises(ValueError):
         shards.assign_shards(no_docs, [shards.Shard(0, 0, 0, 0.0)], tree)
+    with pytest.raises(ValueError):
+        shards.place(F.col("id"), [shards.Shard(0, 0, 1), shards.Shard(1, 1, 1)])
