@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timezone
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,7 +236,15 @@ def test_an_export_is_read_once(spark, tmp_path, make_commits):
 
 
 def test_stage_folder_without_a_checkpoint_folder(spark):
-    plain = spark.newSession()
-    plain.conf.unset("spark.checkpoint.dir")
-    if plain.conf.get("spark.checkpoint.dir", None) is None:
-        assert shared_dir(plain).startswith(plain.conf.get("spark.sql.warehouse.dir"))
+    class Conf(dict):
+        set = dict.__setitem__
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        conf = Conf({"spark.sql.warehouse.dir": "/shared/warehouse"})
+        return SimpleNamespace(conf=conf, sparkContext=context, _jvm=spark._jvm, _jsc=spark._jsc)
+
+    alone = session("local[2]")
+    assert shared_dir(alone).startswith("/shared/warehouse/logclew-") and shared_dir(alone) == shared_dir(alone)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://somewhere"))

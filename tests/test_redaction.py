@@ -115,7 +115,7 @@ def test_rows_keep_time_level_source_and_keys(make_logs):
     )
     row = redact_rows(logs).first()
     assert (row["level"], row["source"]) == ("a@example.com", "10.0.0.1")
-    assert row["message"] == "from [REDACTED:email]"
+    assert row["message"] == "by way of [REDACTED:email]"
     assert row["raw"] == {
         "nested": '{"ip":"[REDACTED:ipv4]","note":"ok"}',
         "copy": "[REDACTED:hostname]",
