@@ -1,29 +1,34 @@
 r"""Personal data: fixed rules, and identifiers found by bootstrapped contexts.
 
 The rules find e-mail addresses, IP addresses, payment cards and phone numbers. Their
-matches are the seeds. A seed's contexts (the word before it, the two words before it,
-and the word after) are lexical patterns. Other tokens that look like an identifier of
-some kind, loosely, are candidates. Patterns and the values seen in them form a
-graph, which Spark scores in rounds:
-
-1. A pattern's confidence for a kind is the share of its distinct values known to be of
-   that kind. It is used if it has ``min_support`` such values and ``min_confidence``.
+matches are the seeds. Lexical patterns are the words around a place: the one before, the
+two before, the one after, and those on both sides. Other tokens that look like an identifier
+of some kind, loosely, are candidates, and so are groups of digits with blanks, brackets or
+hyphens between them. Patterns and the values seen in them form a graph, which Spark scores
+in rounds:
+
+1. A pattern's confidence for a kind is the share of known values of that kind among all
+   distinct values in its place, ordinary words included. It is used if it has
+   ``min_support`` known values and ``min_confidence``.
 2. A candidate value's score for a kind it looks like is the noisy-or of the
-   confidences of its patterns. From ``min_score`` on it is known, in every text.
-3. The next round counts it among the known values, which can raise other patterns.
+   confidences of its patterns. From ``min_score`` on it is known, in every text, and stays so.
+3. The next round counts it among the known values, which can raise other patterns. The
+   rounds end when one adds nothing (or after ``rounds``, if given).
 
-Only hashes of values and contexts leave a text. Edges are distinct pairs, so copies
-of a document add nothing. The rounds run on staged tables of edges; nothing is gathered
-on the driver. Spans found in a text are a function of it, so they are joined
-back by its digest, and texts without candidates are not joined at all.
+Words in the place of a pattern are read in a second pass, and only for patterns that enough
+identifiers and candidates share: a bit table of fixed size drops nearly all others in the
+task, a join the rest. Only hashes of values and contexts leave a text. Edges are distinct
+pairs, so copies of a document add nothing. The rounds run on staged tables of edges; nothing
+but the bit table is gathered on the driver. Spans found in a text are a function of it, so
+they are joined back by its digest, and texts without candidates are not joined at all.
 
-The rules are linear in a text's length: starts inside a run of digits or behind a
-failed match are not tried again.
+Everything is linear in a text's length: starts inside a run of digits or behind a failed
+match are not tried again, and words are split once.
 
 Nulls: a null text is empty and has no spans; a null id stays null. Repeated rows have
 the same spans each. Ties between kinds go to the higher score, then the kind listed
-first. Other columns are ignored by ``find_private`` and kept by ``redact``. An empty
-table gives an empty result.
+first. Long texts are read whole. Other columns are ignored by ``find_private`` and kept by
+``redact``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -54,7 +60,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
+    rounds: int | None = None
     min_support: int = 5
     min_confidence: float = 0.8
     min_score: float = 0.9
@@ -101,12 +107,15 @@ def base_spans(text: str) -> list[Span]:
 # Tokens with a digit or an at-sign, and what each kind loosely looks like.
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _EDGE = "\"'()[]{}<>,;:!?.=|"
+_BLANKS = re.compile(r"[ \t ]{1,2}")
 _LOOSE = (
     re.compile(r"[^\s@]+@[^\s@]+"),
     re.compile(r"[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}"),
-    re.compile(r"(?:[0-9][./_-]?){11,18}[0-9]"),
-    re.compile(r"\(?(?:[0-9][()./_-]{0,2}){6,14}[0-9]"),
+    re.compile(r"(?:[0-9][./_ \t -]{0,2}){11,18}[0-9]"),
+    re.compile(r"\+?\(?(?:[0-9][()./_ \t -]{0,3}){6,14}[0-9]"),
 )
+# More groups than the loosest kind has digits are never one identifier.
+_MOST_GROUPS = 19
 
 
 def looks_like(token: str) -> int:
@@ -114,21 +123,48 @@ def looks_like(token: str) -> int:
     return sum(1 << k for k, loose in enumerate(_LOOSE) if loose.fullmatch(token))
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without punctuation at its ends; a bracket that is closed inside stays."""
+    token = text[start:end]
+    start += len(token) - len(token.lstrip(_EDGE))
+    token = token.strip(_EDGE)
+    if start and text[start - 1] == "(" and 0 <= token.find(")") < (token + "(").find("("):
+        return start - 1, start + len(token)
+    return start, start + len(token)
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
-    """(start, end, kind bits) of tokens outside the base spans that look like something."""
+    """(start, end, kind bits) outside the base spans of what looks like something.
+
+    Tokens next to each other are read together if that looks like something; from the left,
+    as many as can be.
+    """
     if "@" not in text and not _DIGIT.search(text):
         return []
-    found, n = [], 0
+    chains: list[list[tuple[int, int]]] = []
+    n = 0
     for m in _TOKEN.finditer(text):
-        start, token = m.start(), m.group()
-        start += len(token) - len(token.lstrip(_EDGE))
-        token = token.strip(_EDGE)
+        start, end = m.span()
         while n < len(base) and base[n][1] <= start:
             n += 1
-        if n < len(base) and base[n][0] < start + len(token):
+        if n < len(base) and base[n][0] < end:
             continue
-        if len(token) >= 6 and (bits := looks_like(token)):
-            found.append((start, start + len(token), bits))
+        last = chains[-1][-1][1] if chains else -1
+        near = 0 <= last < start and start - last <= 2 and _BLANKS.fullmatch(text, last, start)
+        if near:
+            chains[-1].append((start, end))
+        else:
+            chains.append([(start, end)])
+    found = []
+    for chain in chains:
+        i = 0
+        while i < len(chain):
+            for j in range(min(len(chain), i + _MOST_GROUPS), i, -1):
+                start, end = _trimmed(text, chain[i][0], chain[j - 1][1])
+                if bits := looks_like(text[start:end]):
+                    found.append((start, end, bits))
+                    break
+            i = max(j, i + 1)
     return found
 
 
@@ -136,21 +172,60 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8")) - (1 << 63)
 
 
-_REACH = 80  # code points looked at on either side for context words
+# Stands for a span among the words; no word has a blank.
+_PLACE = "\0 "
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_words: dict[str, int] = {}
+_MAX_WORDS = 500_000
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    if len(_words) > _MAX_WORDS:
+        _words.clear()
+    for word in set(words).difference(_words):
+        _words[word] = xxhash.xxh64_intdigest(word.encode("utf-8"))
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def word_sequence(text: str, spans: list[Span]) -> tuple[list[str], list[int]]:
+    """Lower-cased words, with one place for each stretch of spans, and each span's place."""
+    words, places, at = [], [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            words += text[at:start].lower().split()
+            words.append(_PLACE)
+        places.append(len(words) - 1)
+        at = max(at, end)
+    words += text[at:].lower().split()
+    return words, places
+
+
+def _mixed(hashes: np.ndarray, tag: int) -> np.ndarray:
+    mixed = (hashes ^ np.uint64(tag)) * _MIX
+    return (mixed ^ (mixed >> np.uint64(31))) * _MIX
+
+
+def patterns(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(first place, pattern hashes from there on): before, two before, after, both sides."""
+    before, after = hashes[:-1], hashes[1:]
+    return [
+        (1, _mixed(before, 1)),
+        (2, _mixed(before[:-1] * _MIX + hashes[1:-1], 2)),
+        (0, _mixed(after, 3)),
+        (1, _mixed(hashes[:-2] * _MIX + hashes[2:], 4)),
+    ]
 
 
-def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashed patterns around a span: the word before, the two before, the word after."""
-    before = text[max(0, start - _REACH) : start].lower().split()
-    after = text[end : end + _REACH].lower().split()
-    made = []
-    if before:
-        made.append(_hash("before\t" + before[-1]))
-    if len(before) > 1:
-        made.append(_hash("before\t" + " ".join(before[-2:])))
-    if after:
-        made.append(_hash("after\t" + after[0]))
-    return made
+def contexts(text: str, spans: list[Span]) -> list[list[int]]:
+    """Hashed patterns around each span."""
+    if not spans:
+        return []
+    words, places = word_sequence(text, spans)
+    made = patterns(_word_hashes(words))
+    return [
+        [int(h[p - first].view(np.int64)) for first, h in made if first <= p < first + len(h)]
+        for p in places
+    ]
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())])
@@ -189,7 +264,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             text = text or ""
             base = base_spans(text)
             loose = candidates(text, base)
-            marked = [(a, b, k, 0) for a, b, k in base] + [(a, b, -1, k) for a, b, k in loose]
+            marked = sorted([(a, b, k, 0) for a, b, k in base] + [(a, b, -1, k) for a, b, k in loose])
+            around = contexts(text, [m[:3] for m in marked])
             bases.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in base])
             seens.append(
                 [
@@ -199,9 +275,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         "kind": kind,
                         "bits": bits,
                         "value": _hash(text[a:b].lower()),
-                        "contexts": contexts(text, a, b),
+                        "contexts": near,
                     }
-                    for a, b, kind, bits in marked
+                    for (a, b, kind, bits), near in zip(marked, around, strict=True)
                 ]
             )
             digests.append(hashlib.sha256(text.encode("utf-8")).hexdigest() if loose else None)
@@ -222,23 +298,78 @@ def _has_bit(bits: Column, kind: Column) -> Column:
     return F.expr("(shiftright(bits, kind) & 1) = 1")
 
 
-def score_graph(edges: DataFrame, settings: Bootstrap) -> DataFrame:
+# Size of the bit table of patterns, in bits: bounded, whatever the corpus has.
+_TABLE_BITS = 1 << 22
+
+
+def _bit_table(patterns_: DataFrame) -> np.ndarray:
+    """Marks of the patterns' low bits; at most ``_TABLE_BITS`` / 64 rows come to the driver."""
+    low = F.col("context").bitwiseAND(F.lit(_TABLE_BITS - 1))
+    words = (
+        patterns_.select(F.shiftright(low, 6).alias("at"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .groupBy("at")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("marks"))
+    )
+    table = np.zeros(_TABLE_BITS // 64, np.int64)
+    for at, marks in words.collect():
+        table[at] = marks
+    return table.view(np.uint64)
+
+
+def words_in_place(docs: DataFrame, text_col: str, table: np.ndarray) -> DataFrame:
+    """(context, value) of ordinary words in the place of a pattern that ``table`` marks."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.zeros((0, 2), np.uint64)]
+        for text in batch.column(0).to_pylist():
+            base = base_spans(text) if text else []
+            spans = sorted(base + candidates(text or "", base))
+            words, places = word_sequence(text or "", spans)
+            hashes = _word_hashes(words)
+            ordinary = np.ones(len(words), bool)
+            ordinary[places] = False
+            for first, h in patterns(hashes):
+                low = h & np.uint64(_TABLE_BITS - 1)
+                marked = (table[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)
+                at = np.flatnonzero(marked.astype(bool) & ordinary[first : first + len(h)])
+                if len(at):
+                    found.append(np.stack([h[at], hashes[at + first]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        columns = [np.ascontiguousarray(pairs[:, i]).view(np.int64) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "value"])
+
+    return map_batches(
+        docs.select(F.col(text_col).cast("string")), rows, "context long, value long"
+    )
+
+
+def score_graph(
+    edges: DataFrame, settings: Bootstrap, docs: DataFrame | None = None, text_col: str = "text"
+) -> DataFrame:
     """(value, kind) of the candidates that the rounds make known.
 
-    ``edges``: distinct (context, value, kind, bits), kind -1 for candidates.
+    ``edges``: distinct (context, value, kind, bits), kind -1 for candidates. The ordinary
+    words in the place of a pattern are read from ``docs``, if given.
     """
     edges = stage(edges, "edges")
     seeds = edges.where("kind >= 0")
     loose = edges.where("kind < 0").select("context", "value", "bits")
-    totals = stage(
+    shared = stage(
         edges.groupBy("context").agg(F.count_distinct("value").alias("n")).where(
             F.col("n") >= settings.min_support
         ),
         "contexts",
     )
+    totals = shared
+    if docs is not None and (table := _bit_table(shared)).any():
+        # Distinct pairs are dealt by both columns, so a pattern that all texts have is no hot key.
+        every = edges.select("context", "value").unionByName(words_in_place(docs, text_col, table))
+        counted = every.distinct().groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+        totals = stage(counted.join(shared.select("context"), "context", "left_semi"), "totals")
     learnt: DataFrame | None = None
-    size = 0
-    for _ in range(settings.rounds):
+    done = 0
+    while settings.rounds is None or done < settings.rounds:
+        done += 1
         known = seeds.select("context", "value", "kind")
         if learnt is not None:
             known = known.unionByName(
@@ -254,8 +385,9 @@ def score_graph(edges: DataFrame, settings: Bootstrap) -> DataFrame:
         )
         # 1 - confidence is bounded from below, as a logarithm is taken.
         doubt = F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))
+        new = loose if learnt is None else loose.join(learnt, "value", "left_anti")
         scored = (
-            loose.join(strong, "context")
+            new.join(strong, "context")
             .where(_has_bit(F.col("bits"), F.col("kind")))
             .groupBy("value", "kind")
             .agg(F.round(1 - F.exp(F.sum(doubt)), 9).alias("score"))
@@ -264,18 +396,20 @@ def score_graph(edges: DataFrame, settings: Bootstrap) -> DataFrame:
         best = scored.groupBy("value").agg(
             F.max(F.struct("score", (-F.col("kind")).alias("first"))).alias("best")
         )
-        learnt = stage(best.select("value", (-F.col("best.first")).alias("kind")), "learnt")
-        before, size = size, learnt.count()
-        if size == before:
+        added = stage(best.select("value", (-F.col("best.first")).alias("kind")), "learnt")
+        learnt = added if learnt is None else stage(learnt.unionByName(added), "known")
+        if added.isEmpty():
             break
     return learnt
 
 
-def bootstrapped(scanned: DataFrame, settings: Bootstrap) -> DataFrame:
+def bootstrapped(
+    scanned: DataFrame, settings: Bootstrap, docs: DataFrame, text_col: str = "text"
+) -> DataFrame:
     """(digest, added): the spans that the method adds to the text of that digest."""
     seen = scanned.select("digest", F.explode("seen").alias("s")).select("digest", "s.*")
     edges = seen.select(F.explode("contexts").alias("context"), "value", "kind", "bits").distinct()
-    learnt = score_graph(edges, settings)
+    learnt = score_graph(edges, settings, docs, text_col)
     span = F.struct("start", "end", "kind")
     return (
         seen.where("kind < 0")
@@ -295,7 +429,7 @@ def find_private(
 ) -> DataFrame:
     """(doc_id, base, added): each row's spans by the rules and by the contexts, sorted."""
     scanned = stage(scan(docs, id_col, text_col), "scanned")
-    added = stage(bootstrapped(scanned, settings), "added")
+    added = stage(bootstrapped(scanned, settings, docs, text_col), "added")
     none = F.array().cast(_SPANS_TYPE)
     plain = scanned.where("digest IS NULL").select("doc_id", "base", none.alias("added"))
     joined = (
@@ -340,7 +474,7 @@ def redact(
 ) -> DataFrame:
     """``docs`` with personal data masked. Only texts with candidates are joined to spans."""
     scanned = stage(scan(docs, id_col, text_col), "scanned")
-    added = stage(bootstrapped(scanned, settings), "added")
+    added = stage(bootstrapped(scanned, settings, docs, text_col), "added")
     digest, extra = free_name(docs, "_digest"), free_name(docs, "_added")
     columns, at_text = docs.columns, docs.columns.index(text_col)
 
