@@ -246,26 +246,50 @@ ORACLES = {
     "op7_clause_hashing": r"""
 WITH pieces AS (
   SELECT doc_id, coalesce(text, '') AS text,
-    regexp_extract_all(coalesce(text, ''), '[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+') AS u
+    regexp_extract_all(coalesce(text, ''), '[^.,;:!?。，、；：！？\n]+[.,;:!?。，、；：！？\n]*|[.,;:!?。，、；：！？\n]+') AS u,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls
   FROM documents
 ), cut AS (
   SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM pieces
 ), placed AS (
   SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
     regexp_replace(translate(
-      regexp_replace(unit, '^[.,;:!?\x20\x09-\x0D]+|[.,;:!?\x20\x09-\x0D]+$', '', 'g'),
+      regexp_replace(unit, '^[.,;:!?。，、；：！？\x20\x09-\x0D]+|[.,;:!?。，、；：！？\x20\x09-\x0D]+$', '', 'g'),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
   FROM cut
 ), full_ AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place,
     row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again,
-    length(norm) - length(replace(norm, ' ', '')) + 1 AS words
+    length(norm) - length(replace(norm, ' ', '')) + 1
+      + length(regexp_replace(norm, '[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]', '', 'g')) AS words
   FROM placed WHERE norm <> ''
-), runs AS (
+), lines_ AS (
+  SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+    regexp_replace(translate(
+      regexp_replace(unit, '^[.,;:!?。，、；：！？\x20\x09-\x0D]+|[.,;:!?。，、；：！？\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
+  FROM (SELECT doc_id, unnest(ls) AS unit, generate_subscripts(ls, 1) AS k FROM pieces)
+), sized AS (
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1
+      + length(regexp_replace(norm, '[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]', '', 'g')) AS words FROM lines_ WHERE norm <> ''
+), spans AS (
   SELECT doc_id, min(e - length(unit)) AS s, max(e) AS e
   FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
         FROM full_ WHERE again)
   GROUP BY doc_id, run HAVING sum(words) FILTER (WHERE words >= 3) >= 20
+  UNION ALL
+  SELECT doc_id, e - length(unit), e
+  FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS nth FROM sized WHERE words >= 5)
+  WHERE nth > 1
+), islands AS (
+  SELECT *, s > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens
+  FROM spans
+), runs AS (
+  SELECT doc_id, min(s) AS s, max(e) AS e
+  FROM (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY s, e
+    ROWS UNBOUNDED PRECEDING) AS island FROM islands)
+  GROUP BY doc_id, island
 ), gaps AS (
   SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs
 ), kept AS (

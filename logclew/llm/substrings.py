@@ -1,14 +1,15 @@
 """Substring dedup by hashing normalised units: the earliest ranked occurrence stays.
 
-Passages are pasted in the middle of lines as often as on lines of their own, so
-lines are cut again at punctuation and the units are clauses. A unit is normalised
-(ASCII lower case, white space to single blanks, punctuation at its ends off) and
-hashed; digests are grouped globally, with the least rank per digest found by partial
-aggregates, so a unit that everyone has costs no task more than others. An
-occurrence other than the least one is a repeat. Clauses repeat by chance, so only runs
-of repeats with ``min_words`` words or more are cut out, and clauses of one or two words,
-which repeat in any text, lie in runs but do not count. The spans removed are kept as
-code-point offsets into the original.
+Units are lines, and clauses: passages are pasted in the middle of lines as often as on
+lines of their own, so lines are cut again at punctuation. A unit is normalised (ASCII lower
+case, white space to single blanks, punctuation at its ends off) and hashed; digests are
+grouped globally, with the least rank per digest found by partial aggregates, so a unit that
+everyone has costs no task more than others. An occurrence other than the least one is a
+repeat. A line of ``LINE_WORDS`` words or more that is a repeat is cut out. Clauses repeat by
+chance, so only runs of repeats with ``min_words`` words or more are cut out, and clauses of
+one or two words, which repeat in any text, lie in runs but do not count. In scripts without
+blanks every character counts as a word. The spans removed, merged where they meet, are kept
+as code-point offsets into the original.
 
 Rank: id (nulls last), then the row as read, then the place in the text. Nulls: a null
 text is empty. Blank units neither repeat nor end a run. Repeated rows: the first
@@ -32,13 +33,24 @@ from logclew.session import fresh_path, stage
 MIN_WORDS = 20
 # Shorter units add nothing to the words of a run.
 COUNTED_WORDS = 3
-MARKS = ".,;:!?\n"
+# A shorter line stays, however often it repeats.
+LINE_WORDS = 5
+MARKS = ".,;:!?。，、；：！？\n"
 _UNIT = re.compile(f"[^{MARKS}]+[{MARKS}]*|[{MARKS}]+")
-_TRIM = MARKS.encode() + b" \t\v\f\r"
+_TRIM = MARKS + " \t\v\f\r"
+_LINE = re.compile("[^\n]*\n|[^\n]+")
+# Thai to Khmer, kana, Han: scripts that set no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
 def normal(unit: str) -> bytes:
-    return b" ".join(unit.encode("utf-8").lower().strip(_TRIM).split())
+    return b" ".join(unit.strip(_TRIM).encode("utf-8").lower().split())
+
+
+def words_in(unit: bytes) -> int:
+    """Words of a normal form; a character of a script without blanks is one more."""
+    words = unit.count(b" ") + 1
+    return words if unit.isascii() else words + len(_UNSPACED.findall(unit.decode("utf-8")))
 
 
 def units_of(text: str | None) -> list[tuple[int, int, bytes]]:
@@ -47,20 +59,49 @@ def units_of(text: str | None) -> list[tuple[int, int, bytes]]:
     return [u for u in found if u[2]]
 
 
+def lines_of(text: str | None) -> list[tuple[int, int, bytes]]:
+    """(start, end, normal form) of the lines of ``LINE_WORDS`` words or more, line end included."""
+    found, at = [], 0
+    for line in _LINE.findall(text or ""):
+        unit = normal(line)
+        if unit and words_in(unit) >= LINE_WORDS:
+            found.append((at, at + len(line), unit))
+        at += len(line)
+    return found
+
+
+def digests_of(text: str | None) -> list[tuple[int, int]]:
+    """(number, digest) of all units: clauses have even numbers, lines odd ones."""
+    clauses = [(2 * n, xxhash.xxh64_intdigest(u[2])) for n, u in enumerate(units_of(text))]
+    # A seed of their own keeps lines from being repeats of clauses.
+    return clauses + [(2 * n + 1, xxhash.xxh64_intdigest(u[2], 1)) for n, u in enumerate(lines_of(text))]
+
+
 def repeated_spans(text: str | None, repeats: list[int] | None, min_words: int) -> list[tuple[int, int]]:
-    """Runs of units that are repeats (given by number) and have ``min_words`` words that count."""
+    """Repeated lines, and runs of repeated clauses with ``min_words`` words that count.
+
+    ``repeats``: numbers of the units that are repeats.
+    """
     if not repeats:
         return []
-    units, marked, spans, run = units_of(text), set(repeats), [], []
+    units, marked, run = units_of(text), {n // 2 for n in repeats if n % 2 == 0}, []
+    lines = lines_of(text) if any(n % 2 for n in repeats) else []
+    spans = [lines[n // 2][:2] for n in repeats if n % 2]
     for n in range(len(units) + 1):
         if n in marked:
             run.append(units[n])
         elif run:
-            words = [u[2].count(b" ") + 1 for u in run]
+            words = [words_in(u[2]) for u in run]
             if sum(n for n in words if n >= COUNTED_WORDS) >= min_words:
                 spans.append((run[0][0], run[-1][1]))
             run = []
-    return spans
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -103,10 +144,10 @@ def remove_repeats(
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, places, digests = [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            made = [xxhash.xxh64_intdigest(u[2]) for u in units_of(text)]
+            made = digests_of(text)
             at += [i] * len(made)
-            places += range(len(made))
-            digests += made
+            places += [n for n, _ in made]
+            digests += [d for _, d in made]
         rows = pa.array(at, pa.int32())
         return pa.RecordBatch.from_arrays(
             [
