@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,13 +123,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     )
     # At most max_rows ids and numbers: a bounded broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return joined.select(
-        F.pmod("turn", F.lit(SHARDS)).cast("int").alias("shard"),
-        F.explode(F.array(*map(F.lit, range(EPOCHS)))).alias("epoch"),
-        "turn",
-        "label",
-        "text",
+    dealt = joined.select(
+        F.pmod("turn", F.lit(SHARDS)).cast("int").alias("shard"), "turn", "label", "text"
     )
+    keys = F.array(*map(F.lit, partition_keys(docs.sparkSession, SHARDS)))
+    # A text crosses the exchange once; its epochs are made behind it.
+    return dealt.repartition(SHARDS, F.get(keys, F.col("shard"))).select(
+        "shard", F.explode(F.array(*map(F.lit, range(EPOCHS)))).alias("epoch"), "turn", "label", "text"
+    )
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that Spark's hash deals to that one."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    rows = spark.range(64 * n).groupBy(at.alias("at")).agg(F.min("id").alias("key")).collect()
+    found = {r["at"]: r["key"] for r in rows}
+    return [found[i] for i in range(n)]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
@@ -160,7 +169,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
 
     rows = (
         training_rows(docs, labels, max_rows)
-        .repartition(SHARDS, "shard")
         .sortWithinPartitions("shard", "epoch", "turn", "text")
         .select("shard", "label", "text")
     )
