@@ -35,7 +35,7 @@ from logclew.llm.simhash import shingle_hashes
 from logclew.session import stage
 
 SHINGLE = 5
-ONE_IN = 8
+ONE_IN = 3
 
 
 def scaled(hashes: np.ndarray, one_in: int = ONE_IN) -> np.ndarray:

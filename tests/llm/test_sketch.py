@@ -1,11 +1,35 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from logclew.llm import sketch
 
 
+def plain_sketch(text):
+    """Hashes of 5-word shingles below a third of the range, else the least, with sets."""
+    words = re.sub(r"[A-Z]", lambda m: m.group().lower(), text or "").encode().split()
+    joined = [b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))]
+    hashes = {xxhash.xxh64_intdigest(s, 42) for s in joined}
+    return sorted(h for h in hashes if h < 2**64 // 3) or sorted(hashes)[:1]
+
+
+def plain_likeness(one, other):
+    small, large = sorted((one, other), key=len)
+    return len(set(small) & set(large)) / len(small) if small else float(not large)
+
+
+def test_equals_plain_version(documents, edge_docs):
+    texts = [r.text for r in documents.collect()] + [r.text for r in edge_docs.collect()]
+    made = [plain_sketch(t) for t in texts]
+    assert [sketch.sketch(t).tolist() for t in texts] == made
+    for one, other in zip(texts, [*texts[1:], texts[0]], strict=True):
+        assert sketch.likeness(sketch.sketch(one), sketch.sketch(other)) == plain_likeness(
+            plain_sketch(one), plain_sketch(other))
+
+
 def check(rows, got):
     """``rows`` in descending order of ids."""
     assert len(rows) == len(got)
