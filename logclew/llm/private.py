@@ -40,6 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,16 +176,10 @@ def _hash(text: str) -> int:
 # Stands for a span among the words; no word has a blank.
 _PLACE = "\0 "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
-_MAX_WORDS = 500_000
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > _MAX_WORDS:
-        _words.clear()
-    for word in set(words).difference(_words):
-        _words[word] = xxhash.xxh64_intdigest(word.encode("utf-8"))
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return hash_array(np.array(words, dtype=object), categorize=False)
 
 
 def word_sequence(text: str, spans: list[Span]) -> tuple[list[str], list[int]]:
