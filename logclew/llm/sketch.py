@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from logclew.llm.batches import id_field, map_batches, stream_batches
 from logclew.llm.simhash import shingle_hashes
-from logclew.session import stage
+from logclew.session import fresh_path
 
 SHINGLE = 5
 ONE_IN = 3
@@ -180,7 +180,10 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     ordered = _compressed(docs, id_col, text_col).repartitionByRange(*order)
     ordered = ordered.sortWithinPartitions(*order).select("doc_id", "body")
-    passed = stage(stream_batches(ordered, walk, first_pass), "sketches")
+    # Written once, as stage() does, but in a format that packs sketches, which are digits at random.
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "sketches")
+    stream_batches(ordered, walk, first_pass).write.option("compression", "zstd").parquet(path)
+    passed = spark.read.schema(first_pass).parquet(path)
     done = passed.where(F.col("end").isNull()).select("doc_id", *(f.name for f in result))
 
     heads = passed.where(F.col("end") == "head")

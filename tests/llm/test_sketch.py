@@ -85,3 +85,9 @@ def test_edges(spark, edge_docs, no_docs):
     alone = spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")
     check([(7, "a b c d e f g h")], {r.doc_id: r for r in sketch.edited_pairs(alone).collect()})
     assert sketch.sketches(edge_docs).count() == edge_docs.count()
+
+
+def test_staged_sketches_are_packed(spark):
+    docs = spark.createDataFrame([(i, f"some words of document {i} and no others") for i in range(5)], "doc_id long, text string")
+    read = sketch.edited_pairs(docs).inputFiles()
+    assert read and all(".zstd." in name for name in read)
