@@ -6,9 +6,9 @@ documents are. A document's least hash is kept even if it lies above the thresho
 any text with a word has a sketch; merging keeps it only while nothing lower is there.
 
 ``edited_pairs`` compares each document with a text edited from it and with the
-next document, in descending order of ids. Rows are range-partitioned by id once, and
-each partition is read in order, holding two texts at a time. Only the first and last
-text of each partition travel further, to be joined with its neighbours'.
+next document, in descending order of ids. The order is cut into ranges, found from ids and text
+hashes alone. Each range goes to one task with a copy of the next one's first text behind it, and
+is read in order, holding two texts at a time. Texts cross the network once, and sketches not at all.
 
 Nulls: a null text is empty and has an empty sketch; null ids come after all others.
 Ties: rows of equal id follow one another by the hash of their text. Repeated rows
@@ -25,8 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,101 +113,106 @@ def _compare(text: str, own: np.ndarray, following: str, next_sketch: np.ndarray
     )
 
 
-def _compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, body): texts compressed, as they are moved whole between executors."""
-    schema = T.StructType(
-        [
-            id_field(docs, id_col),
-            T.StructField("tie", T.LongType()),
-            T.StructField("body", T.BinaryType()),
-        ]
-    )
+def _compressed(rows_: DataFrame) -> DataFrame:
+    """``rows_`` with its texts as ``body``, compressed, as they are moved whole between executors."""
+    kept = [f for f in rows_.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("body", T.BinaryType())])
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3).compress
-        bodies = [pack((t or "").encode("utf-8")) for t in batch.column(2).to_pylist()]
+        bodies = [pack((t or "").encode("utf-8")) for t in batch.column(len(kept)).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=schema.names
+            [*batch.columns[: len(kept)], pa.array(bodies, pa.binary())], names=schema.names
         )
 
-    text = F.col(text_col).cast("string")
-    return map_batches(docs.select(F.col(id_col), F.xxhash64(text), text), rows, schema)
+    return map_batches(rows_.select(*(f.name for f in kept), "text"), rows, schema)
 
 
 def unpack(body: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(body).decode("utf-8")
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    key = id_field(docs, id_col)
-    result = [T.StructField(name, kind) for name, kind, _ in _RESULT]
-    ends = [
-        T.StructField("part", T.IntegerType()),
-        T.StructField("end", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-    first_pass = T.StructType([key, *result, *ends])
-    arrow = [kind for _, _, kind in _RESULT]
-    columns_out = first_pass.names
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        id_kind, last = None, None
+def _ranges(keys: DataFrame, n: int) -> DataFrame:
+    """One row: ``firsts``, the (doc_id, tie) at which each of at most ``n`` ranges of the order
+    begins, in order and in blocks of about their square root, so that few are compared per row.
 
-        def frame(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            kinds = [id_kind, *arrow, pa.int32(), pa.string(), pa.string()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=columns_out)
+    Written, as a range partitioning that is planned again may cut elsewhere.
+    """
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    dealt = keys.repartitionByRange(n, *order).groupBy(F.spark_partition_id().alias("part"))
+    # The greatest struct has the greatest id, nulls last, and of these the least tie.
+    first = dealt.agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("first"))
+    begin = lambda f: F.struct(f["doc_id"], F.bitwise_not(f["tie"]).alias("tie"))
+    width = F.ceil(F.sqrt(F.size("firsts"))).cast("int")
+    starts = F.when(F.size("firsts") > 0, F.sequence(F.lit(1), F.size("firsts"), width))
+    one = (
+        first.agg(F.reverse(F.array_sort(F.collect_list("first"))).alias("firsts"))
+        .withColumn("firsts", F.transform("firsts", begin))
+        .select(F.transform(starts, lambda i: F.slice("firsts", i, width)).alias("firsts"))
+    )
+    path = fresh_path(keys.sparkSession, "ranges")
+    one.write.option("compression", "zstd").parquet(path)
+    return keys.sparkSession.read.schema(one.schema).parquet(path)
 
-        blank = (None,) * len(_RESULT)
-        for batch in batches:
-            rows, id_kind = [], batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = unpack(text)
-                own = sketch(text)
-                if last is None:
-                    rows.append((doc, *blank, part, "head", text))
-                else:
-                    rows.append((last[0], *_compare(last[1], last[2], text, own), part, None, None))
-                last = (doc, text, own)
-            if rows:
-                yield frame(rows)
-        if last is not None:
-            yield frame([(last[0], *blank, part, "tail", last[1])])
 
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    ordered = _compressed(docs, id_col, text_col).repartitionByRange(*order)
-    ordered = ordered.sortWithinPartitions(*order).select("doc_id", "body")
-    # Written once, as stage() does, but in a format that packs sketches, which are digits at random.
-    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "sketches")
-    stream_batches(ordered, walk, first_pass).write.option("compression", "zstd").parquet(path)
-    passed = spark.read.schema(first_pass).parquet(path)
-    done = passed.where(F.col("end").isNull()).select("doc_id", *(f.name for f in result))
-
-    heads = passed.where(F.col("end") == "head")
-    # Partition numbers only: the text after a partition's last is the next one's first.
-    parts = heads.select("part")
-    every = Window.orderBy("part")
-    following = F.coalesce(
-        F.lead("part").over(every),
-        F.first("part").over(every.rowsBetween(Window.unboundedPreceding, 0)),
+def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(doc_id, tie, part, follows, body): every row with the number of its range, and the first
+    row of each range a second time, as the one that follows the range before (the last, before the first)."""
+    text = F.col(text_col).cast("string")
+    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"))
+    same_id = lambda b: b["doc_id"].eqNullSafe(F.col("doc_id"))
+    begun = lambda b: (
+        F.coalesce(b["doc_id"] > F.col("doc_id"), b["doc_id"].isNotNull() & F.col("doc_id").isNull())
+        | (same_id(b) & (b["tie"] <= F.col("tie")))
+    )
+    width = F.size(F.get("firsts", F.lit(0)))
+    ranges = width * (F.size("firsts") - 1) + F.size(F.element_at("firsts", -1))
+    placed = (
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+        .crossJoin(F.broadcast(_ranges(keys, n)))
+        .withColumn("nth", F.size(F.filter("firsts", lambda block: begun(block[0]))) - 1)
+        .withColumn("block", F.get("firsts", F.col("nth")))
+        .withColumn("at", F.size(F.filter("block", begun)) - 1)
+        .withColumn("part", F.col("nth") * width + F.col("at"))
     )
-    after = parts.select("part", following.alias("next"))
-    tails = passed.where(F.col("end") == "tail").select("doc_id", "part", "text")
-    pairs = tails.join(after, "part").join(
-        heads.select(F.col("part").alias("next"), F.col("text").alias("following")), "next"
+    first = F.get("block", F.col("at"))
+    heads = (
+        placed.where(same_id(first) & (first["tie"] == F.col("tie")))
+        .select("doc_id", "tie", "text", F.pmod(F.col("part") - 1, ranges).alias("part"))
+        .dropDuplicates(["part"])
     )
+    both = placed.select("doc_id", "tie", "text", "part", F.lit(False).alias("follows")).unionByName(
+        heads.withColumn("follows", F.lit(True))
+    )
+    return _compressed(both)
 
-    names = ["doc_id", *(f.name for f in result)]
 
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, nexts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        rows = [_compare(t, sketch(t), n, sketch(n)) for t, n in zip(texts, nexts, strict=True)]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    key = id_field(docs, id_col)
+    schema = T.StructType([key, *(T.StructField(name, kind) for name, kind, _ in _RESULT)])
+    arrow = [kind for _, _, kind in _RESULT]
+    names = schema.names
 
-    last = map_batches(
-        pairs.select("doc_id", "text", "following"), finish, T.StructType([key, *result])
-    )
-    return done.unionByName(last)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of = None, None
+        for batch in batches:
+            rows = []
+            columns = (batch.column(i).to_pylist() for i in range(3))
+            for doc, body, part in zip(*columns, strict=True):
+                text = unpack(body)
+                own = sketch(text)
+                # The last row of a range is the one that follows, and has no row of its own here.
+                if last is not None and of == part:
+                    rows.append((last[0], *_compare(last[1], last[2], text, own)))
+                last, of = (doc, text, own), part
+            if rows:
+                kinds = [batch.column(0).type, *arrow]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    # A range per task.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(docs, id_col, text_col, n).repartitionById(n, "part")
+    order = [F.col("part"), F.col("follows"), F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "body", "part")
+    return stream_batches(ordered, walk, schema)

@@ -91,3 +91,19 @@ def test_staged_sketches_are_packed(spark):
     docs = spark.createDataFrame([(i, f"some words of document {i} and no others") for i in range(5)], "doc_id long, text string")
     read = sketch.edited_pairs(docs).inputFiles()
     assert read and all(".zstd." in name for name in read)
+
+
+def test_only_the_starts_of_ranges_are_staged(spark):
+    rows = [(i // 2 if i % 9 else None, f"document {i % 40} has some words") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = sketch.edited_pairs(docs)
+    staged = [spark.read.parquet(name) for name in made.inputFiles()]
+    assert [t.columns for t in staged] == [["firsts"]]
+    assert 1 < sum(map(len, staged[0].first().firsts)) <= 4
+    assert made.count() == len(rows)
+    # Rows in order are a ring: each text follows one and is followed by one.
+    following = sorted((r.n_chars, r.edited_sha256) for r in made.collect())
+    hashes = dict(map(tuple, docs.selectExpr("text", "xxhash64(text)").collect()))
+    ring = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    wanted = [sketch.edited(t, ring[(i + 1) % len(ring)][1]) for i, (_, t) in enumerate(ring)]
+    assert following == sorted((len(t), hashlib.sha256(t.encode()).hexdigest()) for t in wanted)
