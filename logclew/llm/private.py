@@ -15,9 +15,9 @@ in rounds:
 3. The next round counts it among the known values, which can raise other patterns. The
    rounds end when one adds nothing (or after ``rounds``, if given).
 
-Words in the place of a pattern are read in a second pass, and only for patterns that enough
-identifiers and candidates share: a bit table of fixed size drops nearly all others in the
-task, a join the rest. Only hashes of values and contexts leave a text. Edges are distinct
+Words in the place of a pattern are read in a second pass, and only for patterns that can be
+used at all: the rounds are run without these words before, which makes every pattern at least as
+confident. A bit table of fixed size drops nearly all other places in the task, a join the rest. Only hashes of values and contexts leave a text. Edges are distinct
 pairs, so copies of a document add nothing. The rounds run on staged tables of edges; nothing
 but the bit table is gathered on the driver. Spans found in a text are a function of it, so
 they are joined back by its digest, and texts without candidates are not joined at all.
@@ -347,48 +347,69 @@ def score_graph(
     words in the place of a pattern are read from ``docs``, if given.
     """
     edges = stage(edges, "edges")
-    seeds = edges.where("kind >= 0")
-    loose = edges.where("kind < 0").select("context", "value", "bits")
     shared = stage(
         edges.groupBy("context").agg(F.count_distinct("value").alias("n")).where(
             F.col("n") >= settings.min_support
         ),
         "contexts",
     )
-    totals = shared
-    if docs is not None and (table := _bit_table(shared)).any():
-        # Distinct pairs are dealt by both columns, so a pattern that all texts have is no hot key.
-        every = edges.select("context", "value").unionByName(words_in_place(docs, text_col, table))
-        counted = every.distinct().groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-        totals = stage(counted.join(shared.select("context"), "context", "left_semi"), "totals")
+    if docs is None:
+        return _rounds(edges, shared, settings)
+    # Without the ordinary words every pattern is at least as confident as with them. So what these
+    # rounds do not use, and values they do not make known, the full count cannot bring in either.
+    most = _rounds(edges, shared, settings, every_kind=True)
+    if most is None or most.isEmpty():
+        return most
+    used = stage(_strong(edges, most, shared, settings).select("context").distinct(), "used")
+    # Distinct pairs are dealt by both columns, so a pattern that all texts have is no hot key.
+    words = words_in_place(docs, text_col, _bit_table(used)).join(used, "context", "left_semi")
+    every = edges.join(used, "context", "left_semi").select("context", "value").unionByName(words)
+    counted = every.distinct().groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    return _rounds(edges, stage(counted, "totals"), settings)
+
+
+def _strong(
+    edges: DataFrame, learnt: DataFrame | None, totals: DataFrame, settings: Bootstrap
+) -> DataFrame:
+    """(context, kind, k, n, confidence) of the patterns that are used, by the known values."""
+    known = edges.where("kind >= 0").select("context", "value", "kind")
+    if learnt is not None:
+        loose = edges.where("kind < 0").select("context", "value")
+        known = known.unionByName(loose.join(learnt, "value").select("context", "value", "kind"))
+    return (
+        known.groupBy("context", "kind")
+        .agg(F.count_distinct("value").alias("k"))
+        .where(F.col("k") >= settings.min_support)
+        .join(totals, "context")
+        .withColumn("confidence", F.col("k") / F.col("n"))
+        .where(F.col("confidence") >= settings.min_confidence)
+    )
+
+
+def _rounds(
+    edges: DataFrame, totals: DataFrame, settings: Bootstrap, every_kind: bool = False
+) -> DataFrame | None:
+    """(value, kind) of what becomes known if the patterns have ``totals`` values in their places.
+
+    With ``every_kind`` a value is known as each kind it scores enough for, not as the best only.
+    """
+    loose = edges.where("kind < 0").select("context", "value", "bits")
     learnt: DataFrame | None = None
     done = 0
     while settings.rounds is None or done < settings.rounds:
         done += 1
-        known = seeds.select("context", "value", "kind")
-        if learnt is not None:
-            known = known.unionByName(
-                loose.join(learnt, "value").select("context", "value", "kind")
-            )
-        strong = (
-            known.groupBy("context", "kind")
-            .agg(F.count_distinct("value").alias("k"))
-            .where(F.col("k") >= settings.min_support)
-            .join(totals, "context")
-            .withColumn("confidence", F.col("k") / F.col("n"))
-            .where(F.col("confidence") >= settings.min_confidence)
-        )
+        strong = _strong(edges, learnt, totals, settings)
         # 1 - confidence is bounded from below, as a logarithm is taken.
         doubt = F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))
-        new = loose if learnt is None else loose.join(learnt, "value", "left_anti")
+        new = loose.join(strong, "context").where(_has_bit(F.col("bits"), F.col("kind")))
+        if learnt is not None:
+            new = new.join(learnt, ["value", "kind"] if every_kind else "value", "left_anti")
         scored = (
-            new.join(strong, "context")
-            .where(_has_bit(F.col("bits"), F.col("kind")))
-            .groupBy("value", "kind")
+            new.groupBy("value", "kind")
             .agg(F.round(1 - F.exp(F.sum(doubt)), 9).alias("score"))
             .where(F.col("score") >= settings.min_score)
         )
-        best = scored.groupBy("value").agg(
+        best = scored.groupBy("value", *(["kind"] if every_kind else [])).agg(
             F.max(F.struct("score", (-F.col("kind")).alias("first"))).alias("best")
         )
         added = stage(best.select("value", (-F.col("best.first")).alias("kind")), "learnt")

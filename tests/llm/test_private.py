@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from logclew.llm import private
 
 PATTERNS = (
@@ -217,6 +219,29 @@ def test_end_to_end_equals_plain_version(spark):
     assert masked[len(rows) - 3] == "ring [PHONE] soon"
 
 
+def test_words_are_read_for_patterns_that_can_be_used_only(spark, monkeypatch):
+    settings = private.Bootstrap(min_confidence=0.4, min_score=0.45)
+    # Nothing known stands behind "version", so it cannot be used.
+    rows = [r for _, r in chained()] + [f"version {20240100 + i} is out" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    seen = private.scan(docs, "doc_id", "text").selectExpr("inline(seen)")
+    edges = seen.selectExpr("explode(contexts) context", "value", "kind", "bits").distinct().cache()
+    shared = edges.groupBy("context").agg(F.count_distinct("value").alias("n")).where("n >= 5")
+    words = private.words_in_place(docs, "text", private._bit_table(shared))
+    every = edges.select("context", "value").unionByName(words).distinct()
+    full = every.groupBy("context").agg(F.count(F.lit(1)).alias("n")).join(shared.select("context"), "context")
+    want = {tuple(r) for r in private._rounds(edges, full, settings).collect()}
+
+    asked, table = [], private._bit_table
+    monkeypatch.setattr(private, "_bit_table", lambda some: asked.append(some) or table(some))
+    got = {tuple(r) for r in private.score_graph(edges, settings, docs).collect()}
+    assert got == want and len(got) > 30
+    assert 0 < asked[0].count() < shared.count()
+    # Nothing can become known, so no text is read a second time.
+    asked.clear()
+    assert private.score_graph(edges, private.Bootstrap(min_support=1000), docs).isEmpty() and not asked
+
+
 def test_redact(spark):
     docs = spark.createDataFrame(planted(), "doc_id long, text string").selectExpr("*", "1 AS _digest")
     out = private.redact(docs)
