@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from logclew.operators.report import escape_cells, linked_tickets, raw_preview
-from logclew.plans.bundle import redact_findings
+from logclew.plans.bundle import redact_findings, write_bundle
 from logclew.plans.correlate import correlate
 from logclew.schema import JoinPolicy
 
@@ -67,3 +69,26 @@ def test_group_report(make_logs, make_commits, make_atoms):
     details = found.group_commits.where("group_key = 'tickets:T-1'").first()
     assert (details["short_sha"], details["subject"], details["author"]) == ("0000000", "T-1", "Test")
     assert found.group_atoms.where(F.col("group_key") == "op:a").first()["id"] == "a-0"
+
+
+def test_links_are_written_by_commit_and_group(make_logs, make_commits, make_atoms, tmp_path):
+    """Every group is near every commit and note; an order is kept in which files are small."""
+    logs = make_logs([{"raw": {"operation_Id": f"g{i}"}, "message": "T-1"} for i in range(40)])
+    commits = make_commits(*[("2026-05-22T00:01:00Z", f"change {i}") for i in range(50)])
+    atoms = make_atoms(*[(f"note {i} on T-1", []) for i in range(50)])
+    found = correlate(logs, commits, JoinPolicy(r"T-\d"), atoms, staged=True)
+    folder = Path(write_bundle(redact_findings(found), str(tmp_path / "out"), ("parquet",)))
+    spark = found.keyed.sparkSession
+    for name, ordinal, staged in (
+        ("group_commits", "commit_ord", found.commit_links),
+        ("group_atoms", "atom_ord", found.atom_links),
+    ):
+        seen = []
+        for file in staged.inputFiles():
+            rows = spark.read.parquet(file).collect()
+            assert [r[ordinal] for r in rows] == sorted(r[ordinal] for r in rows)
+            seen += {r["group_key"] for r in rows}
+        assert len(seen) == len(set(seen)) == 40
+        written = folder / "parquet" / name
+        assert spark.read.parquet(str(written)).distinct().count() == 40 * 50
+        assert all(".zstd." in f.name for f in written.glob("*.parquet"))
