@@ -18,7 +18,7 @@ from logclew.plans.bundle import (
 from logclew.plans.correlate import TABLES, correlate
 from logclew.plans.investigate import investigate
 from logclew.schema import JoinPolicy, RedactionRule
-from logclew.session import run_folder, shared_dir
+from logclew.session import run_folder, shared_dir, stage
 
 SCENARIO_1 = """timestamp,message,operation_Id,cloud_RoleName,severityLevel
 2026-05-21T07:11:00Z,StaleCursorError since SHIP-7 rollout,cart-9,Basket,3
@@ -248,3 +248,8 @@ def test_stage_folder_without_a_checkpoint_folder(spark):
     assert shared_dir(alone).startswith("/shared/warehouse/logclew-") and shared_dir(alone) == shared_dir(alone)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session("spark://somewhere"))
+
+
+def test_staged_tables_are_packed(spark):
+    read = stage(spark.range(1000), "numbers").inputFiles()
+    assert read and all(".zstd." in name for name in read)
