@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,16 @@ BATCH_ROWS = 400
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+def ready(spark: SparkSession) -> None:
+    """Small batches, and workers that find this package, for the plans made from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Workers find this package where the driver did, even if not started from there.
+    # (Where executors have other paths, ship it with --py-files.)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str
 ) -> DataFrame:
@@ -35,13 +45,7 @@ def stream_batches(
     schema: T.StructType | str,
 ) -> DataFrame:
     """As ``map_batches``, for functions that carry state from batch to batch of a partition."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    # Workers find this package where the driver did, even if not started from there.
-    # (Where executors have other paths, ship it with --py-files.)
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+    ready(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -20,7 +20,7 @@ from logclew.llm import (
     sketch,
     substrings,
 )
-from logclew.session import prepare
+from logclew.session import prepare, spread
 
 SHARDS = 16
 
@@ -102,7 +102,7 @@ def op7_clause_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     model = vocabulary("piece_bpe_32k.model")
     read = lattice.decode(lattice.encode(docs, model), model)
     return read.select(

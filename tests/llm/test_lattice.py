@@ -1,5 +1,8 @@
 import hashlib
+import re
+from pathlib import Path
 
+import numpy as np
 import sentencepiece
 
 from logclew.llm import lattice
@@ -55,3 +58,50 @@ def test_decode_edges(spark):
     got = sorted((r.k, r.decoded) for r in lattice.decode(rows, MODEL).collect())
     known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert got == [(1, ""), (2, ""), (3, known.decode([700, 701])), (3, known.decode([700, 701]))]
+
+
+def test_no_row_is_moved_or_staged(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*"))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "k int, text string")
+    rows = lattice.decode(lattice.encode(docs, MODEL), MODEL)
+    assert len(rows.collect()) == len(TEXTS)
+    assert set(shared.rglob("*")) == before
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_ids_do_not_depend_on_what_is_kept(monkeypatch):
+    monkeypatch.setattr(lattice, "FOLD_CHARS", 7)
+    monkeypatch.setattr(lattice, "KEPT_UNITS", 3)
+    monkeypatch.setattr(lattice, "KEPT_PAIRS", 5)
+    known, cells = sentencepiece.SentencePieceProcessor(model_file=MODEL), lattice.Lattices(MODEL)
+    for text in [t for t in TEXTS if t] * 2:
+        units = re.findall(lattice._UNIT, lattice.MARK + text.replace(" ", lattice.MARK))
+        got = b"".join(cells.encode(units))
+        assert np.frombuffer(got, np.int32).tolist() == known.encode(text), text
+
+
+def test_long_unit_without_a_break():
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = "".join("aberdorn中é"[i * i % 10] for i in range(20_000))
+    (got,) = lattice.Lattices(MODEL).encode([lattice.MARK + text])
+    assert np.frombuffer(got, np.int32).tolist() == known.encode(text)
+
+
+def test_number_table():
+    table, want = lattice.NumberTable(2), {}
+    for n in range(1, 40):
+        keys = np.unique(np.arange(n, dtype=np.int64) * n << 40)
+        new = keys[table.get(keys) == lattice._NONE]
+        assert set(new.tolist()) == set(keys.tolist()) - set(want)
+        table.put(new, np.arange(len(new)))
+        want |= dict(zip(new.tolist(), range(len(new))))
+    keys = np.array(list(want))
+    assert table.get(keys).tolist() == list(want.values()) and table.count == len(want)
+
+
+def test_ids_without_a_piece_are_left_out(spark):
+    rows = spark.createDataFrame([(1, [2, None, 700, -5, 1 << 40])], "k long, ids array<long>")
+    known = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [r.decoded for r in lattice.decode(rows, MODEL).collect()] == [known.decode([700])]
