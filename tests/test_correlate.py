@@ -9,6 +9,8 @@ from logclew.operators import links
 from logclew.operators.findings import NO_KEY_WARNING, first_keys
 from logclew.operators.keys import row_keys
 from logclew.operators.normalize import rowset_meta
+from logclew.operators.report import COMMIT_DETAILS
+from logclew.plans.bundle import redact_findings
 from logclew.plans.correlate import correlate
 from logclew.schema import JoinPolicy
 from logclew.session import stage
@@ -379,3 +381,43 @@ def test_tickets_by_token(make_logs, make_commits):
         assert {r["commit_ord"] for r in found.commit_links.collect()} == want
     with pytest.raises(ValueError):
         JoinPolicy(ticket_match="token")
+
+
+def above_the_links(df):
+    """The part of the plan that every link passes."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan[: plan.index("Generate inline")] if "Generate inline" in plan else plan
+
+
+def test_links_are_listed_without_a_shuffle(random_case):
+    _, _, _, logs, commits, atoms = random_case
+    found = correlate(logs, commits, POLICY, atoms, staged=True)
+    listed = redact_findings(found).table
+    near = links.proximity_commits(found.keyed, commits, 7)
+    for df in (near, found.group_commits, found.group_atoms, listed("group_commits"), listed("group_atoms")):
+        above = above_the_links(df)
+        assert not any(step in above for step in ("Exchange", "Aggregate", "Join", "Sort", "sha2"))
+    assert not {"commit_links", "atom_links"} & set(vars(found))
+
+
+@pytest.mark.parametrize(("window", "many"), [(0, 32), (7, 1)])
+def test_details_are_those_of_the_links(random_case, spark, monkeypatch, window, many):
+    """Also of commits that come twice, have one number and several times or no number, and of many keys."""
+    _, commits, _, logs, once, notes = random_case
+    monkeypatch.setattr(links, "_MANY_KEYS", many)
+    rows = [r.asDict() for r in once.collect()]
+    rows += rows[:9] + [{**r, "authored_at": at(commits[-1][0])} for r in rows[5:20]]
+    rows += [{**r, "authored_at": None} for r in rows[18:30]] + [{**r, "commit_ord": None} for r in rows[:5]]
+    every = spark.createDataFrame(rows, once.schema)
+    atoms = notes.unionByName(notes.limit(7))
+    found = correlate(logs, every, JoinPolicy(r"T-\d+", ("s1", "s2"), window_minutes=window), atoms, staged=True)
+    listed = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = found.commit_links.join(every.select("commit_ord", *COMMIT_DETAILS), "commit_ord")
+    assert want.count() > 200 and listed(found.group_commits) == listed(want)
+    assert listed(found.group_atoms) == listed(found.atom_links.join(atoms.drop("tags"), "atom_ord"))
+    noted = {r["group_key"]: r["count"] for r in found.atom_links.groupBy("group_key").count().collect()}
+    fresh = correlate(logs, every, POLICY, atoms, staged=True)._report.where("atom_count > 0").collect()
+    assert {r["group_key"]: r["atom_count"] for r in fresh} == noted
+    near = links.proximity_commits(found.keys, every, window)
+    brute = links._near(found.keys, every, window).distinct() if window else near
+    assert near.count() == near.distinct().count() and listed(near) == listed(brute)
