@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from logclew.plans import bundle as bundle_module
 from logclew.plans.bundle import (
     REPORTS,
     groups_as_json,
@@ -253,3 +254,12 @@ def test_stage_folder_without_a_checkpoint_folder(spark):
 def test_staged_tables_are_packed(spark):
     read = stage(spark.range(1000), "numbers").inputFiles()
     assert read and all(".zstd." in name for name in read)
+
+
+def test_json_is_packed_in_files_of_bounded_rows(spark, tmp_path, make_logs, make_commits, monkeypatch):
+    monkeypatch.setitem(bundle_module._WRITE["json"], "maxRecordsPerFile", "10")
+    found = redact_findings(correlate(make_logs([{"message": f"T-{i}"} for i in range(50)]), make_commits(), JoinPolicy(r"T-\d+")))
+    folder = Path(write_bundle(found, str(tmp_path / "out"))) / "json" / "group_rows"
+    files = list(folder.glob("part-*"))
+    assert len(files) >= 5 and all(f.name.endswith(".json.gz") for f in files)
+    assert all(spark.read.json(str(f)).count() <= 10 for f in files) and spark.read.json(str(folder)).count() == 50
