@@ -263,3 +263,14 @@ def test_json_is_packed_in_files_of_bounded_rows(spark, tmp_path, make_logs, mak
     files = list(folder.glob("part-*"))
     assert len(files) >= 5 and all(f.name.endswith(".json.gz") for f in files)
     assert all(spark.read.json(str(f)).count() <= 10 for f in files) and spark.read.json(str(folder)).count() == 50
+
+
+def test_the_digest_tells_rows_apart_without_json(spark):
+    digest = lambda df: df.agg(row_digest(df)).first()[0]
+    shape = "a string, b string, at timestamp, m map<string,string>"
+    rows = [("x", None, None, {"k": "v"}), (None, "x", None, {"k": "v"}), ("x", None, None, {"k": "w"}), ("x", None, None, None)]
+    seen = [digest(spark.createDataFrame([r], shape)) for r in rows]
+    assert len(set(seen)) == 4
+    both = spark.createDataFrame(rows, shape)
+    assert digest(both) == digest(both.orderBy(F.rand())) == sum(seen)
+    assert "to_json" not in str(row_digest(both.drop("m"))) and digest(both.limit(0)) == 0
